@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.plans import aggregates, scalars, sheets, similar
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_PARTS = (scalars, aggregates, sheets, similar)
+
+
+def queries() -> dict[str, Query]:
+    """Every query by name."""
+    return {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL by query."""
+    return {k: v for part in _PARTS for k, v in part.SQL.items()}
