@@ -1 +1,24 @@
-"""A spreadsheet-estate analytics engine on PySpark."""
+"""A spreadsheet-estate analytics engine on PySpark: scan, assess and compare folders of workbooks.
+
+    from gridloom import assess, export_all, scan
+
+    result = assess(scan(spark, "/data/workbooks"))
+    export_all(result, "/out")
+"""
+
+from gridloom.functions.formulas import analysed as analyse_formula
+from gridloom.functions.scalars import column_letters, column_number, range_bounds
+from gridloom.operators.detect import detect as detect_regions
+from gridloom.operators.graph import connected, sheet_edges
+from gridloom.operators.regions import components as find_components
+from gridloom.operators.similarity import clusters, estate_pairs, families, insight, offered, shortlist, similar_pairs
+from gridloom.plans.portfolio import assess, findings, fingerprints, narratives, offline, scan
+from gridloom.sinks.portfolio import bundle, export_all, export_tables, page
+from gridloom.sources.triage import Unreadable
+from gridloom.sources.workbook import cells, discover, structure
+from gridloom.streaming.incremental import scan_new
+
+__all__ = [
+    "Unreadable", "analyse_formula", "assess", "bundle", "cells", "clusters", "column_letters", "column_number", "connected", "detect_regions", "discover", "estate_pairs", "export_all", "export_tables",
+    "families", "find_components", "findings", "fingerprints", "insight", "narratives", "offered", "offline", "page", "range_bounds", "scan", "scan_new", "sheet_edges", "shortlist", "similar_pairs", "structure",
+]

@@ -54,7 +54,7 @@ def formula_skeleton(spark: SparkSession, d: str) -> DataFrame:
         (k == 0, text("=B", row, "*Assumptions!$B$6")),
         (k == 1, text("=SUM(B", row, ":E", row, ")+", F.col("l_linenumber"))),
         (k == 2, text("=IF(C", row - 1, '="it""s ', row, '",\'My Sheet\'!A', row, ", TODAY() )")),
-        (k == 3, text("=[2]Rates!$C", row, " / LOG2025 + 1.5e3")),
+        (k == 3, text("=[2]Rates!$C", row, " / ZZZ2025 + 1.5e3")),
         (k == 4, text("=OFFSET($A$1,", F.col("l_linenumber"), ",0)&x_1")),
         default=text("=vlookup(D", row + 3, ",Lob!$A$2:$C$9,2,FALSE)"),
     )
@@ -67,10 +67,10 @@ FORMULA_SKELETON = """
 WITH x AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_orderkey + 2 AS r, l_partkey % 6 AS k FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey,
  CASE k WHEN 0 THEN '=B' || r || '*Assumptions!$B$6' WHEN 1 THEN '=SUM(B' || r || ':E' || r || ')+' || l_linenumber
-  WHEN 2 THEN '=IF(C' || (r - 1) || '="it""s ' || r || '",''My Sheet''!A' || r || ', TODAY() )' WHEN 3 THEN '=[2]Rates!$C' || r || ' / LOG2025 + 1.5e3'
+  WHEN 2 THEN '=IF(C' || (r - 1) || '="it""s ' || r || '",''My Sheet''!A' || r || ', TODAY() )' WHEN 3 THEN '=[2]Rates!$C' || r || ' / ZZZ2025 + 1.5e3'
   WHEN 4 THEN '=OFFSET($A$1,' || l_linenumber || ',0)&x_1' ELSE '=vlookup(D' || (r + 3) || ',Lob!$A$2:$C$9,2,FALSE)' END AS formula,
  CASE k WHEN 0 THEN 'RC[-2]*SHEET!R6C2' WHEN 1 THEN 'SUM(RC[-2]:RC[1])+N' WHEN 2 THEN 'IF(R[-1]C[-1]=S,SHEET!RC[-3],TODAY())'
-  WHEN 3 THEN 'EXT!RC3/LOG2025+N' WHEN 4 THEN 'OFFSET(R1C1,N,N)&x_1' ELSE 'vlookup(R[3]C,SHEET!R2C1:R9C3,N,FALSE)' END AS skeleton,
+  WHEN 3 THEN 'EXT!RC3/ZZZ2025+N' WHEN 4 THEN 'OFFSET(R1C1,N,N)&x_1' ELSE 'vlookup(R[3]C,SHEET!R2C1:R9C3,N,FALSE)' END AS skeleton,
  CASE k WHEN 1 THEN 'SUM' WHEN 2 THEN 'IF,TODAY' WHEN 4 THEN 'OFFSET' WHEN 5 THEN 'VLOOKUP' ELSE '' END AS functions,
  k IN (2, 4) AS is_volatile,
  CAST(CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 0 WHEN 4 THEN 1 ELSE 2 END AS BIGINT) AS local_refs,
