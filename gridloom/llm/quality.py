@@ -28,7 +28,8 @@ from gridloom.llm.common import let, name, spool
 #: scatter consistent under normality in five dimensions: H / P(chi2_7 <= q), q the H-quantile of chi2_5.
 H, CONSISTENCY = 0.75, 1.41
 STEPS = 3
-CUTOFF = 80.0
+#: The quantile of chi2_5 that one in a million normal documents exceeds.
+CUTOFF = 35.89
 MIN_GROUP = 60
 WORDS, REPEAT_SHARE, SPAN = 20, 30, 8
 #: Standard deviation that each statistic has at least: what is constant in a group cannot reject by a trifle.
