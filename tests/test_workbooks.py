@@ -143,3 +143,25 @@ def test_exports(result, folder, tmp_path):
     assert sorted(zipfile.ZipFile(tmp_path / "b.zip").namelist()) == ["analysis/findings.csv", "originals/messy.xlsx"]
     with pytest.raises(ValueError, match="has changed"):
         sinks.bundle(str(tmp_path / "c.zip"), {"messy.xlsx": (str(folder / "messy.xlsx"), "0" * 64)}, {})
+
+
+def test_endpoints_and_reports(spark, result, tmp_path):
+    from gridloom.plans import endpoints
+    from gridloom.sinks import reports
+
+    assert tuple(endpoints.overview(result).first()) == (4, 3, 2, 2)
+    assert rows(endpoints.files(result, "MESSY", "full", 1, 5), "file_name") == [("messy.xlsx",)]
+    assert endpoints.files(result, "100%").count() == 0
+    pk = [r["file_pk"] for r in endpoints.files(result, "messy").collect()]
+    assert endpoints.compare(result, pk).count() == 1
+    with pytest.raises(ValueError, match="at most 20"):
+        endpoints.compare(result, list(map(str, range(21))))
+    reports.write_file_report(result, pk[1], str(tmp_path / "one.xlsx"))
+    assert len(workbook.Package((tmp_path / "one.xlsx").read_bytes()).sheets) == 12
+    reports.write_file_page(result, pk[1], str(tmp_path / "one.html"))
+    assert "tblPolicies" not in (tmp_path / "one.html").read_text() and "POL-10002" not in (tmp_path / "one.html").read_text()
+    assert [f.stat().st_size > 0 for f in reports.write_estate(result, str(tmp_path))] == [True] * 3
+    endpoints.views(result, "gl_")
+    assert spark.sql("select count(*) n from gl_sheet_fact where state <> 'visible'").first()["n"] == 2
+    assert reports.shown({"verdict": "Yes", "matches": [{"file": "x.xlsx"}]}) == "Yes — matches: x.xlsx"
+    assert [reports.shown(x) for x in (None, True, ["a", "b"], [])] == ["—", "Yes", "a; b", "—"]
