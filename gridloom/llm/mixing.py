@@ -106,6 +106,7 @@ def mixed(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     if n != distinct:
         docs, row = spool(docs.withColumn("gl_row", F.monotonically_increasing_id())), "gl_row"
     taken = drawn(docs, [row], key=key, **options).where("gl_copies > 0").select(name(row).alias("gl_taken"), "gl_copies")
-    out = docs.join(spool(taken), name(row) == F.col("gl_taken"))
+    # the copies are as many rows as the documents: one plan at every size
+    out = docs.join(spool(taken).hint("merge"), name(row) == F.col("gl_taken"))
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("gl_copies"))))
     return out.drop("gl_row", "gl_taken", "gl_copies")
