@@ -31,6 +31,8 @@ STEPS = 3
 #: The quantile of chi2_5 that one in a million normal documents exceeds.
 CUTOFF = 35.89
 MIN_GROUP = 60
+#: Groups up to which their estimates, some 200 bytes each, are sent to every task; and salts beyond.
+SENT_GROUPS, SALTS = 50_000, 256
 WORDS, REPEAT_SHARE, SPAN = 20, 30, 8
 #: Standard deviation that each statistic has at least: what is constant in a group cannot reject by a trifle.
 FLOORS = {"x_words": 0.5, "x_length": 0.15, "x_symbols": 0.1, "x_lines": 0.15, "x_repeats": 0.15}
@@ -86,9 +88,22 @@ def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     return out.select("*", failed.alias("gl_failed"), *(F.round(x[k] * _SCALE).cast("long").alias(f"gl_{k}") for k in _X))
 
 
-def _group(lang: Column, source: Column, small: Column) -> Column:
-    """Language and source, or the language's small groups together."""
-    return F.struct(lang.alias("lang"), small.alias("small"), F.when(~small, source).alias("source"))
+def _key(lang: Column, source: Column) -> Column:
+    """Language and source as one text; nulls differ from every value."""
+    return F.to_json(F.struct(lang.cast("string").alias("lang"), source.cast("string").alias("source")))
+
+
+def attach(rows: DataFrame, table: DataFrame, key: str, n: int, how: str = "inner") -> DataFrame:
+    """Rows with the columns that ``table``, one row a key and ``n`` in all, has for their key.
+
+    Up to ``SENT_GROUPS`` rows the table goes to every task.  Beyond, rows are salted and the table repeated for each
+    salt, so the rows of a frequent key spread over ``SALTS`` tasks.
+    """
+    if n <= SENT_GROUPS:
+        return rows.join(F.broadcast(table), key, how)
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
+    spread = table.withColumn("gl_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("gl_salt", salt).join(spread, [key, "gl_salt"], how).drop("gl_salt")
 
 
 def _distance(df: DataFrame) -> DataFrame:
@@ -122,8 +137,8 @@ def _factored(df: DataFrame, cov: dict[tuple[int, int], Column]) -> DataFrame:
     return df.drop(*(f"s{i}{j}" for i, j in cov))
 
 
-def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Centre c0.. and Cholesky factor l00.. of the scatter for every gl_group. rows: gl_group and the statistics."""
+def estimates(rows: DataFrame, n: int, steps: int = STEPS) -> DataFrame:
+    """Centre c0.. and Cholesky factor l00.. of the scatter for every gl_group. rows: gl_group, of which there are n, and the statistics."""
     d = range(len(_X))
     quartiles = F.array(*map(F.lit, (0.25, 0.5, 0.75)))
     at = rows.groupBy("gl_group").agg(*(F.percentile(f"gl_{k}", quartiles).alias(f"q{i}") for i, k in enumerate(_X)))
@@ -133,10 +148,10 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     for _ in range(steps):
         params = spool(params)
         # a few thousand steps of the distance, so that a quantile counts few distinct values
-        near = _distance(rows.join(params, "gl_group")).withColumn("gl_step", F.round(F.log1p("gl_d2") * 200).cast("int"))
+        near = _distance(attach(rows, params, "gl_group", n)).withColumn("gl_step", F.round(F.log1p("gl_d2") * 200).cast("int"))
         near = near.select("gl_group", "gl_step", *(f"gl_{k}" for k in _X))
         cut = near.groupBy("gl_group").agg(F.percentile("gl_step", F.lit(H)).alias("gl_cut"))
-        kept = near.join(cut, "gl_group").where("gl_step <= gl_cut")
+        kept = attach(near, cut, "gl_group", n).where("gl_step <= gl_cut")
         sums = {f"t{i}": F.sum(f"gl_{k}") for i, k in enumerate(_X)}
         sums |= {f"p{i}{j}": F.sum(F.col(f"gl_{_X[i]}") * F.col(f"gl_{_X[j]}")) for i in d for j in range(i + 1)}
         agg = kept.groupBy("gl_group").agg(F.count("*").cast("double").alias("n"), *(c.cast("double").alias(k) for k, c in sums.items()))
@@ -150,17 +165,18 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
 def judged(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF) -> DataFrame:
     """The columns ``keep``, the base counts as gl_..., gl_failed, gl_d2 (null where no estimate judges) and gl_kept."""
     mine = docs.select(*map(name, dict.fromkeys([*keep, lang, source, text])))
-    both = mine.withColumn("gl_lang", name(lang)).withColumn("gl_source", name(source))
-    found = spool(measured(both, [*keep, "gl_lang", "gl_source"], text))
-    whole = found.where("not gl_failed")
-    sizes = whole.groupBy("gl_lang", "gl_source").count()
-    grouped = sizes.select("gl_lang", "gl_source", "count", _group(F.col("gl_lang"), F.col("gl_source"), F.col("count") < MIN_GROUP).alias("gl_group"))
+    both = mine.withColumn("gl_lang", name(lang)).withColumn("gl_key", _key(name(lang), name(source)))
+    found = spool(measured(both, [*keep, "gl_lang", "gl_key"], text))
+    whole = found.where("not gl_failed").select("gl_key", "gl_lang", *(f"gl_{k}" for k in _X))
+    sizes = whole.groupBy("gl_lang", "gl_key").count()
+    small = F.to_json(F.struct(F.col("gl_lang").cast("string").alias("small")))
+    grouped = sizes.select("gl_key", "count", F.when(F.col("count") < MIN_GROUP, small).otherwise(F.col("gl_key")).alias("gl_group"))
     totals = grouped.groupBy("gl_group").agg(F.sum("count").alias("gl_total")).where(F.col("gl_total") >= MIN_GROUP)
-    groups = spool(grouped.join(totals, "gl_group").select(F.col("gl_lang").alias("g_lang"), F.col("gl_source").alias("g_source"), "gl_group"))
-    same = F.col("gl_lang").eqNullSafe(F.col("g_lang")) & F.col("gl_source").eqNullSafe(F.col("g_source"))
-    params = estimates(whole.join(groups, same).select("gl_group", *(f"gl_{k}" for k in _X)))
+    groups = spool(grouped.join(totals, "gl_group").select("gl_key", "gl_group"))
+    n = groups.count()
+    params = estimates(attach(whole.drop("gl_lang"), groups, "gl_key", n).drop("gl_key"), n)
     known = groups.join(params, "gl_group").drop("gl_group")
-    out = _distance(found.join(known, same, "left"))
+    out = _distance(attach(found, known, "gl_key", n, "left"))
     kept = ~F.col("gl_failed") & F.coalesce(F.col("gl_d2") <= cutoff, F.lit(True))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return out.select(*map(name, keep), *(f"gl_{k}" for k in counts), "gl_failed", "gl_d2", kept.alias("gl_kept"))

@@ -86,7 +86,10 @@ def brute_estimate(x, floors):
     return centre, low
 
 
-def test_quality_verdicts(spark):
+@pytest.mark.parametrize("sent", [50_000, 0])
+def test_quality_verdicts(spark, monkeypatch, sent):
+    monkeypatch.setattr(quality, "SENT_GROUPS", sent)
+    monkeypatch.setattr(quality, "SALTS", 5)
     rnd = np.random.default_rng(3)
     prose = lambda n: " ".join("".join(rnd.choice(list("abcdefgh"), rnd.integers(2, 9))) for _ in range(n))
     rows = [(i, prose(int(rnd.integers(40, 400))), "en", "s" if i % 3 else None) for i in range(300)]
