@@ -52,6 +52,12 @@ def spool(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_spool(spark: SparkSession) -> None:
+    """Delete what spool() has written in the shared folder; for a job's end, when no frame reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/gridloom-spool")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def name(column: str) -> Column:
     """A column by its exact name, dots included."""
     return F.col("`" + column.replace("`", "``") + "`")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import ALNUM_TABLE, RESULT, annotate, offsets, raw_texts
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 _FIELDS = "n_words long, hits array<struct<start:long,end:long>>, items array<string>, longest_match long"
 _BITS = 20
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
