@@ -315,7 +315,7 @@ def visible_first(spark: SparkSession, d: str) -> DataFrame:
 
 VISIBLE_FIRST = """
 SELECT s_nationkey AS file, s_suppkey AS position, row_number() OVER (PARTITION BY s_nationkey ORDER BY CAST(s_suppkey % 3 = 0 AS INT), s_suppkey) AS place,
- CASE WHEN s_suppkey % 7 = 0 THEN 'no other workbooks were supplied: duplication cannot be assessed' WHEN s_suppkey % 7 < 5 THEN 'conclusion is limited to the ' || s_suppkey % 7 || ' other workbook(s) supplied' END AS note FROM supplier
+ CASE WHEN s_suppkey % 7 = 0 THEN 'no other file to compare with' WHEN s_suppkey % 7 < 5 THEN 'compared with ' || s_suppkey % 7 || ' other file(s) only' END AS note FROM supplier
 """
 
 QUERIES = {

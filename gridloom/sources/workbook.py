@@ -39,7 +39,7 @@ def discover(spark: SparkSession, path: str) -> DataFrame:
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     name = F.regexp_extract("path", "[^/]*$", 0)
     wanted = F.lower(name).rlike(rf"\.({'|'.join(EXTENSIONS)})$") & ~name.rlike(r"^(~\$|\.)")
-    return found.where(wanted & ~F.col("path").rlike(r"/(xray_[^/]*|\.git|\.venv|__pycache__)/"))
+    return found.where(wanted & ~F.col("path").rlike(r"/(gridloom_[^/]*|\.git|\.venv|__pycache__)/"))
 
 
 def local(tag: str) -> str:
