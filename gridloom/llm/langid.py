@@ -28,6 +28,7 @@ from pyspark.sql.window import Window
 from gridloom.llm.common import RESULT, annotate, name, spool, texts
 
 SAMPLE, WORDS, GRAMS, LONGEST = 4000, 30_000, 20_000, 5
+PLACES = 1_000_000_000
 UND = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _MEMO = 300_000
@@ -41,11 +42,13 @@ def held_out(key: Column, folds: int = 4, fold: int = 2) -> Column:
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> dict:
     """The model: languages, and log frequencies of words and n-grams for each."""
     rows = labelled.where(name(lang).isNotNull() & name(text).isNotNull())
-    sizes = rows.groupBy(name(lang).alias("gl_lang")).count()
-    # a fixed hash places every document in 0..999,999; a language takes those below its share
-    place = F.pmod(F.xxhash64(F.lit("langid"), name(key), F.length(name(text))), F.lit(1_000_000))
+    sizes = rows.groupBy(name(lang).alias("gl_lang")).count().collect()
+    shares = labelled.sparkSession.createDataFrame([(r["gl_lang"], sample * PLACES // r["count"]) for r in sizes], "gl_lang string, gl_share long")
+    # a fixed hash places every document; a language takes those below its share of the places
+    place = F.pmod(F.xxhash64(F.lit("langid"), name(key), F.length(name(text))), F.lit(PLACES))
     taken = rows.select(name(lang).alias("gl_lang"), name(text).alias("gl_text"), place.alias("gl_place"))
-    taken = taken.join(sizes, "gl_lang").where(F.col("gl_place") * F.col("count") < sample * 1_000_000)
+    # one row a language goes to every task: texts are picked where they are
+    taken = taken.join(F.broadcast(shares), "gl_lang").where(F.col("gl_place") < F.col("gl_share"))
     found = F.regexp_extract_all(F.lower("gl_text"), F.lit(r"(\p{L}+)"), 1)
     counts = spool(taken.select("gl_lang", F.explode(found).alias("word")).groupBy("gl_lang", "word").agg(F.count("*").alias("n")))
     padded = F.concat(F.lit(" "), "word", F.lit(" "))
@@ -56,7 +59,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     words = counts.select("gl_lang", F.col("word").alias("item"), "n").withColumn("r", F.row_number().over(Window.partitionBy("gl_lang").orderBy(F.desc("n"), "item"))).where(F.col("r") <= WORDS)
     grams_ = of_grams.where("gram <> ''").select("gl_lang", F.col("gram").alias("item"), "n", F.length("gram").alias("k"))
     grams_ = grams_.withColumn("r", F.row_number().over(Window.partitionBy("gl_lang", "k").orderBy(F.desc("n"), "item"))).where(F.col("r") <= GRAMS // LONGEST)
-    langs = sorted(r["gl_lang"] for r in sizes.select("gl_lang").collect())
+    langs = sorted(r["gl_lang"] for r in sizes)
     totals = dict.fromkeys(langs, 0) | {r["gl_lang"]: r["n"] for r in counts.groupBy("gl_lang").agg(F.sum("n").alias("n")).collect()}
     model = {"langs": langs, "words": _frequencies(words.collect(), langs, [totals[x] for x in langs])}
     by_length: dict[int, list] = {}
