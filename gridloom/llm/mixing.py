@@ -82,7 +82,8 @@ def drawn(docs: DataFrame, keep: list[str], text: str = "text", source: str = "s
     earlier = Window.partitionBy(*at, "gl_size").orderBy("gl_bucket").rowsBetween(Window.unboundedPreceding, -1)
     skipped = crowded.select(*keys, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("gl_skip"))
     inner = F.row_number().over(Window.partitionBy(*keys).orderBy("gl_order", "gl_key"))
-    out = out.withColumn("gl_inner", inner).join(skipped, keys, "left")
+    # dealt anew by bucket: the join before deals by size alone, and one size may hold a third of the rows
+    out = out.repartition(*keys).withColumn("gl_inner", inner).join(skipped, keys, "left")
     rank = F.col("gl_start") + F.coalesce("gl_skip", F.lit(0)) + F.col("gl_inner") - 1
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
     copies = F.floor((rank + 1) * rate + F.col("offset")) - F.floor(rank * rate + F.col("offset"))
