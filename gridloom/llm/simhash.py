@@ -136,12 +136,16 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS)
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-                # all but the last task of what is held is whole
-                ids = batch.column(1).to_numpy()
-                if sum(b.num_rows for b in held) >= 4 * tile_rows and held[0].column(1)[0].as_py() != ids[-1]:
-                    cut = int(np.flatnonzero(ids != ids[-1])[-1]) + 1 if (ids != ids[-1]).any() else 0
-                    yield from compared([*held[:-1], batch.slice(0, cut)])
-                    held = [batch.slice(cut)]
+                # all but the last task of what is held is whole; its first row may lie several batches back
+                if sum(b.num_rows for b in held) >= 4 * tile_rows:
+                    last = batch.column(1)[-1].as_py()
+                    for k in reversed(range(len(held))):
+                        others = np.flatnonzero(held[k].column(1).to_numpy() != last)
+                        if len(others):
+                            cut = int(others[-1]) + 1
+                            yield from compared([*held[:k], held[k].slice(0, cut)])
+                            held = [held[k].slice(cut), *held[k + 1 :]]
+                            break
         if held:
             yield from compared(held)
 

@@ -246,6 +246,23 @@ def test_links_and_components(spark, tile_rows):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+@pytest.mark.parametrize("rows_per_batch", [7, 10_000])
+def test_links_of_a_task_over_several_batches(spark, rows_per_batch):
+    rnd = np.random.default_rng(4)
+    # all share the upper part only, and each pair differs by one bit in each of the two others
+    low = rnd.choice(1 << 42, 400, replace=False).tolist()
+    pairs = {(x, x ^ 1 << int(rnd.integers(21)) ^ 1 << int(rnd.integers(21, 42))) for x in low}
+    values = sorted({v for p in pairs for v in p})
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, rows_per_batch)
+    try:
+        got = {(r["u"], r["v"]) for r in simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"), tile_rows=64).collect()}
+    finally:
+        spark.conf.set(conf, before)
+    assert {(min(p), max(p)) for p in pairs} <= got
+
+
 def test_long_chain(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001)]
     out = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
