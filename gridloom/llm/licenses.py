@@ -8,7 +8,8 @@ priority, so nothing suppresses them.
 
 The rules are names of licences (with their versions) put into a few shapes, from
 the most to the least specific: identifier tags, grants, canonical addresses,
-titles; and further sentences of single licences.
+titles; and further sentences of single licences.  A rule runs on texts that hold one
+of its keywords; every match of the rule holds one, whichever alternative it takes.
 
 Defined results: a null or empty text has no words, no detection and a score of 0;
 repeated rows are scanned one by one; texts are scanned whole.
@@ -36,14 +37,14 @@ BASE = (
 class Rule(NamedTuple):
     priority: int
     label: str
-    keyword: bytes
+    keywords: tuple[bytes, ...]
     regex: str
     confidence: float
 
 
-#: label, keyword, name as a regular expression over words, identifier tags.
+#: label, keywords divided by |, name as a regular expression over words, identifier tags.
 NAMES = (
-    ("mit", "mit", r"mit(?: expat)?|expat", "mit"),
+    ("mit", "mit|expat", r"mit(?: expat)?|expat", "mit"),
     ("mit-0", "mit", r"mit no attribution|mit 0", "mit 0"),
     ("apache-1.1", "apache", r"apache(?: software)?(?: license)?(?: version)? 1 1", "apache 1 1"),
     ("apache-2", "apache", r"apache(?: software)?(?: license)?(?: version)? 2(?: 0)?", "apache 2 0"),
@@ -51,7 +52,7 @@ NAMES = (
     ("bsd-2-clause", "bsd", r"(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd)", "bsd 2 clause"),
     ("bsd-3-clause", "bsd", r"(?:new bsd|revised bsd|modified bsd|bsd 3 clause|3 clause bsd)", "bsd 3 clause"),
     ("bsd-4-clause", "bsd", r"(?:original bsd|bsd 4 clause|4 clause bsd)", "bsd 4 clause"),
-    ("0bsd", "0bsd", r"(?:zero clause bsd|0bsd)", "0bsd"),
+    ("0bsd", "0bsd|zero clause bsd", r"(?:zero clause bsd|0bsd)", "0bsd"),
     ("bsd", "bsd", r"bsd", "bsd"),
     ("gpl-1", "gpl", r"gpl ?v?1(?: 0)?", "gpl 1 0(?: only| or later)?"),
     ("gpl-2", "gpl", r"gpl ?v?2(?: 0)?", "gpl 2 0(?: only| or later)?"),
@@ -83,7 +84,7 @@ NAMES = (
     ("wtfpl", "wtfpl", r"wtfpl", "wtfpl"),
     ("eupl-1.2", "european union public", r"european union public(?: licen[cs]e)?(?: version 1 2)?", "eupl 1 2"),
     ("postgresql", "postgresql", r"postgresql", "postgresql"),
-    ("python-2", "python", r"python software foundation|psf", "psf 2 0"),
+    ("python-2", "python|psf", r"python software foundation|psf", "psf 2 0"),
     ("ruby", "ruby", r"ruby", "ruby"),
     ("openssl", "openssl", r"openssl", "openssl"),
     ("ofl-1.1", "open font", r"sil open font|open font", "ofl 1 1"),
@@ -104,13 +105,13 @@ NAMES = (
     ("cc-by-nc-sa", "creative commons", r"creative commons attribution non ?commercial share ?alike(?: [1-4] [0-9])?", "creative commons by nc sa"),
     ("cc-by-nc-nd", "creative commons", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s(?: [1-4] [0-9])?", "creative commons by nc nd"),
 )
-#: Priority, confidence and form of each shape; {n} is a name, {t} its tags.
+#: Priority, confidence, form and keywords of each shape; {n} is a name, {t} its tags, no keywords those of the name.
 SHAPES = (
-    (1, 1.0, r"spdx license identifier (?:{t})"),
-    (2, 0.95, r"(?:licen[cs]ed|released|distributed|available|provided|published|redistributed|shared|offered) under(?: the)?(?: terms of)?(?: the)? (?:{n})(?: licen[cs]e)?"),
-    (3, 0.9, r"(?:opensource org licenses|choosealicense com licenses|spdx org licenses) (?:{t})"),
-    (4, 0.8, r"(?:this is the |the )?(?:{n}) licen[cs]e"),
-    (5, 0.7, r"licen[cs]e(?: is| type| name)? (?:{n})"),
+    (1, 1.0, r"spdx license identifier (?:{t})", "spdx license identifier"),
+    (2, 0.95, r"(?:licen[cs]ed|released|distributed|available|provided|published|redistributed|shared|offered) under(?: the)?(?: terms of)?(?: the)? (?:{n})(?: licen[cs]e)?", ""),
+    (3, 0.9, r"(?:opensource org licenses|choosealicense com licenses|spdx org licenses) (?:{t})", "opensource org licenses|choosealicense com licenses|spdx org licenses"),
+    (4, 0.8, r"(?:this is the |the )?(?:{n}) licen[cs]e", ""),
+    (5, 0.7, r"licen[cs]e(?: is| type| name)? (?:{n})", ""),
 )
 #: Sentences that name no licence or need no shape: label, keyword, expression, confidence.
 SENTENCES = (
@@ -140,10 +141,11 @@ SENTENCES = (
 @cache
 def rules() -> tuple[Rule, ...]:
     """All rules in order of priority; those of the base phrases have priority 0."""
-    out = [Rule(0, label, phrase.encode(), phrase, 1.0) for phrase, label in BASE]
-    for label, keyword, name, tags in NAMES:
-        out += [Rule(p, label, keyword.encode(), shape.format(n=name, t=tags), c) for p, c, shape in SHAPES]
-    out += [Rule(6, label, keyword.encode(), regex, c) for label, keyword, regex, c in SENTENCES]
+    words = lambda keywords: tuple(keywords.encode().split(b"|"))
+    out = [Rule(0, label, words(phrase), phrase, 1.0) for phrase, label in BASE]
+    for label, keywords, name, tags in NAMES:
+        out += [Rule(p, label, words(own or keywords), shape.format(n=name, t=tags), c) for p, c, shape, own in SHAPES]
+    out += [Rule(6, label, words(keywords), regex, c) for label, keywords, regex, c in SENTENCES]
     return tuple(sorted(out))
 
 
@@ -161,12 +163,13 @@ class Scanner:
         self.rules = rules()
         self.compiled: dict[int, re.Pattern] = {}
         for i, r in enumerate(self.rules):
-            self.by_keyword.setdefault(r.keyword, []).append(i)
+            for k in r.keywords:
+                self.by_keyword.setdefault(k, []).append(i)
 
     def detect(self, norm: bytes) -> list[tuple[int, int, int]]:
         """Accepted detections: rule, first byte and end in the normalised text."""
         found = []
-        for i in sorted(i for k, of in self.by_keyword.items() if k in norm for i in of):
+        for i in sorted({i for k, of in self.by_keyword.items() if k in norm for i in of}):
             if i not in self.compiled:
                 self.compiled[i] = re.compile(rb"(?<= )(?:" + self.rules[i].regex.encode() + rb")(?= )")
             found += [(i, m.start(), m.end()) for m in self.compiled[i].finditer(norm)]

@@ -106,6 +106,42 @@ def plain(pattern, text, check, flags=0):
     return [m.span() for m in re.finditer(pattern, text, flags) if check(m)]
 
 
+def variants(parsed):
+    """Texts that an expression matches, such that every alternative and every optional part is in one of them and left out of one."""
+    out = [""]
+    for op, of in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            more = [chr(of)]
+        elif op == "IN":
+            more = [chr(x if str(k) == "LITERAL" else x[0]) for k, x in of]
+        elif op == "SUBPATTERN":
+            more = variants(of[-1])
+        elif op == "BRANCH":
+            more = [x for branch in of[1] for x in variants(branch)]
+        else:
+            assert op == "MAX_REPEAT" and of[:2] == (0, 1)
+            more = ["", *variants(of[2])]
+        n = max(len(out), len(more))
+        out = [out[i % len(out)] + more[(i + i // len(more)) % len(more)] for i in range(n if len(out) == 1 or len(more) == 1 else 2 * n)]
+    return list(dict.fromkeys(out))
+
+
+def test_every_license_rule_can_fire(spark):
+    scanner = licenses.Scanner()
+    for i, r in enumerate(scanner.rules):
+        given = [x.replace(",", "") for x in variants(re._parser.parse(r.regex))]
+        assert len(given) >= r.regex.count("|") + 1
+        for x in given:
+            norm = licenses.normalised(x.encode())
+            assert re.search(rb"(?<= )(?:" + r.regex.encode() + rb")(?= )", norm), (r, x)
+            assert any(i in scanner.by_keyword[k] for k in scanner.by_keyword if k in norm), (r, x)
+            assert scanner.detect(norm), (r, x)
+    tags = [("SPDX-License-Identifier: MPL-2.0", "mpl-2"), ("https://opensource.org/licenses/EPL-2.0", "epl-2"), ("licensed under the PSF license", "python-2"), ("released under the Expat license", "mit"), ("the zero-clause BSD license", "0bsd")]
+    docs = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(tags)], "doc_id long, text string")
+    assert [(r["labels"], r["score"] > 0) for r in licenses.report(docs).orderBy("doc_id").collect()] == [(label, True) for _, label in tags]
+
+
 def brute_pii(text):
     text = text or ""
     digits = lambda m: re.sub("[^0-9]", "", m.group())
