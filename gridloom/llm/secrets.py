@@ -8,6 +8,13 @@ not worked on again, so cycles end.  Every layer carries the place of each of it
 characters in the text, exact for escapes and the whole segment for base64, so a
 secret at any depth maps to a span of the text.
 
+A base64 segment is a run of its letters, or a block of runs over consecutive lines
+(line breaks may be written ``\\n``, and lines be quoted or indented).  Each is decoded
+at all four offsets, since it may be glued to a path or a name, and compressed bytes
+are looked for after every character that a path or name can end with.  Decoded bytes
+are read whatever else they hold, and once more without zero bytes (UTF-16, UTF-32).
+A block needs one line of 16 letters or more.
+
 Defined results: a null or empty text has no spans; an added span equal to, or
 within, a base span of its kind is left out; a compressed segment that would grow
 beyond ``MAX_LAYER`` bytes is not unwrapped but reported as a span of kind
@@ -17,7 +24,6 @@ beyond ``MAX_LAYER`` bytes is not unwrapped but reported as a span of kind
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -46,6 +52,12 @@ _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# a whole run, then more runs on the lines that follow; possessive, so that long runs are read once
+_BLOCK = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t>#*]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_RUN = re.compile(r"(?:(?<=\\n)|(?<![A-Za-z0-9+/_\\-]))[A-Za-z0-9+/_-]+")
+_GLUE = re.compile(r"[+/_-]")
+_MAGIC = (b"\x1f\x8b", *(bytes([0x78, x]) for x in range(256) if (0x7800 | x) % 31 == 0), b"BZh", b"\xfd7zXZ\x00", b"\x28\xb5\x2f\xfd")
+_ESCAPED_BYTES = re.compile(rb"%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]|&#")
 _ESCAPED = re.compile(r"%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]|&#")
 
 
@@ -137,25 +149,68 @@ def inflated(raw: bytes, limit: int) -> bytes | None:
     return out
 
 
-def printable(raw: bytes) -> str | None:
-    """The bytes as text, if they are UTF-8 without control characters."""
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and not re.search(r"[\x00-\x08\x0E-\x1F\x7F]", text) else None
+def readings(raw: bytes) -> list[str]:
+    """The bytes as texts, as they are and without zero bytes; only those that can hold a secret or a further segment."""
+    out = []
+    for x in (raw, raw.replace(b"\0", b"")) if b"\0" in raw else (raw,):
+        low = x.translate(_LOWER)
+        if any(w in low for w in _WORDS) or b"AKIA" in x or b"h" * 24 in x.translate(_HEX_TABLE) or b"b" * 16 in x.translate(_B64_TABLE) or _ESCAPED_BYTES.search(x):
+            out.append(x.decode("utf-8", "replace"))
+    return out
 
 
-def unwrapped(raw: bytes, limit: int) -> tuple[str, str] | None:
-    """Text and the names of the compressions around it; None if the bytes lead to no text."""
+def unwrapped(raw: bytes, limit: int) -> list[tuple[str, str]]:
+    """Texts and the names of the compressions around them."""
     chain, seen = "", set()
     while (key := hashlib.blake2b(raw).digest()) not in seen:
         seen.add(key)
         if (inner := inflated(raw, limit)) is None:
-            text = printable(raw)
-            return (text, chain) if text is not None else None
+            return [(text, chain) for text in readings(raw)]
         raw, chain = inner, chain + ">inflate"
-    return None
+    return []
+
+
+def decoded(run: str, limit: int) -> tuple[list[tuple[str, str]], bool]:
+    """What a run of base64 holds, at each offset, as texts and chains; and whether something in it is oversize."""
+    body = run.rstrip("=")
+    starts: list[list[int]] = [[0], [], [], []]
+    for m in _GLUE.finditer(body):
+        starts[m.end() % 4].append(m.end() // 4 * 3)
+    body = body.replace("-", "+").replace("_", "/")
+    out: list[tuple[str, str]] = []
+    oversize = False
+    for k in range(4):
+        part = body[k : len(body) - 1 if (len(body) - k) % 4 == 1 else len(body)]
+        raw = base64.b64decode(part + "=" * (-len(part) % 4))
+        out += [(text, "") for text in readings(raw)]
+        for at in starts[k]:
+            if raw.startswith(_MAGIC, at):
+                try:
+                    out += [x for x in unwrapped(raw[at:], limit) if x[1]]
+                except Oversize:
+                    oversize = True
+    return out, oversize
+
+
+def segments(text: str) -> list[tuple[int, int, str]]:
+    """Start, end and letters of the base64 runs, and of the blocks over several lines."""
+    out = [(m.start(), m.end(), m.group()) for m in _BASE64.finditer(text)]
+    for m in _BLOCK.finditer(text) if "\n" in text or "\\n" in text else ():
+        runs = [(x.start(), x.end(), x.group()) for x in _RUN.finditer(text, m.start(), m.end())]
+        # all lines, and all but the last, which may begin other text
+        ranges = {(0, len(runs)), (0, len(runs) - 1)}
+        i = 0
+        while i < len(runs):
+            # lines of one width, with and without a shorter last one
+            j = i + 1
+            while j < len(runs) and len(runs[j][2]) == len(runs[i][2]):
+                j += 1
+            ranges |= {(i, j), (i, j + 1)} if j < len(runs) and len(runs[j][2]) < len(runs[i][2]) else {(i, j)}
+            i = j
+        for i, j in sorted(ranges):
+            if j - i > 1 and max(len(x[2]) for x in runs[i:j]) >= 16:
+                out.append((runs[i][0], runs[j - 1][1], "".join(x[2] for x in runs[i:j])))
+    return out
 
 
 def scan_text(text: str, limit: int = MAX_LAYER) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, str]]]:
@@ -171,19 +226,11 @@ def scan_text(text: str, limit: int = MAX_LAYER) -> tuple[list[tuple[str, int, i
         for kind, a, b in base_spans(layer.text) if layer.chain else ():
             added.setdefault((kind, *layer.span(a, b)), layer.chain[1:])
         fresh: list[Layer] = [x for form in ("url", "unicode") if (x := unescaped(layer, form))]
-        for m in _BASE64.finditer(layer.text):
-            body = m.group().rstrip("=").replace("-", "+").replace("_", "/")
-            if len(body) % 4 == 1:
-                continue
-            try:
-                found = unwrapped(base64.b64decode(body + "=" * (-len(body) % 4)), limit)
-            except binascii.Error:
-                continue
-            except Oversize:
-                added.setdefault(("oversize", *layer.span(m.start(), m.end())), layer.chain[1:] + ">base64")
-                continue
-            if found:
-                fresh.append(Layer(found[0], whole=layer.span(m.start(), m.end()), chain=f"{layer.chain}>base64{found[1]}"))
+        for a, b, run in segments(layer.text):
+            found, oversize = decoded(run, limit)
+            if oversize:
+                added.setdefault(("oversize", *layer.span(a, b)), layer.chain[1:] + ">base64")
+            fresh += [Layer(x, whole=layer.span(a, b), chain=f"{layer.chain}>base64{chain}") for x, chain in found]
         for x in fresh:
             # a layer's own text decides, with its place: the same blob elsewhere is another find
             key = _key(x.text, x.whole)

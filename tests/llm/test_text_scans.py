@@ -215,6 +215,36 @@ def test_secret_cycles_bombs_and_redaction(spark):
     assert [tuple(r) for r in secrets.redact(df).orderBy("doc_id").collect()] == [(1, "a [REDACTED] b", 14), (2, None, None), (3, "clean", 5)]
 
 
+def test_secrets_in_wrapped_glued_and_binary_segments():
+    import base64
+    import gzip
+    import random
+    import textwrap
+
+    rnd = random.Random(8)
+    noise = "".join(rnd.choice("ghijklmn opqrstuvw xyz.,") for _ in range(300))
+    secret = noise + ' password = "hunter2hunter2" ' + noise
+    of = lambda raw: base64.b64encode(raw).decode()
+    found = lambda text: [text[a:b] for k, a, b, _ in secrets.scan_text(text)[1] if k == "assign"]
+    for width in (64, 76):
+        for raw in (secret.encode(), gzip.compress(secret.encode(), mtime=0)):
+            lines = textwrap.wrap(of(raw), width)
+            for glue in ("\n", "\r\n", "\n  ", "\n> ", "\\n"):
+                block = glue.join(lines)
+                for text in (block, f"see {block}\nthe end", f"-----BEGIN CERTIFICATE-----{glue}{block}{glue}-----END CERTIFICATE-----", f"a word\n{block}\n"):
+                    # whatever is found lies in the block, and the widest find is all of it but for the padding
+                    assert any(x.rstrip("=") in block and len(x) >= len(block.rstrip("=")) - width for x in found(text)) or any(block.rstrip("=") in x for x in found(text)), (width, glue, text)
+    short = 'password = "hunter2hunter2"'
+    assert found("see " + "\n".join(textwrap.wrap(of(("pass" * 10 + short).encode()), 64)))
+    for raw in (short.encode(), gzip.compress(short.encode(), mtime=0)):
+        for before in ("/data/", "key_", "a-b-", "x/y_z/", "ab_"):
+            assert found(f"open {before}{of(raw)} now"), (before, raw)
+    for raw in (b"\x01" + short.encode(), short.encode() + b"\xff\x00", short.encode("utf-16"), short.encode("utf-16-be"), gzip.compress(short.encode("utf-16-le"))):
+        assert found(f"see {of(raw)} there"), raw
+    assert secrets.redacted(text := f"see {of(short.encode('utf-16'))} there", [x for part in secrets.scan_text(text) for x in part]).count("[REDACTED]") == 1
+    assert secrets.scan_text("/usr/lib/python_site-packages/" + "some_longer-name/" * 2000)[1] == []
+
+
 def test_token_counts(odd, docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
