@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
-from gridloom.llm import langid, mixing, quality, simhash, url_filter
+from gridloom.llm import langid, mixing, neardup, quality, simhash, url_filter
 from pyspark.sql import functions as F
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -278,3 +278,47 @@ def test_deduplicated(odd, docs):
         left = simhash.deduplicated(df)
         assert left.columns == df.columns
         assert sorted((r["doc_id"] for r in left.collect()), key=repr) == sorted(least.values(), key=repr)
+
+
+def brute_near(rows):
+    """The ids that stay: five-word shingles as strings, all pairs."""
+    sets = []
+    for _, text, *_ in rows:
+        words = WORDS.findall((text or "").translate(str.maketrans(UP, LOW)))
+        sets.append({" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
+                up[find(i)] = find(j)
+    least = {}
+    for i, (d, *_) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), (True, 0)), (d is None, d or 0))
+    return sorted(None if none else d for none, d in least.values() if not none) + [None] * sum(none for none, _ in least.values())
+
+
+def test_near_duplicates_by_shingles(spark, odd, docs, empty):
+    import corpus_pipeline
+
+    rnd = np.random.default_rng(6)
+    rows, k = [], 0
+    for _ in range(30):
+        words = [f"w{int(x)}" for x in rnd.integers(0, 5000, int(rnd.integers(8, 200)))]
+        for _ in range(6):  # copies of copies, near the threshold
+            rows.append((k, " ".join(words)))
+            k += 1
+            for at in rnd.integers(0, len(words), 1 + len(words) // 60):
+                words[at] = f"x{int(rnd.integers(0, 5000))}"
+    made = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    for df, of in ((made, rows), (odd[0], odd[1]), docs):
+        out = corpus_pipeline.keep_one_of_each(spark, df, "")
+        assert out.columns == df.columns
+        got = [r["doc_id"] for r in out.collect()]
+        assert sorted(x for x in got if x is not None) + [x for x in got if x is None] == brute_near(of)
+    assert corpus_pipeline.keep_one_of_each(spark, empty, "").count() == 0
