@@ -268,5 +268,20 @@ def test_token_pieces_are_safe_and_memo_is_bounded():
     def check(items):
         assert counter.counts(items) == counter.encode(items)
         assert len(counter.known) <= 5 + sum(map(len, items))
+        assert [sum(counter.encode(tokens.stretches(x, 4))) for x in items] == counter.encode(items)
 
     check()
+
+
+def test_token_batches_and_pieces_without_text(spark):
+    rnd = __import__("random").Random(3)
+    sizes = [rnd.randrange(0, 300) for _ in range(200)] + [0, 0, 5000]
+    got = tokens.batches(sizes, 1000)
+    assert sorted(i for b in got for i in b) == list(range(len(sizes)))
+    assert all(len(b) == 1 or sum(sizes[i] for i in b) <= 1000 for b in got) and tokens.batches([0]) == [[0]] and tokens.batches([]) == []
+    long = "".join(rnd.choice(["word", "123", "\t", "\n ", "é", "<|endoftext|>"]) for _ in range(9000))
+    assert len(tokens.stretches(long)) > 5 and "".join(tokens.stretches(long)) == long
+    for items in ([None], [""], ["hello "], [" "], [None, "", "a "], [long]):
+        want = [len(tokens.Counter(__import__("public_tokenizers").path(tokens.TOKENIZER)).tokenizer.encode(x or "", add_special_tokens=False)) for x in items]
+        df = spark.createDataFrame([(i, x) for i, x in enumerate(items)], "doc_id long, text string")
+        assert [r["n_tokens"] for r in tokens.report(df).orderBy("doc_id").collect()] == want
