@@ -19,8 +19,8 @@ from gridloom.functions import formulas as fx
 from gridloom.functions import scalars as S
 from gridloom.operators import detect, graph, joins, profiles, rollups, rules
 from gridloom.operators import similarity as sim
-from gridloom.operators.graph import spool
 from gridloom.sources import workbook
+from gridloom.storage import spool
 
 Tables = dict[str, DataFrame]
 KEYS = detect.KEYS
