@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from gridloom.storage import clear_spool, mark, release, shared_folder, spool
+
+__all__ = ["annotate", "chunks", "clear_spool", "free_name", "let", "mark", "name", "offsets", "raw_texts", "release", "shared_folder", "sheltered", "spool", "table", "texts"]
+
 #: The struct column in which an Arrow pass returns what it found for a row.
 RESULT = "gl_result"
 #: Bytes of text that an Arrow pass works on at once; a longer text makes a chunk of its own.
@@ -34,33 +37,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        sc.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def spool(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder and read it back: cuts lineage, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/gridloom-spool/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def name(column: str) -> Column:
+    """A column by its exact name, dots included."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
-def clear_spool(spark: SparkSession) -> None:
-    """Delete what spool() has written in the shared folder; for a job's end, when no frame reads it any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/gridloom-spool")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def free_name(wanted: str, taken: list[str]) -> str:
+    """The wanted column name, or it with the first number that no column has; Spark's names ignore case."""
+    held, out, k = {x.lower() for x in taken}, wanted, 0
+    while out.lower() in held:
+        k += 1
+        out = f"{wanted}_{k}"
+    return out
 
 
-def name(column: str) -> Column:
-    """A column by its exact name, dots included."""
-    return F.col("`" + column.replace("`", "``") + "`")
+def sheltered(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator that returns its first table's columns: those whose names begin like this subpackage's own,
+    with ``gl_``, bear other names meanwhile, so that neither can overwrite the other."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        own = docs.columns
+        if not any(c.lower().startswith("gl_") for c in own):
+            return operator(docs, *args, **options)
+        new: list[str] = []
+        for i, c in enumerate(own):
+            new.append(free_name(f"held_{i}_{c}", [*own, *new]) if c.lower().startswith("gl_") else c)
+        back = dict(zip(new, own, strict=True))
+        renamed = docs.select(*(name(c).alias(n) for c, n in zip(own, new, strict=True)))
+        moved = {k: back_to for back_to, k in back.items()}
+        options = {k: moved.get(v, v) if isinstance(v, str) else v for k, v in options.items()}
+        out = operator(renamed, *args, **options)
+        return out.select(*(name(c).alias(back.get(c, c)) for c in out.columns))
+
+    return run
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

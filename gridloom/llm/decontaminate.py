@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import ALNUM_TABLE, RESULT, annotate, offsets, raw_texts
+from gridloom.llm.common import ALNUM_TABLE, RESULT, annotate, offsets, raw_texts, sheltered
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
@@ -256,6 +256,7 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     )
 
 
+@sheltered
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents in which no window of a benchmark item stands, all their columns as they were."""
     found = find_contamination(docs, benchmark, docs.columns, **options)

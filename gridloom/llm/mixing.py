@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.llm.common import name, spool
+from gridloom.llm.common import free_name, name, sheltered, spool
 
 WEIGHTS = (5, 2, 1)
 BUDGET, CAP = 1.5, 2
@@ -96,12 +96,14 @@ def report(docs: DataFrame, **options) -> DataFrame:
     return out.select("doc_id", F.col("gl_size").alias("size"), F.col("gl_source_size").alias("source_size"), F.col("gl_target").alias("target"), (F.col("gl_copies") * F.col("gl_size")).alias("taken"))
 
 
+@sheltered
 def mixed(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The documents as often as the mix takes them, with the column copy from 1.
+    """The documents as often as the mix takes them, with the column copy from 1 (copy_1 where documents have a copy).
 
     Texts move once, to meet their copies by ``key``; where keys are null or repeat, the rows are numbered and
     written down first, and the numbers meet instead.
     """
+    added = free_name("copy", docs.columns)
     n, distinct = docs.select(name(key).alias("k")).agg(F.count("*"), F.count_distinct("k")).first()
     row = key
     if n != distinct:
@@ -109,5 +111,5 @@ def mixed(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     taken = drawn(docs, [row], key=key, **options).where("gl_copies > 0").select(name(row).alias("gl_taken"), "gl_copies")
     # the copies are as many rows as the documents: one plan at every size
     out = docs.join(spool(taken).hint("merge"), name(row) == F.col("gl_taken"))
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("gl_copies"))))
+    out = out.withColumn(added, F.explode(F.sequence(F.lit(1).cast("long"), F.col("gl_copies"))))
     return out.drop("gl_row", "gl_taken", "gl_copies")

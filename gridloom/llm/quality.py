@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import let, name, spool
+from gridloom.llm.common import let, name, sheltered, spool
 
 #: Share of a group that a concentration step keeps, and the factor that makes its
 #: scatter consistent under normality in five dimensions: H / P(chi2_7 <= q), q the H-quantile of chi2_5.
@@ -189,6 +189,7 @@ def report(docs: DataFrame, **options) -> DataFrame:
     return out.select("doc_id", *(F.col(f"gl_{k}").alias(k) for k in counts), F.col("gl_failed").alias("base_failed"), F.col("gl_kept").alias("kept"), F.round("gl_d2", 3).alias("distance"))
 
 
+@sheltered
 def kept(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The documents that the rules keep, their columns as they were.
 

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import RESULT, annotate, texts
+from gridloom.llm.common import RESULT, annotate, sheltered, texts
 
 #: The kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex")
@@ -305,6 +305,7 @@ def report(docs: DataFrame, **options) -> DataFrame:
     return found.select("doc_id", of("n_assign"), of("n_access"), of("n_hex"), F.sha2(of("base"), 256).alias("base_sha256"), of("spans"), F.size(of("added")).cast("long").alias("n_added"))
 
 
+@sheltered
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with their secrets replaced; n_chars, where there is one, follows the new text."""
     found = scan(docs, docs.columns, text, redact=True)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import RESULT, SPACE_TABLE, annotate, name, raw_texts, spool
+from gridloom.llm.common import RESULT, SPACE_TABLE, annotate, name, raw_texts, sheltered, spool
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 TILE, TILE_ROWS = 512, 8192
@@ -221,6 +221,7 @@ def report(docs: DataFrame, **options) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@sheltered
 def deduplicated(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """One document of each component, the one with the smallest id; its columns as they were.
 
