@@ -59,7 +59,7 @@ def _op2() -> str:
     fits = lambda h, p: f"((host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}'))"
     rule = " ".join(f"WHEN {fits(h, s + p)} THEN '{r.label}'" for r, h, s, p in part)
     verdict = " ".join(f"WHEN rule = '{r.label}' THEN '{r.verdict}'" for r in hosts)
-    pattern = " ".join(f"WHEN regexp_matches({at}, '{quoted(r.regex)}') THEN '{r.label}'" for r in url_filter.PATTERN_RULES)
+    pattern = " ".join(f"WHEN regexp_matches({_lower(at)}, '{quoted(r.regex)}') THEN '{r.label}'" for r in url_filter.PATTERN_RULES)
     return f"""
 WITH split AS (
   SELECT page_id, {_lower("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} AS host,

@@ -8,11 +8,14 @@ run their regular expression.  Everything is DataFrame functions.
 Up to ``inline`` rules the index is a literal map: no shuffle, no join.  A longer
 list is joined by token to the distinct URLs.
 
-Host rules come first, the longest that fits wins; else the pattern rules in their
-order; else allow.
+Host rules come first, the longest that fits wins, ties by label; else the pattern rules
+in their order, A-Z lower-cased first; else allow.
+
+The counts of the rules' tokens are an action that runs while the result is built.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and
-is allowed; repeated rows are judged alike; an empty table gives no rows.
+is allowed; a very long URL is judged whole; repeated rows are judged alike; an empty
+table gives no rows; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -46,10 +49,10 @@ def host_rule(verdict: str, host: str, path: str = "/") -> Rule:
     return Rule(verdict, host + path, regex, tuple(tokens), len(host + path))
 
 
-def word_rule(verdict: str, *words: str) -> Rule:
-    """Fits where the words stand in a row, joined by one of ``. _ -`` or nothing but a separator around them."""
-    body = "[._-]".join(map(re.escape, words))
-    return Rule(verdict, "-".join(words), rf"(?:^|[^a-z0-9]){body}(?:[^a-z0-9]|$)", words)
+def word_rule(verdict: str, *words: str, label: str = "") -> Rule:
+    """Fits where the words stand in a row, joined by one of ``. _ + -``, with a separator around them."""
+    body = "[._+-]".join(map(re.escape, words))
+    return Rule(verdict, label or "-".join(words), rf"(?:^|[^a-z0-9]){body}(?:[^a-z0-9]|$)", words)
 
 
 HOST_RULES = (
@@ -58,30 +61,54 @@ HOST_RULES = (
     host_rule("block", "example.com", "/de/"),
     host_rule("allow", "org", "/fr/"),
 )
-#: Spam, gambling, adult, piracy and malware patterns, in the order in which they are tried.
+#: Phrases by category, in the order in which they are tried.
+PHRASES = {
+    "pharmacy": (
+        "cheap pills", "cheap meds", "diet pills", "viagra", "cialis", "levitra", "kamagra", "sildenafil", "tadalafil", "tramadol",
+        "xanax", "phentermine", "no prescription", "without prescription", "canadian pharmacy", "online pharmacy", "pills online", "buy steroids", "male enhancement", "penis enlargement",
+    ),
+    "gambling": (
+        "online casino", "casino", "casinos", "casino bonus", "sports betting", "sportsbook", "betting odds", "betting tips", "poker", "poker online",
+        "blackjack", "baccarat", "roulette online", "slot machines", "online slots", "free spins", "judi online", "slot gacor", "togel", "sbobet",
+    ),
+    "loans": (
+        "payday loans", "payday loan", "quick loans", "instant loan", "fast cash", "bad credit loans", "no credit check", "debt relief now", "cash advance online", "credit repair secrets",
+    ),
+    "adult": (
+        "xxx", "porn", "porno", "porntube", "pornhub", "xvideos", "xhamster", "redtube", "adult dating", "adult video",
+        "adult chat", "sex cam", "sex cams", "sex chat", "sex videos", "live cams", "webcam girls", "camgirls", "nude pics", "nudes",
+        "hentai", "milf", "escort service", "escorts", "hookup tonight", "hot singles", "onlyfans leak", "erotic stories", "blowjob", "gangbang",
+    ),
+    "piracy": (
+        "warez", "keygen", "keygens", "serial key", "serial keys", "crack download", "cracked software", "cracked apk", "nulled", "nulled scripts",
+        "torrent download", "torrents", "full movie download", "free movie download", "mp3 download", "free ringtones", "license key generator", "activation key free", "mod apk", "rapidshare download",
+    ),
+    "seo": (
+        "spam farm", "link farm", "seo links", "buy backlinks", "backlinks cheap", "guest post service", "article spinner", "buy followers", "buy likes", "buy views",
+        "buy reviews", "traffic exchange", "paid to click", "expired domains list", "link exchange", "directory submission", "doorway page", "cheap seo", "web traffic bot", "autoblog",
+    ),
+    "goods": (
+        "replica watches", "replica handbags", "fake rolex", "fake id", "fake passport", "fake diploma", "buy degree", "cheap jordans", "louis vuitton outlet", "ugg outlet",
+        "wholesale jerseys", "cheap jerseys", "essay writing service", "buy essay", "write my essay", "counterfeit money", "cloned cards", "buy cocaine", "buy weed online", "buy fentanyl",
+    ),
+    "schemes": (
+        "get rich quick", "make money fast", "easy money online", "work from home now", "free bitcoin", "bitcoin doubler", "crypto giveaway", "forex signals free", "binary options", "hyip",
+        "ponzi", "pyramid scheme", "multi level marketing", "passive income secret", "lottery winner", "you have won", "claim your prize", "free gift card", "free iphone", "miracle cure",
+    ),
+    "malware": (
+        "phishing kit", "ransomware download", "free antivirus download", "registry cleaner", "driver updater", "flash player update", "codec pack download", "account hacked", "hack facebook", "hack instagram",
+        "password cracker", "carding", "cvv shop", "botnet", "ddos service", "stresser", "booter", "rat download", "stealer logs", "verify your account",
+    ),
+}
 PATTERN_RULES = (
-    word_rule("block", "cheap", "pills"),
-    word_rule("block", "spam", "farm"),
-    word_rule("block", "online", "casino"),
-    word_rule("block", "casino"),
-    word_rule("block", "sports", "betting"),
-    word_rule("block", "poker"),
-    word_rule("block", "viagra"),
-    word_rule("block", "payday", "loans"),
-    word_rule("block", "free", "ringtones"),
-    word_rule("block", "xxx"),
-    word_rule("block", "porn"),
-    word_rule("block", "adult", "dating"),
-    word_rule("block", "warez"),
-    word_rule("block", "keygen"),
-    word_rule("block", "cracked", "software"),
-    word_rule("block", "torrent", "download"),
-    word_rule("block", "link", "farm"),
-    word_rule("block", "seo", "links"),
-    word_rule("block", "replica", "watches"),
-    word_rule("block", "get", "rich", "quick"),
-    Rule("block", "dotted-quad", r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?(?:/|$)", ()),
-    Rule("block", "phish-login", r"(?:^|[^a-z0-9])login[.-](?:[^/]*[.-])?verify(?:[^a-z0-9]|$)", ("login", "verify")),
+    *(word_rule("block", *phrase.split(), label=f"{kind}/{phrase.replace(' ', '-')}") for kind, phrases in PHRASES.items() for phrase in phrases),
+    Rule("block", "host/dotted-quad", r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?(?:/|$)", ()),
+    Rule("block", "host/many-labels", r"^(?:[^./]+\.){7}", ()),
+    Rule("block", "host/many-hyphens", r"^[^/.]*-[^/.]*-[^/.]*-[^/.]*-[^/.]*\.", ()),
+    Rule("block", "malware/login-verify", r"(?:^|[^a-z0-9])login[.-](?:[^/]*[.-])?verify(?:[^a-z0-9]|$)", ("login", "verify")),
+    Rule("block", "malware/secure-update", r"^[^/]*(?:^|[^a-z0-9])secure[.-](?:[^/]*[.-])?update(?:[^a-z0-9]|$)", ("secure", "update")),
+    Rule("block", "seo/comment-reply", r"/index\.php/comment/reply/[0-9]+(?:/|$)", ("index", "php", "comment", "reply")),
+    Rule("block", "seo/tag-trap", r"(?:/tag/[^/]+){3}", ("tag",)),
 )
 
 
@@ -144,7 +171,9 @@ def judge(
 
 
 def _fits(rule: Column) -> Column:
-    return F.rlike(F.concat("host", "path"), rule["regex"])
+    at = F.concat("host", "path")
+    # paths of host rules are given letter by letter; patterns are in lower case
+    return F.rlike(F.when(rule["length"] > 0, at).otherwise(F.translate(at, UPPER, LOWER)), rule["regex"])
 
 
 def _inline(urls: DataFrame, rules: list[Rule], filed: dict[str, list[int]]) -> DataFrame:
