@@ -15,10 +15,18 @@ are looked for after every character that a path or name can end with.  Decoded
 are read whatever else they hold, and once more without zero bytes (UTF-16, UTF-32).
 A block needs one line of 16 letters or more.
 
+Compressed bytes are inflated as a stream, all members of it and compression inside
+compression too, and read in windows of ``WINDOW`` bytes that overlap by ``OVERLAP``, one
+at a time: memory does not grow with what a segment inflates to, and nothing of it is left
+out.  Only a single match or segment longer than the overlap, in a layer longer than a
+window, may be seen in parts.  An escape of an escape, however deep, is resolved in one step
+(``%252525..41``), so the work stays linear in the text.
+
 Defined results: a null or empty text has no spans; an added span equal to, or
-within, a base span of its kind is left out; a compressed segment that would grow
-beyond ``MAX_LAYER`` bytes is not unwrapped but reported as a span of kind
-``oversize``, for review; repeated rows are scanned one by one.
+within, a base span of its kind is left out; very long texts are scanned whole; equal finds
+at one place are listed once; repeated rows are scanned one by one; an empty table gives no
+rows.  ``redact`` returns all columns as they were but the text and n_chars, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -26,10 +34,11 @@ from __future__ import annotations
 import base64
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
-from collections import deque
+from collections.abc import Iterator
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -39,7 +48,8 @@ from gridloom.llm.common import RESULT, annotate, sheltered, texts
 
 #: The kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex")
-MAX_LAYER = 32 << 20
+#: Bytes of an inflated layer that are read at once, and by which such windows overlap.
+WINDOW, OVERLAP = 8 << 20, 1 << 20
 
 _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -49,8 +59,13 @@ _B64_TABLE = bytes(0x62 if re.match(r"[A-Za-z0-9+/_-]", chr(c)) else 0x20 for c
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+# %25 is an escaped %, and the like: what escapes an escape is passed over at once
+_PERCENT = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+")
+_LAST_BYTE = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
+_UNICODE = re.compile(
+    r"\\(?:u005[cC]|x5[cC])*(?:u\{([0-9A-Fa-f]{1,6})\}|u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))"
+    r"|&(?:#38;|#x26;)*(?:#x([0-9A-Fa-f]{1,6});|#([0-9]{1,7});)"
+)
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 # a whole run, then more runs on the lines that follow; possessive, so that long runs are read once
 _BLOCK = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t>#*]*+[A-Za-z0-9+/_-]++)++={0,2}")
@@ -88,10 +103,6 @@ class Layer:
         return (self.starts[a], self.ends[b - 1]) if self.starts is not None else (a, b)
 
 
-class Oversize(Exception):
-    """A compressed segment grows beyond the limit."""
-
-
 def unescaped(layer: Layer, form: str) -> Layer | None:
     """The layer with all its percent escapes, or all its character escapes, decoded; None if there are none."""
     text, out, starts, ends, at = layer.text, [], [], [], 0
@@ -110,7 +121,7 @@ def unescaped(layer: Layer, form: str) -> Layer | None:
 
     for m in (_PERCENT if form == "url" else _UNICODE).finditer(text):
         if form == "url":
-            raw = bytes.fromhex(m.group().replace("%", ""))
+            raw = bytes.fromhex("".join(_LAST_BYTE.findall(m.group())))
             piece = raw.decode("utf-8", "replace") if len(raw) > 1 else raw.decode("latin-1")
         else:
             code = int(m[6]) if m[6] else int(next(x for x in m.groups() if x), 16)
@@ -127,26 +138,59 @@ def unescaped(layer: Layer, form: str) -> Layer | None:
     return Layer("".join(out), None, None, layer.whole, chain) if layer.whole else Layer("".join(out), starts, ends, None, chain)
 
 
-def inflated(raw: bytes, limit: int) -> bytes | None:
-    """What gzip, zlib, bzip2, xz or zstandard bytes hold, None for others; Oversize beyond the limit."""
+def compression(head: bytes) -> str:
+    """The name of the compression that bytes begin like, or nothing."""
+    if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" and len(head) > 1 and (head[0] << 8 | head[1]) % 31 == 0:
+        return "zlib"
+    return "bzip2" if head[:3] == b"BZh" else "xz" if head[:6] == b"\xfd7zXZ\x00" else "zstd" if head[:4] == b"\x28\xb5\x2f\xfd" else ""
+
+
+def inflated(kind: str, source: Iterator[bytes], step: int) -> Iterator[bytes]:
+    """What compressed bytes hold, all members one after the other, in pieces of up to ``step`` bytes; ends where they are broken."""
+    member, data = None, b""
     try:
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] << 8 | raw[1]) % 31 == 0:
-            d = zlib.decompressobj(zlib.MAX_WBITS | 32)
-            out = d.decompress(raw, limit + 1)
-        elif raw[:3] == b"BZh":
-            out = bz2.BZ2Decompressor().decompress(raw, limit + 1)
-        elif raw[:6] == b"\xfd7zXZ\x00":
-            out = lzma.LZMADecompressor().decompress(raw, limit + 1)
-        elif raw[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(raw) as r:
-                out = r.read(limit + 1)
-        else:
-            return None
+        while True:
+            if not data and not (data := next(source, b"")):
+                return
+            if member is None:
+                if compression(data + (b"" if len(data) > 6 else (more := next(source, b"")))) != kind:
+                    return  # what follows the last member
+                data += b"" if len(data) > 6 else more
+                member = {"zlib": lambda: zlib.decompressobj(zlib.MAX_WBITS | 32), "bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor, "zstd": lambda: zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj()}[kind]()
+            if kind == "zlib":
+                out = member.decompress(data, step)
+                data = member.unused_data if member.eof else member.unconsumed_tail
+                done = member.eof
+            elif kind == "zstd":
+                # this library has no bound on a call's output: small bites keep it small
+                bite, rest = data[:1024], data[1024:]
+                out, done = member.decompress(bite), member.eof
+                data = (member.unused_data if done else b"") + rest
+            else:
+                out, done = member.decompress(data, step), member.eof
+                while out and not done and not member.needs_input:
+                    yield out
+                    out, done = member.decompress(b"", step), member.eof
+                data = member.unused_data if done else b""
+            if out:
+                yield out
+            if done:
+                member = None
     except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, zstandard.ZstdError):
-        return None
-    if len(out) > limit:
-        raise Oversize
-    return out
+        return
+
+
+def windows(source: Iterator[bytes], size: int, overlap: int) -> Iterator[bytes]:
+    """The bytes in stretches of up to ``size`` new bytes, each after the first preceded by the end of the one before."""
+    held, new = bytearray(), 0
+    for piece in source:
+        held += piece
+        new += len(piece)
+        if new >= size:
+            yield bytes(held)
+            held, new = held[-overlap:], 0
+    if new:
+        yield bytes(held)
 
 
 def readings(raw: bytes) -> list[str]:
@@ -159,37 +203,41 @@ def readings(raw: bytes) -> list[str]:
     return out
 
 
-def unwrapped(raw: bytes, limit: int) -> list[tuple[str, str]]:
-    """Texts and the names of the compressions around them."""
-    chain, seen = "", set()
-    while (key := hashlib.blake2b(raw).digest()) not in seen:
+def unwrapped(raw: bytes, size: int = WINDOW, overlap: int = OVERLAP) -> Iterator[tuple[str, str]]:
+    """Texts inside compressed bytes, window by window, and the names of the compressions around them; none if they are not compressed."""
+    source, chain, seen = iter((raw,)), "", set()
+    while True:
+        head = next(source, b"")
+        while len(head) < 64 and (more := next(source, b"")):
+            head += more
+        source = itertools.chain((head,), source)
+        key = hashlib.blake2b(head).digest()
+        # compressed bytes that hold themselves end here
+        if not head or key in seen:
+            return
+        if not (kind := compression(head)):
+            break
         seen.add(key)
-        if (inner := inflated(raw, limit)) is None:
-            return [(text, chain) for text in readings(raw)]
-        raw, chain = inner, chain + ">inflate"
-    return []
+        source, chain = inflated(kind, source, size), chain + ">inflate"
+    if chain:
+        for part in windows(source, size, min(overlap, size)):
+            yield from ((text, chain) for text in readings(part))
 
 
-def decoded(run: str, limit: int) -> tuple[list[tuple[str, str]], bool]:
-    """What a run of base64 holds, at each offset, as texts and chains; and whether something in it is oversize."""
+def decoded(run: str, size: int = WINDOW, overlap: int = OVERLAP) -> Iterator[tuple[str, str]]:
+    """What a run of base64 holds, at each offset, as texts and chains."""
     body = run.rstrip("=")
     starts: list[list[int]] = [[0], [], [], []]
     for m in _GLUE.finditer(body):
         starts[m.end() % 4].append(m.end() // 4 * 3)
     body = body.replace("-", "+").replace("_", "/")
-    out: list[tuple[str, str]] = []
-    oversize = False
     for k in range(4):
         part = body[k : len(body) - 1 if (len(body) - k) % 4 == 1 else len(body)]
         raw = base64.b64decode(part + "=" * (-len(part) % 4))
-        out += [(text, "") for text in readings(raw)]
+        yield from ((text, "") for text in readings(raw))
         for at in starts[k]:
             if raw.startswith(_MAGIC, at):
-                try:
-                    out += [x for x in unwrapped(raw[at:], limit) if x[1]]
-                except Oversize:
-                    oversize = True
-    return out, oversize
+                yield from unwrapped(raw[at:], size, overlap)
 
 
 def segments(text: str) -> list[tuple[int, int, str]]:
@@ -213,41 +261,49 @@ def segments(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def scan_text(text: str, limit: int = MAX_LAYER) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, str]]]:
+def scan_text(text: str, size: int = WINDOW, overlap: int = OVERLAP) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, str]]]:
     """Base spans, and spans of secrets in deeper layers with the decodings that led to them."""
     base = base_spans(text)
     raw = text.encode("utf-8", "surrogatepass")
     if b"b" * 16 not in raw.translate(_B64_TABLE) and not _ESCAPED.search(text):
         return base, []
     added: dict[tuple[str, int, int], str] = {}
-    work, seen = deque([Layer(text)]), {_key(text)}
+    # the worklist holds what a layer's segments decode to, made one layer at a time; the last one's go first
+    work, seen = [fresh_layers(Layer(text), size, overlap)], {_key(text)}
     while work:
-        layer = work.popleft()
-        for kind, a, b in base_spans(layer.text) if layer.chain else ():
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        # a layer's own text decides, with its place: the same blob elsewhere is another find
+        key = _key(layer.text, layer.whole)
+        if key in seen:
+            continue
+        seen.add(key)
+        for kind, a, b in base_spans(layer.text):
             added.setdefault((kind, *layer.span(a, b)), layer.chain[1:])
-        fresh: list[Layer] = [x for form in ("url", "unicode") if (x := unescaped(layer, form))]
-        for a, b, run in segments(layer.text):
-            found, oversize = decoded(run, limit)
-            if oversize:
-                added.setdefault(("oversize", *layer.span(a, b)), layer.chain[1:] + ">base64")
-            fresh += [Layer(x, whole=layer.span(a, b), chain=f"{layer.chain}>base64{chain}") for x, chain in found]
-        for x in fresh:
-            # a layer's own text decides, with its place: the same blob elsewhere is another find
-            key = _key(x.text, x.whole)
-            if key not in seen:
-                seen.add(key)
-                work.append(x)
+        work.append(fresh_layers(layer, size, overlap))
     held: dict[str, list[tuple[int, int]]] = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}
     out = [(k, a, b, chain) for (k, a, b), chain in added.items() if not _within(held.get(k, []), a, b)]
     return base, sorted(out, key=_order)
 
 
+def fresh_layers(layer: Layer, size: int, overlap: int) -> Iterator[Layer]:
+    """The layers that one step of decoding makes of a layer."""
+    for form in ("url", "unicode"):
+        if x := unescaped(layer, form):
+            yield x
+    for a, b, run in segments(layer.text):
+        whole = layer.span(a, b)
+        for text, chain in decoded(run, size, overlap):
+            yield Layer(text, whole=whole, chain=f"{layer.chain}>base64{chain}")
+
+
 def _key(text: str, whole: tuple[int, int] | None = None) -> bytes:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16, salt=b"%d" % (whole[0] if whole else 0)).digest()
 
 
 def _order(x: tuple) -> tuple:
-    return (x[1], KINDS.index(x[0]) if x[0] in KINDS else len(KINDS), x[2])
+    return (x[1], KINDS.index(x[0]), x[2])
 
 
 def _within(spans: list[tuple[int, int]], a: int, b: int) -> bool:
@@ -264,7 +320,7 @@ _FIELDS = (
 )
 
 
-def scan(docs: DataFrame, keep: list[str], text: str = "text", redact: bool = False, limit: int = MAX_LAYER) -> DataFrame:
+def scan(docs: DataFrame, keep: list[str], text: str = "text", redact: bool = False) -> DataFrame:
     """The columns ``keep`` and RESULT: counts, spans, and with ``redact`` the text with every span replaced."""
 
     def start():
@@ -273,7 +329,7 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", redact: bool = Fa
         def work(column):
             out: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "base", "spans", "added", "redacted")}
             for x in texts(column):
-                base, added = scan_text(x, limit)
+                base, added = scan_text(x)
                 for k in KINDS:
                     out[f"n_{k}"].append(sum(s[0] == k for s in base))
                 every = sorted([*base, *added], key=_order)

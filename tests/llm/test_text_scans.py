@@ -208,13 +208,45 @@ def test_secret_cycles_bombs_and_redaction(spark):
     import zlib
 
     assert secrets.scan_text("%2525252525252525") == ([], [])
-    bomb = base64.b64encode(zlib.compress(b"\0" * 10_000_000)).decode()
-    _, added = secrets.scan_text("x " + bomb, limit=1 << 20)
-    assert [x[0] for x in added] == ["oversize"]
+    # a layer of many windows, with a secret across two of them, is scanned whole and in bounded memory
+    tail = b'password = "hunter2hunter2"'
+    for at in (0, 5000, 99_990, 100_003, 10_000_000):
+        bomb = base64.b64encode(zlib.compress(b" " * at + tail + b" " * 1_000_000)).decode()
+        _, added = secrets.scan_text("x " + bomb, size=100_000, overlap=1000)
+        assert [x[0] for x in added] == ["assign"], at
     df = spark.createDataFrame([(1, "a token=abcdefgh b", 18), (2, None, None), (3, "clean", 5)], "doc_id long, text string, n_chars long")
     assert [tuple(r) for r in secrets.redact(df).orderBy("doc_id").collect()] == [(1, "a [REDACTED] b", 14), (2, None, None), (3, "clean", 5)]
 
 
+def test_secrets_in_members_and_deep_escapes():
+    import base64
+    import bz2
+    import gzip
+    import lzma
+    import time
+
+    import zstandard
+
+    short = b'password = "hunter2hunter2"'
+    packs = {"gzip": gzip.compress, "bz2": bz2.compress, "xz": lzma.compress, "zstd": zstandard.ZstdCompressor().compress}
+    found = lambda raw, **o: [x[0] for x in secrets.scan_text("see " + base64.b64encode(raw).decode(), **o)[1]]
+    for name, pack in packs.items():
+        for raw in (pack(short), pack(b"first") + pack(short), pack(b"") + pack(b"x" * 3000) + pack(short) + b"end", pack(b"y" * 70_000 + short)):
+            assert found(raw) == ["assign"], name
+            assert found(raw, size=4096, overlap=100) == ["assign"], name
+        for other in packs.values():
+            assert found(other(pack(short))) == ["assign"], name
+        assert found(pack(b"nothing here at all")) == [] and found(pack(short)[:-9] + b"broken") in ([], ["assign"])
+    for deep in ("%" + "25" * 3000 + "41", "\\" + "u005c" * 3000 + "u0041", "&" + "#38;" * 3000 + "#65;"):
+        began = time.time()
+        (layer,) = [x for x in map(lambda f: secrets.unescaped(secrets.Layer(deep), f), ("url", "unicode")) if x]
+        assert layer.text == "A" and layer.span(0, 1) == (0, len(deep))
+        secrets.scan_text(deep)
+        assert time.time() - began < 0.3
+    escaped = "%" + "25" * 40 + "70assword%3" + "D hunter2hunter2"
+    assert [x[0] for x in secrets.scan_text(escaped)[1]] == ["assign"]
+
+
 def test_secrets_in_wrapped_glued_and_binary_segments():
     import base64
     import gzip
