@@ -1,9 +1,11 @@
 """Quality rules by robust multivariate outliers, DataFrame functions only.
 
 Each text gives a few counts, then a vector of transformed statistics.  For every
-language and source, concentration steps estimate the minimum covariance
-determinant: from medians and quartile ranges on, the documents nearest by
-Mahalanobis distance (a share ``H`` of the group) give the next centre and scatter.
+language and source the minimum covariance determinant is searched for: from several
+starts (medians with quartile ranges, and ``SUBSETS`` small subsets of the group chosen
+by a hash), two concentration steps each take the documents nearest by Mahalanobis
+distance (a share ``H`` of the group) as the next centre and scatter; the start with the
+least determinant goes on until no step lowers it any more (``STEPS`` steps at most).
 A document whose distance to its group's final estimate exceeds ``CUTOFF`` goes.
 
 Statistics are whole thousandths, so sums are exact and quantiles count a bounded
@@ -11,10 +13,15 @@ number of distinct values: the estimates do not depend on the order of rows, and
 group of any size is only ever summed, never gathered.
 
 Groups of fewer than ``MIN_GROUP`` documents share the estimate of their language's
-small groups; where even those are fewer, only the base rules judge.
+small groups; where those are fewer too, that of all such languages together; where even
+these are fewer, only the base rules judge.
+
+Estimates are found by actions that run while the result is built.
 
 Defined results: a null or empty text has no words and fails the base rules; null
-language or source makes a group of its own; repeated rows are judged alike.
+language or source makes a group of its own; very long texts are measured whole; equal
+documents and repeated rows are judged alike; an empty table gives no rows; ``kept`` returns
+all columns as they were, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +34,10 @@ from gridloom.llm.common import let, name, sheltered, spool
 #: Share of a group that a concentration step keeps, and the factor that makes its
 #: scatter consistent under normality in five dimensions: H / P(chi2_7 <= q), q the H-quantile of chi2_5.
 H, CONSISTENCY = 0.75, 1.41
-STEPS = 3
+#: Hashed subsets to start from, about how many documents each has, and the bound of steps from the best start.
+SUBSETS, SUBSET_SIZE, STEPS = 4, 30, 100
+#: A step that lowers a log determinant by less is the last.
+SETTLED = 1e-6
 #: The quantile of chi2_5 that one in a million normal documents exceeds.
 CUTOFF = 35.89
 MIN_GROUP = 60
@@ -93,8 +103,8 @@ def _key(lang: Column, source: Column) -> Column:
     return F.to_json(F.struct(lang.cast("string").alias("lang"), source.cast("string").alias("source")))
 
 
-def attach(rows: DataFrame, table: DataFrame, key: str, n: int, how: str = "inner") -> DataFrame:
-    """Rows with the columns that ``table``, one row a key and ``n`` in all, has for their key.
+def attach(rows: DataFrame, table: DataFrame, key: str | list[str], n: int, how: str = "inner") -> DataFrame:
+    """Rows with the columns that ``table``, of ``n`` keys or groups of a few rows each, has for their key.
 
     Up to ``SENT_GROUPS`` rows the table goes to every task.  Beyond, rows are salted and the table repeated for each
     salt, so the rows of a frequent key spread over ``SALTS`` tasks.
@@ -103,7 +113,8 @@ def attach(rows: DataFrame, table: DataFrame, key: str, n: int, how: str = "inne
         return rows.join(F.broadcast(table), key, how)
     salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
     spread = table.withColumn("gl_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("gl_salt", salt).join(spread, [key, "gl_salt"], how).drop("gl_salt")
+    keys = [key] if isinstance(key, str) else key
+    return rows.withColumn("gl_salt", salt).join(spread, [*keys, "gl_salt"], how).drop("gl_salt")
 
 
 def _distance(df: DataFrame) -> DataFrame:
@@ -137,29 +148,66 @@ def _factored(df: DataFrame, cov: dict[tuple[int, int], Column]) -> DataFrame:
     return df.drop(*(f"s{i}{j}" for i, j in cov))
 
 
-def estimates(rows: DataFrame, n: int, steps: int = STEPS) -> DataFrame:
-    """Centre c0.. and Cholesky factor l00.. of the scatter for every gl_group. rows: gl_group, of which there are n, and the statistics."""
-    d = range(len(_X))
+_D = range(len(_X))
+_START = ["gl_group", "gl_start"]
+_PARAMS = [*(f"c{i}" for i in _D), *(f"l{i}{j}" for i in _D for j in range(i + 1))]
+
+
+def _fitted(rows: DataFrame, consistency: float) -> DataFrame:
+    """Centre and Cholesky factor of the rows of every group and start, and gl_det, the scatter's log determinant."""
+    sums = {f"t{i}": F.sum(f"gl_{k}") for i, k in enumerate(_X)}
+    sums |= {f"p{i}{j}": F.sum(F.col(f"gl_{_X[i]}") * F.col(f"gl_{_X[j]}")) for i in _D for j in range(i + 1)}
+    agg = rows.groupBy(*_START).agg(F.count("*").cast("double").alias("n"), *(c.cast("double").alias(k) for k, c in sums.items()))
+    mean = lambda i: F.col(f"t{i}") / F.col("n")
+    cov = {(i, j): (F.col(f"p{i}{j}") / F.col("n") - mean(i) * mean(j)) * (consistency / _SCALE**2) for i in _D for j in range(i + 1)}
+    out = _factored(agg.select("*", *((mean(i) / _SCALE).alias(f"c{i}") for i in _D)), cov)
+    return out.select(*_START, *_PARAMS, _log_det().alias("gl_det"))
+
+
+def _log_det() -> Column:
+    return 2 * sum((F.log(F.col(f"l{i}{i}")) for i in _D), F.lit(0.0))
+
+
+def _starts(rows: DataFrame, n: int) -> DataFrame:
+    """The first estimates of every group: start 0 from medians and quartile ranges, the others from hashed subsets."""
     quartiles = F.array(*map(F.lit, (0.25, 0.5, 0.75)))
-    at = rows.groupBy("gl_group").agg(*(F.percentile(f"gl_{k}", quartiles).alias(f"q{i}") for i, k in enumerate(_X)))
+    at = rows.groupBy("gl_group").agg(F.count("*").alias("gl_n"), *(F.percentile(f"gl_{k}", quartiles).alias(f"q{i}") for i, k in enumerate(_X)))
+    at = spool(at)
     spread = lambda i: F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / (1.349 * _SCALE), F.lit(FLOORS[_X[i]]))
-    zero = F.lit(0.0)
-    params = at.select("gl_group", *((F.col(f"q{i}")[1] / _SCALE).alias(f"c{i}") for i in d), *((spread(i) if i == j else zero).alias(f"l{i}{j}") for i in d for j in range(i + 1)))
-    for _ in range(steps):
-        params = spool(params)
-        # a few thousand steps of the distance, so that a quantile counts few distinct values
-        near = _distance(attach(rows, params, "gl_group", n)).withColumn("gl_step", F.round(F.log1p("gl_d2") * 200).cast("int"))
-        near = near.select("gl_group", "gl_step", *(f"gl_{k}" for k in _X))
-        cut = near.groupBy("gl_group").agg(F.percentile("gl_step", F.lit(H)).alias("gl_cut"))
-        kept = attach(near, cut, "gl_group", n).where("gl_step <= gl_cut")
-        sums = {f"t{i}": F.sum(f"gl_{k}") for i, k in enumerate(_X)}
-        sums |= {f"p{i}{j}": F.sum(F.col(f"gl_{_X[i]}") * F.col(f"gl_{_X[j]}")) for i in d for j in range(i + 1)}
-        agg = kept.groupBy("gl_group").agg(F.count("*").cast("double").alias("n"), *(c.cast("double").alias(k) for k, c in sums.items()))
-        mean = lambda i: F.col(f"t{i}") / F.col("n")
-        cov = {(i, j): (F.col(f"p{i}{j}") / F.col("n") - mean(i) * mean(j)) * (CONSISTENCY / _SCALE**2) for i in d for j in range(i + 1)}
-        params = _factored(agg.select("*", *((mean(i) / _SCALE).alias(f"c{i}") for i in d)), cov)
-        params = params.select("gl_group", *(f"c{i}" for i in d), *(f"l{i}{j}" for i in d for j in range(i + 1)))
-    return spool(params)
+    first = at.select("gl_group", F.lit(0).alias("gl_start"), *((F.col(f"q{i}")[1] / _SCALE).alias(f"c{i}") for i in _D), *((spread(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in _D for j in range(i + 1)))
+    first = first.select(*_START, *_PARAMS, _log_det().alias("gl_det"))
+    values = [F.col(f"gl_{k}") for k in _X]
+    drawn = F.filter(F.sequence(F.lit(1), F.lit(SUBSETS)), lambda k: F.pmod(F.xxhash64(k, *values), F.col("gl_n")) < SUBSET_SIZE)
+    chosen = attach(rows, at.select("gl_group", "gl_n"), "gl_group", n).select("gl_group", *values, F.explode(drawn).alias("gl_start"))
+    return first.unionByName(_fitted(chosen, 1.0))
+
+
+def _concentrated(rows: DataFrame, params: DataFrame, n: int) -> DataFrame:
+    """One concentration step from every estimate."""
+    # a few thousand steps of the distance, so that a quantile counts few distinct values
+    near = _distance(attach(rows, params, "gl_group", n)).withColumn("gl_step", F.round(F.log1p("gl_d2") * 200).cast("int"))
+    near = near.select(*_START, "gl_step", *(f"gl_{k}" for k in _X))
+    cut = near.groupBy(*_START).agg(F.percentile("gl_step", F.lit(H)).alias("gl_cut"))
+    return _fitted(attach(near, cut, _START, n).where("gl_step <= gl_cut"), CONSISTENCY)
+
+
+def estimates(rows: DataFrame, n: int) -> DataFrame:
+    """Centre c0.. and Cholesky factor l00.. of the scatter for every gl_group. rows: gl_group, of which there are n, and the statistics."""
+    params = spool(_starts(rows, n))
+    for _ in range(2):
+        params = spool(_concentrated(rows, params, n))
+    least = params.groupBy("gl_group").agg(F.min_by(F.struct("gl_start", *_PARAMS, "gl_det"), F.struct("gl_det", "gl_start")).alias("best"))
+    best = spool(least.select("gl_group", "best.*"))
+    for _ in range(STEPS):
+        # a group whose determinant a step does not lower has settled; the others go on
+        after = _concentrated(rows, best.drop("gl_det"), n).withColumnRenamed("gl_det", "gl_after").select(F.struct(*_PARAMS).alias("new"), "gl_group", "gl_after")
+        lower = F.coalesce(F.col("gl_after") < F.col("gl_det") - SETTLED, F.lit(False))
+        both = best.join(after, "gl_group", "left")
+        best = spool(both.select(*_START, *(F.when(lower, F.col(f"new.{k}")).otherwise(F.col(k)).alias(k) for k in _PARAMS), F.when(lower, F.col("gl_after")).otherwise(F.col("gl_det")).alias("gl_det"), lower.alias("gl_moved")))
+        if best.where("gl_moved").isEmpty():
+            break
+        best = best.drop("gl_moved")
+    return best.select("gl_group", *_PARAMS)
 
 
 def judged(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF) -> DataFrame:
@@ -171,8 +219,10 @@ def judged(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "la
     sizes = whole.groupBy("gl_lang", "gl_key").count()
     small = F.to_json(F.struct(F.col("gl_lang").cast("string").alias("small")))
     grouped = sizes.select("gl_key", "count", F.when(F.col("count") < MIN_GROUP, small).otherwise(F.col("gl_key")).alias("gl_group"))
-    totals = grouped.groupBy("gl_group").agg(F.sum("count").alias("gl_total")).where(F.col("gl_total") >= MIN_GROUP)
-    groups = spool(grouped.join(totals, "gl_group").select("gl_key", "gl_group"))
+    total = lambda of: of.groupBy("gl_group").agg(F.sum("count").alias("gl_total"))
+    rest = F.to_json(F.struct(F.lit(True).alias("rest")))
+    grouped = grouped.join(total(grouped), "gl_group").withColumn("gl_group", F.when(F.col("gl_total") < MIN_GROUP, rest).otherwise(F.col("gl_group"))).drop("gl_total")
+    groups = spool(grouped.join(total(grouped).where(F.col("gl_total") >= MIN_GROUP), "gl_group").select("gl_key", "gl_group"))
     n = groups.count()
     params = estimates(attach(whole.drop("gl_lang"), groups, "gl_key", n).drop("gl_key"), n)
     known = groups.join(params, "gl_group").drop("gl_group")
