@@ -103,7 +103,6 @@ def annotate(
     ``start()`` runs once a task and gives a function from the Arrow arrays of ``inputs`` (the first is the
     text, by whose bytes batches are cut) to one list or array for each field.
     """
-    spark = df.sparkSession
     names = list(dict.fromkeys([*keep, *inputs]))
     picked = df.select(*map(name, names))
     made = T.StructType.fromDDL(fields)
@@ -121,8 +120,8 @@ def annotate(
                 out = pa.StructArray.from_arrays([a.cast(f.type) for a, f in zip(arrays, struct, strict=True)], fields=list(struct))
                 yield pa.RecordBatch.from_arrays([*part.columns[:kept], out], names=[*(f.name for f in arrow)])
 
-    assert spark is not None
-    return picked.mapInArrow(run, schema)
+    # an Arrow pass takes no names with dots, and needs none
+    return picked.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, schema)
 
 
 def texts(column: pa.Array) -> list[str]:

@@ -46,13 +46,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.r_[0, ends[: -shingle] + 1]
     digest = xxhash.xxh64_intdigest
-    total, n = np.zeros(_BITS, np.int64), len(starts)
-    for k in range(0, n, 65536):
-        pairs = zip(starts[k : k + 65536].tolist(), ends[k + shingle - 1 : k + 65536 + shingle - 1].tolist(), strict=True)
-        hashes = np.array([digest(joined[a:b], seed) for a, b in pairs], ">u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
+    bounds = zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=True)
+    return majority(np.fromiter((digest(joined[a:b], seed) for a, b in bounds), np.uint64, len(starts)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes: a bit is set where over half of them have it set."""
+    total = np.zeros(_BITS, np.int64)
+    for k in range(0, len(hashes), 65536):
+        bits = np.unpackbits(hashes[k : k + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         total += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", shingle: int = SHINGLE) -> DataFrame:

@@ -31,7 +31,7 @@ WITH items AS (
   SELECT p.rid, p.i, p.size, v.item FROM (SELECT rid, i, size, array_to_string(w[i : i + size - 1], ' ') AS words FROM places) p
   JOIN windows v USING (size, words)
 ), hits AS (
-  SELECT rid, count(DISTINCT j) AS n_hit FROM (SELECT rid, unnest(range(i, i + size)) AS j FROM found) GROUP BY rid
+  SELECT rid, count(DISTINCT j) AS n_hit, min(j) - 1 AS first_hit FROM (SELECT rid, unnest(range(i, i + size)) AS j FROM found) GROUP BY rid
 ), named AS (
   SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM found) GROUP BY rid
 ), spread AS (
@@ -39,14 +39,15 @@ WITH items AS (
 ), longest AS (
   -- runs of words equal on one diagonal, through a window
   SELECT f.rid, max(f.size + extra) AS longest_match FROM (
-    SELECT f.rid, f.size, coalesce((SELECT min(k) FROM unnest(range(0, 1000)) AS x(k)
+    SELECT f.rid, f.size, coalesce((SELECT min(k) FROM unnest(range(0, len(s.w) + 1)) AS x(k)
        WHERE f.i + f.size + k > len(d.w) OR s.t + f.size + k > len(s.w) OR d.w[f.i + f.size + k] <> s.w[s.t + f.size + k]), 0) AS extra
     FROM found f JOIN docs d USING (rid) JOIN spread s
       ON s.item = f.item AND array_to_string(s.w[s.t : s.t + f.size - 1], ' ') = array_to_string(d.w[f.i : f.i + f.size - 1], ' ')
   ) f GROUP BY f.rid
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(longest_match, 0) AS BIGINT) AS longest_match
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(longest_match, 0) AS BIGINT) AS longest_match,
+       CAST(first_hit AS BIGINT) AS first_hit
 FROM docs LEFT JOIN hits USING (rid) LEFT JOIN named USING (rid) LEFT JOIN longest USING (rid)
 """
 

@@ -7,7 +7,8 @@ from conftest import SMALL
 from gridloom.llm import common, quality, secrets
 from gridloom.llm import queries as llm_queries
 from gridloom.llm import sql as llm_sql
-from test_sets import WORDS, brute_components, brute_fingerprint, brute_targets
+from pyspark.sql import functions as F
+from test_sets import WORDS, brute_near, brute_targets
 from test_text_scans import brute_contamination
 
 
@@ -15,12 +16,13 @@ def test_stages_and_run(spark, docs):
     source = docs[0]
     rows = {r["doc_id"]: r for r in source.collect()}
     kept = {r["doc_id"] for r in quality.report(source).where("kept").collect()}
-    prints = [(d, brute_fingerprint(rows[d]["text"])) for d in sorted(kept)]
-    unique = {c for _, _, c in brute_components(prints)}
+    unique = set(brute_near([(d, rows[d]["text"]) for d in sorted(kept)]))
     items = [(r[0], r[1]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     clean = {d for d in unique if not brute_contamination(rows[d]["text"], items)[4]}
     wanted = {d: secrets.redacted(rows[d]["text"], [x for part in secrets.scan_text(rows[d]["text"]) for x in part]) for d in clean}
+    start = common.mark()
     out = corpus_pipeline.run(spark, SMALL)
+    assert common.mark() == start + 1  # the result is all that is left
     assert out.columns == [*source.columns, "copy"]
     got = out.collect()
     assert {r["doc_id"] for r in got} <= clean and all(r["text"] == wanted[r["doc_id"]] and r["n_chars"] == len(r["text"]) for r in got)
@@ -45,6 +47,16 @@ def test_stages_on_odd_and_empty_tables(spark, odd, empty):
             df = common.spool(out)
 
 
+def test_stages_keep_columns_with_names_of_their_own(spark, odd):
+    extra = ["gl_result", "gl_row", "GL_group", "copy", "node", "root", "row", "key", "fp", "a.b", "size", "word"]
+    df = odd[0].select("*", *(F.lit(f"mine {x}").alias(x) for x in extra))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, SMALL)
+        assert out.columns == [*df.columns, *(["copy_1"] if name == "mixing" else [])], name
+        rows = out.collect()
+        assert rows and all(r[x] == f"mine {x}" for r in rows for x in extra), name
+
+
 def test_registration():
     names = llm_queries.queries()
     assert [sum(k.startswith(f"op{n}_") for k in names) for n in range(1, 11)] == [1] * 10

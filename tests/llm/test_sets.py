@@ -80,23 +80,57 @@ def test_quality_base(odd, docs, empty):
     assert quality.report(empty).count() == 0
 
 
-def brute_estimate(x, floors):
-    """Concentration steps over one group in numpy: centre and scatter."""
-    q = lambda v, p: np.quantile(v, p, axis=0)
-    centre = q(x, 0.5) / 1000
-    low = np.diag(np.maximum((q(x, 0.75) - q(x, 0.25)) / 1349, floors))
-    for _ in range(quality.STEPS):
-        z = np.linalg.solve(low, (x / 1000 - centre).T)
-        step = np.floor(np.log1p((z**2).sum(axis=0)) * 200 + 0.5)
-        kept = x[step <= np.quantile(step, quality.H)]
-        centre = kept.mean(axis=0) / 1000
-        cov = np.cov(kept.T, bias=True) * quality.CONSISTENCY / 1e6
-        low = np.zeros_like(cov)
-        for j in range(len(cov)):
-            low[j, j] = np.sqrt(max(cov[j, j] - low[j, :j] @ low[j, :j], floors[j] ** 2))
-            for i in range(j + 1, len(cov)):
-                low[i, j] = (cov[i, j] - low[i, :j] @ low[j, :j]) / low[j, j]
-    return centre, low
+def brute_factor(kept, floors, consistency):
+    """Centre, lower factor with floors on its pivots, and log determinant."""
+    centre, cov = kept.mean(axis=0) / 1000, np.cov(kept.T, bias=True) * consistency / 1e6
+    low = np.zeros_like(cov)
+    for j in range(len(cov)):
+        low[j, j] = np.sqrt(max(cov[j, j] - low[j, :j] @ low[j, :j], floors[j] ** 2))
+        for i in range(j + 1, len(cov)):
+            low[i, j] = (cov[i, j] - low[i, :j] @ low[j, :j]) / low[j, j]
+    return centre, low, 2 * np.log(np.diag(low)).sum()
+
+
+def brute_step(x, centre, low, floors):
+    """One concentration step in numpy."""
+    z = np.linalg.solve(low, (x / 1000 - centre).T)
+    step = np.floor(np.log1p((z**2).sum(axis=0)) * 200 + 0.5)
+    return brute_factor(x[step <= np.quantile(step, quality.H)], floors, quality.CONSISTENCY)
+
+
+def brute_least(x, floors, rnd, starts=60):
+    """The least log determinant from many random starts, each followed to its end."""
+    least = np.inf
+    for _ in range(starts):
+        centre, low, det = brute_factor(x[rnd.choice(len(x), 8, replace=False)], floors, 1.0)
+        before = np.inf
+        for _ in range(60):
+            centre, low, det = brute_step(x, centre, low, floors)
+            if det >= before - 1e-9:
+                break
+            before = det
+        least = min(least, det, before)
+    return least
+
+
+def test_quality_estimate_is_the_least_determinant(spark):
+    rnd = np.random.default_rng(8)
+    floors = np.array(list(quality.FLOORS.values()))
+    names = [f"gl_{k}" for k in quality.FLOORS]
+    groups = {}
+    for g, (far, share) in {"one": (0.0, 0.0), "two": (9.0, 0.2), "three": (-7.0, 0.22)}.items():
+        x = rnd.normal(5, 1.0, (400, 5)) @ (np.eye(5) + 0.4 * rnd.normal(size=(5, 5)))
+        x[: int(400 * share)] = x[: int(400 * share)] * 0.2 + far + rnd.normal(0, 3.0, (int(400 * share), 5))
+        groups[g] = np.floor(x * 1000)
+    rows = [(g, *map(int, r)) for g, x in groups.items() for r in x]
+    df = spark.createDataFrame(rows, "gl_group string, " + ", ".join(f"{k} long" for k in names))
+    got = {r["gl_group"]: r for r in quality.estimates(df, 3).collect()}
+    for g, x in groups.items():
+        centre = np.array([got[g][f"c{i}"] for i in range(5)])
+        low = np.array([[got[g][f"l{i}{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
+        det = 2 * np.log(np.diag(low)).sum()
+        assert det <= brute_least(x, floors, rnd) + 0.05, g
+        assert brute_step(x, centre, low, floors)[2] >= det - 1e-3, g  # a further step lowers nothing
 
 
 @pytest.mark.parametrize("sent", [50_000, 0])
@@ -118,9 +152,22 @@ def test_quality_verdicts(spark, monkeypatch, sent):
         return np.floor(np.array([np.log1p(n), np.log1p(chars / n), (symbols / chars) ** 0.5, dup**0.5, (repeats / n) ** 0.5]) * 1000 + 0.5)
 
     x = np.array([vector(r[1]) for r in group])
-    centre, low = brute_estimate(x, floors)
-    d2 = (np.linalg.solve(low, (x / 1000 - centre).T) ** 2).sum(axis=0)
+    spread = {k: f for k, f in zip([f"gl_{k}" for k in quality.FLOORS], x.T, strict=True)}
+    df = spark.createDataFrame([("g", *(int(v[i]) for v in spread.values())) for i in range(len(x))], "gl_group string, " + ", ".join(f"{k} long" for k in spread))
+    (p,) = quality.estimates(df, 1).collect()
+    low = np.array([[p[f"l{i}{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
+    d2 = (np.linalg.solve(low, (x / 1000 - np.array([p[f"c{i}"] for i in range(5)])).T) ** 2).sum(axis=0)
     assert np.allclose(d2, [out[r[0]]["distance"] for r in group], atol=2e-3, rtol=1e-3)
+    assert all(out[r[0]]["kept"] == (v <= quality.CUTOFF) for r, v in zip(group, d2, strict=True))
+
+
+def test_quality_pools_small_groups(spark):
+    rnd = np.random.default_rng(4)
+    prose = lambda n: " ".join("".join(rnd.choice(list("abcdefgh"), rnd.integers(2, 9))) for _ in range(n))
+    rows = [(i, prose(int(rnd.integers(40, 90))), f"l{i % 40}", f"s{i % 3}") for i in range(80)]
+    rows.append((99, " ".join(f"#{i}$$$$" for i in range(90)), "l1", "s1"))
+    out = {r["doc_id"]: r for r in quality.report(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(r["distance"] is not None for r in out.values()) and not out[99]["kept"] and sum(not r["kept"] for r in out.values()) <= 3
 
 
 def test_quality_keeps_rows_as_they_were(odd):
@@ -316,9 +363,36 @@ def brute_near(rows):
     return sorted(None if none else d for none, d in least.values() if not none) + [None] * sum(none for none, _ in least.values())
 
 
-def test_near_duplicates_by_shingles(spark, odd, docs, empty):
+def test_forest_of_similar_sets():
+    rnd = np.random.default_rng(11)
+    sets = []
+    for _ in range(12):
+        own = set(rnd.integers(0, 10**6, int(rnd.integers(1, 90))).tolist())
+        for _ in range(int(rnd.integers(1, 12))):
+            sets.append(np.array(sorted(own), np.int64))
+            own = set(list(own)[: max(1, len(own) - int(rnd.integers(0, 8)))]) | set(rnd.integers(0, 10**6, int(rnd.integers(0, 8))).tolist())
+    root, block = rnd.integers(0, len(sets) * 3, len(sets)), rnd.integers(0, 2, len(sets))
+    for blocks in (None, block):
+        for entries in (1, 500, 1 << 20):
+            def closed(pairs):
+                up = list(range(len(sets)))
+                find = lambda x: x if up[x] == x else find(up[x])
+                for a, b in pairs:
+                    up[find(a)] = find(b)
+                return {(a, b) for a in range(len(up)) for b in range(a) if find(a) == find(b)}
+
+            same = [(a, b) for a in range(len(sets)) for b in range(a) if root[a] == root[b]]
+            want = [(a, b) for a in range(len(sets)) for b in range(a) if neardup.similar(sets[a], sets[b]) and (blocks is None or blocks[a] != blocks[b])]
+            got = neardup.forest(sets, root, blocks, entries)
+            assert closed(same + got) == closed(same + want) and all(neardup.similar(sets[a], sets[b]) for a, b in got) and len(got) < len(sets)
+
+
+@pytest.mark.parametrize("block", [1 << 20, 300])
+def test_near_duplicates_by_shingles(spark, odd, docs, empty, monkeypatch, block):
     import corpus_pipeline
 
+    monkeypatch.setattr(neardup, "BLOCK", block)
+
     rnd = np.random.default_rng(6)
     rows, k = [], 0
     for _ in range(30):

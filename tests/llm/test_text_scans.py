@@ -45,7 +45,7 @@ def brute_contamination(text, items, window=10):
                 while i + n < len(words) and t + n < len(own) and words[i + n] == own[t + n]:
                     n += 1
                 longest = max(longest, n)
-    return len(words), len(hit), len(names), sha(",".join(sorted(names))), bool(hit), longest
+    return len(words), len(hit), len(names), sha(",".join(sorted(names))), bool(hit), longest, min(hit, default=None)
 
 
 @pytest.mark.parametrize("block_bytes", [1 << 24, 2000])
@@ -54,10 +54,46 @@ def test_contamination_matches_brute_force(spark, odd, docs, block_bytes):
     items += [(7, "the a of"), (None, "one"), (900, None), (901, ""), (902, "x " * 60), (903, "two words"), (7, "three more WORDS"), (905, " ".join((odd[1][8][1]).split()[5:25]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     for df, rows in both(odd, docs):
-        got = by_row(decontaminate.report(df, bench, block_bytes=block_bytes), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match")
+        got = by_row(decontaminate.report(df, bench, block_bytes=block_bytes), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "first_hit")
         assert got == sorted(((d, *brute_contamination(t, items)) for d, t in rows), key=repr)
 
 
+def test_suffix_order_and_windows():
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(6)
+    for _ in range(200):
+        parts = [[rnd.randrange(1, rnd.choice([2, 3, 9])) for _ in range(rnd.randrange(0, 40))] for _ in range(rnd.randrange(1, 6))]
+        ids = np.array([x for p in parts for x in [*p, 0]] + [0])
+        text = decontaminate.Text(ids)
+        suffix = lambda i: tuple(ids[i : i + text.left[i]].tolist())  # noqa: B023, E731
+        at, _ = decontaminate.suffix_order(text, np.flatnonzero(ids), rnd.randrange(1, 4), 10)
+        assert [suffix(i) for i in at] == sorted(suffix(i) for i in np.flatnonzero(ids))
+        if len(at):
+            a, b = (np.array([rnd.choice(at) for _ in range(50)]) for _ in range(2))
+            want = [next((k for k in range(50) if k >= len(suffix(x)) or k >= len(suffix(y)) or suffix(x)[k] != suffix(y)[k])) for x, y in zip(a, b, strict=True)]
+            assert decontaminate.common(text, a, text, b).tolist() == want
+
+
+def test_contamination_of_repetitive_texts(spark):
+    import time
+
+    words = [f"w{i}" for i in range(20_000)]
+    items = [(1, "x " * 20_000), (2, "a b " * 4_000), (3, " ".join(words)), (4, "x y")]
+    texts = ["x " * 15_000, "z " + "a b " * 3_000 + "c", " ".join(words[5:19_000]), "b a " * 40, "x y x", "nothing here"]
+    began = time.time()
+    tests = decontaminate._pass([(str(i), t.encode()) for i, t in items], 10)()
+    import pyarrow as pa
+
+    out = tests(pa.array(texts))
+    assert time.time() - began < 6
+    assert out["longest_match"] == [15_000, 6_000, 18_995, 80, 2, 0]
+    assert out["items"] == [["1"], ["2"], ["3"], ["2"], ["4"], []]
+    assert [len(x) for x in out["hits"]] == [1, 1, 1, 1, 1, 0]
+
+
 def test_contamination_edges(spark, odd, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not any(r["contaminated"] for r in decontaminate.report(odd[0], none).collect())
