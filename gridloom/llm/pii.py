@@ -1,24 +1,33 @@
 """PII by bootstrapped contextual extraction.
 
 One Arrow pass finds the base spans (emails, IP addresses, card and phone numbers:
-the seed entities) and every further token that looks like an identifier, each with
+the seed entities) and everything else that looks like an identifier (a token with ``@`` or
+four digits, digit groups in a row, an address spelled out with at and dot), each with
 its lexical patterns: the two words before it, the two after it, and one on either
 side.  Patterns and instances form a graph, scored in rounds by Spark aggregates:
-a pattern's confidence for a kind is the mean score of its distinct instances, an
-instance's score the noisy-or of its patterns, seeds staying at 1.  Patterns of high
-confidence and support then mark the identifiers, unseen so far, that stand in them.
+a pattern's confidence for a kind is the mean score of its distinct instances, and it is
+accepted where the lower bound of that share (Wilson's, 95 %) is ``LEAST`` or more; an
+instance's score is the noisy-or of its accepted patterns, seeds staying at 1.  Rounds go on
+until no confidence changes, so identifiers found become seeds of further patterns.
+Accepted patterns then mark the identifiers, unseen so far, that stand in them.
+
+Scores only grow from round to round, so they settle; ``ROUNDS`` is a safety stop that raises.
 
 Texts are read once; what is scored are hashes of tokens.  Counts per pattern and
 per instance are partial sums first, so frequent ones meet as a few rows a task.
+The rounds are actions that run while the result is built.
 
-Defined results: a null or empty text has no spans; an added span never overlaps a
-base span; repeated rows count as one instance in the scores and are reported one
-by one; an empty table gives no rows.
+Defined results: a null or empty text has no spans; very long texts are read whole; an
+added span never overlaps a base span; of kinds with equal confidence the later one is
+taken; equal identifiers and repeated rows count as one instance in the scores and are
+reported one by one; an empty table gives no rows; further columns, whatever their names, are
+not read.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -28,9 +37,9 @@ from gridloom.llm.common import RESULT, annotate, spool, texts
 
 #: The kinds in the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 2
-MIN_SUPPORT = 3
-MIN_CONFIDENCE = 0.6
+ROUNDS, LEAST = 100, 0.5
+#: The normal quantile of Wilson's bound at 95 %.
+_Z = 1.96
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -39,8 +48,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\s]*[0-9@][^\s]*")
 _OBFUSCATED = re.compile(r"[A-Za-z0-9._+-]+ ?[\[({](?:at|AT)[\])}] ?[A-Za-z0-9-]+(?:(?:\.| ?[\[({](?:dot|DOT)[\])}] ?)[A-Za-z0-9-]+)+")
+_NUMBERS = re.compile(r"\(?[0-9]+(?:[ ().-]{1,2}[0-9]+)+")
 _EDGE = "\"'()[]{}<>.,;:!?*|"
-_NEAR = 200
+_DIGITS = re.compile(r"[0-9]+")
+_SPACED = re.compile(r"\S+")
 
 
 def luhn(digits: str) -> bool:
@@ -86,8 +97,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Further tokens that look like identifiers and overlap no base span."""
-    found = []
+    """Further stretches that look like identifiers and overlap no base span."""
+    found = [m.span() for m in _NUMBERS.finditer(text) if 7 <= sum(c.isdigit() for c in m.group()) <= 19]
     for m in _TOKEN.finditer(text):
         a, b = m.span()
         while a < b and text[a] in _EDGE:
@@ -110,19 +121,38 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int,
     return out
 
 
-def patterns(text: str, a: int, b: int) -> list[str]:
-    """The lexical patterns around a span: words lower-cased, digits masked; a side without words gives none."""
-    mask = lambda s: re.sub(r"[0-9]+", "0", s.lower())
-    left = mask(text[max(0, a - _NEAR) : a]).split()[-2:]
-    right = mask(text[b : b + _NEAR]).split()[:2]
-    out = []
-    if left:
-        out.append("L " + " ".join(left))
-    if right:
-        out.append("R " + " ".join(right))
-    if left and right:
-        out.append(f"B {left[-1]} _ {right[0]}")
-    return out
+class Words:
+    """The words of a text by their places, for the patterns around a span."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.at = [m.span() for m in _SPACED.finditer(text)]
+        self.starts = [a for a, _ in self.at]
+
+    def before(self, end: int, k: int) -> list[str]:
+        """The last k words before a place, the last one as far as it goes."""
+        i = bisect_left(self.starts, end)
+        return [self.text[a : min(b, end)] for a, b in self.at[max(0, i - k) : i]]
+
+    def after(self, start: int, k: int) -> list[str]:
+        """The first k words from a place on, the first one from there."""
+        i = bisect_left(self.starts, start)
+        if i and self.at[i - 1][1] > start:
+            i -= 1
+        return [self.text[max(a, start) : b] for a, b in self.at[i : i + k]]
+
+    def patterns(self, a: int, b: int) -> list[str]:
+        """The lexical patterns around a span: words lower-cased, digits masked; a side without words gives none."""
+        mask = lambda words: [_DIGITS.sub("0", x.lower()) for x in words]
+        left, right = mask(self.before(a, 2)), mask(self.after(b, 2))
+        out = []
+        if left:
+            out.append("L " + " ".join(left))
+        if right:
+            out.append("R " + " ".join(right))
+        if left and right:
+            out.append(f"B {left[-1]} _ {right[0]}")
+        return out
 
 
 _FIELDS = "base array<struct<start:int,rank:int,end:int>>, tokens array<struct<start:int,end:int,rank:int,instance:long,patterns:array<long>>>"
@@ -141,9 +171,10 @@ def _start():
                 out["tokens"].append([])
                 continue
             base = base_spans(x)
+            words = Words(x)
             marks = [(a, b, KINDS.index(k)) for k, a, b in base] + [(a, b, -1) for a, b in candidates(x, base)]
             out["base"].append([{"start": a, "rank": KINDS.index(k), "end": b} for k, a, b in base])
-            out["tokens"].append([{"start": a, "end": b, "rank": r, "instance": _hash(x[a:b].lower()), "patterns": [_hash(p) for p in patterns(x, a, b)]} for a, b, r in marks])
+            out["tokens"].append([{"start": a, "end": b, "rank": r, "instance": _hash(x[a:b].lower()), "patterns": [_hash(p) for p in words.patterns(a, b)]} for a, b, r in marks])
         return out
 
     return work
@@ -155,25 +186,24 @@ def find(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
 
 def score(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Confidence of each pattern for each kind. edges: distinct pattern, instance, rank (of a seed, else -1).
-
-    Returns pattern, rank, confidence and support (score of its instances together).
-    """
+    """The accepted patterns: pattern, rank (the kind's place) and confidence. edges: distinct pattern, instance, rank (of a seed, else -1)."""
     seeds = edges.where("rank >= 0").select("instance", "rank").distinct().withColumn("score", F.lit(1.0))
     links = edges.select("pattern", "instance").distinct()
     sizes = links.groupBy("pattern").agg(F.count("*").alias("size"))
-    known, out = seeds, None
-    for k in range(rounds):
+    known, before = seeds, None
+    n, p = F.col("size"), F.col("confidence")
+    bound = (p + _Z**2 / (2 * n) - _Z * F.sqrt(F.greatest(F.lit(0.0), p * (1 - p) / n) + _Z**2 / (4 * n * n))) / (1 + _Z**2 / n)
+    for _ in range(rounds):
         support = links.join(known, "instance").groupBy("pattern", "rank").agg(F.sum("score").alias("support"))
-        out = spool(support.join(sizes, "pattern").withColumn("confidence", F.col("support") / F.col("size")))
-        if k < rounds - 1:
-            inferred = (
-                links.join(out.where(F.col("support") >= MIN_SUPPORT - 1).select("pattern", "rank", "confidence"), "pattern")
-                .groupBy("instance", "rank")
-                .agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))).alias("score"))
-            )
-            known = seeds.unionByName(inferred).groupBy("instance", "rank").agg(F.max("score").alias("score"))
-    return out.select("pattern", "rank", "confidence", "support")
+        confident = support.join(sizes, "pattern").withColumn("confidence", F.least(F.lit(1.0), F.col("support") / n))
+        accepted = spool(confident.where(bound >= LEAST).select("pattern", "rank", "confidence"))
+        state = accepted.agg(F.count("*"), F.coalesce(F.sum(F.round(p * 1e6).cast("long")), F.lit(0))).first()
+        if state == before:
+            return accepted
+        before = state
+        inferred = links.join(accepted, "pattern").groupBy("instance", "rank").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - p))))).alias("score"))
+        known = seeds.unionByName(inferred).groupBy("instance", "rank").agg(F.max("score").alias("score"))
+    raise RuntimeError(f"patterns did not settle in {rounds} rounds")
 
 
 def extract(docs: DataFrame, keep: list[str], text: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -182,12 +212,7 @@ def extract(docs: DataFrame, keep: list[str], text: str = "text", rounds: int =
     tokens = found.select("gl_row", F.explode(f"{RESULT}.tokens").alias("t")).select("gl_row", "t.*")
     linked = tokens.select("rank", "instance", F.explode("patterns").alias("pattern"))
     edges = spool(linked.groupBy("pattern", "instance").agg(F.max("rank").alias("rank")))
-    accepted = (
-        score(edges, rounds)
-        .where((F.col("support") >= MIN_SUPPORT) & (F.col("confidence") >= MIN_CONFIDENCE))
-        .groupBy("pattern")
-        .agg(F.max(F.struct("confidence", "rank")).alias("best"))
-    )
+    accepted = score(edges, rounds).groupBy("pattern").agg(F.max(F.struct("confidence", "rank")).alias("best"))
     unseen = tokens.where("rank < 0").select("gl_row", "start", "end", F.explode("patterns").alias("pattern"))
     added = (
         unseen.join(accepted, "pattern")
