@@ -173,9 +173,29 @@ def test_every_license_rule_can_fire(spark):
             assert re.search(rb"(?<= )(?:" + r.regex.encode() + rb")(?= )", norm), (r, x)
             assert any(i in scanner.by_keyword[k] for k in scanner.by_keyword if k in norm), (r, x)
             assert scanner.detect(norm), (r, x)
-    tags = [("SPDX-License-Identifier: MPL-2.0", "mpl-2"), ("https://opensource.org/licenses/EPL-2.0", "epl-2"), ("licensed under the PSF license", "python-2"), ("released under the Expat license", "mit"), ("the zero-clause BSD license", "0bsd")]
-    docs = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(tags)], "doc_id long, text string")
-    assert [(r["labels"], r["score"] > 0) for r in licenses.report(docs).orderBy("doc_id").collect()] == [(label, True) for _, label in tags]
+    by_hand = {
+        "SPDX-License-Identifier: MPL-2.0": "mpl-2", "https://opensource.org/licenses/EPL-2.0": "epl-2", "licensed under the PSF license": "python", "released under the Expat license": "mit", "the zero-clause BSD license": "0bsd",
+        "Mozilla Public License version 1.1": "mpl-1.1", "Mozilla Public License, v. 2.0": "mpl-2", "the Mozilla Public License": "mpl", "Eclipse Public License version 1.0": "epl-1", "Eclipse Public License - v 2.0": "epl-2", "artistic license 1.0": "artistic-1", "Artistic License 2.0": "artistic-2",
+        "GNU General Public License version 2": "gpl-2", "GNU General Public License, version 3": "gpl-3", "GNU General Public License": "gpl", "GPL v2": "gpl-2", "GPLv3": "gpl-3", "GPL 2.0": "gpl-2", "LGPL v2.1": "lgpl-2.1", "GNU Lesser General Public License v3": "lgpl-3", "GNU Affero General Public License v3": "agpl-3",
+        "Apache License, Version 2.0": "apache-2", "Apache License 1.1": "apache-1.1", "the Apache License": "apache", "Apache Software License, Version 1.1": "apache-1.1", "CC BY-SA 4.0": "cc-by-sa", "CC BY-NC-SA 3.0": "cc-by-nc,cc-by-nc-sa", "Creative Commons Attribution-ShareAlike 4.0 International": "cc-by-sa",
+        "http://www.gnu.org/licenses/old-licenses/gpl-2.0.html": "gpl-2", "https://creativecommons.org/publicdomain/zero/1.0/": "cc0-1", "under the MIT license": "mit", "Permission is hereby granted, free of charge, to any person obtaining a copy": "mit", "CDDL": "cddl", "Boost Software License 1.0": "boost-1",
+        "see the license for the specific language": "", "a permissive mood": "", "ruby rings and python skins": "", "mit freundlichen grüßen": "", "version 2 of the plan": "", "we apply apache helicopters": "",
+    }
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(by_hand)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"] > 0) for r in licenses.report(docs).collect()}
+    assert [got[i] for i in range(len(by_hand))] == [(label, bool(label)) for label in by_hand.values()]
+
+
+def test_license_detections_match_brute_force(odd, docs):
+    """All rules on all texts without keywords, then containment by all pairs."""
+    scanner = licenses.Scanner()
+    texts = [t or "" for _, t, *_ in [*odd[1], *docs[1]] if len(t or "") < 20_000]
+    texts += ["This is free software: GNU General Public License version 2, or the MIT License; see http://www.apache.org/licenses/LICENSE-2.0, CC BY-NC-SA 4.0. All rights reserved."]
+    assert sum(bool(scanner.detect(licenses.normalised(t.encode()))) for t in texts) > 3
+    for t in texts:
+        norm = licenses.normalised(t.encode())
+        every = [(i, m.start(), m.end()) for i, r in enumerate(scanner.rules) for m in re.finditer(rb"(?<= )(?:" + r.regex.encode() + rb")(?= )", norm)]
+        assert scanner.detect(norm) == brute_suppressed(every, scanner.rules)
 
 
 def brute_pii(text):
