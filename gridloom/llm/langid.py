@@ -1,18 +1,21 @@
 """Language identification by word-first backoff.
 
 A word of the model scores by its log frequency in each language.  A word that the
-model lacks is scored by its character n-grams, from five letters down: the longest
+model lacks is scored by its character n-grams, from ``LONGEST`` letters down: the longest
 length at which the model knows any of them decides; a word that no length knows
 says nothing.  A text's language is the one with the highest sum over its words.
+Log frequencies are whole numbers, so sums do not depend on the order of words.
 
-The classifier is fitted on a sample of labelled rows: about ``SAMPLE`` documents a
-language, chosen by a hash of the id, and at most ``WORDS`` words and ``GRAMS`` n-grams a
-language.  These bounds are the size of what is broadcast.  Prediction covers all
-rows in one Arrow pass without a shuffle.
+The classifier is fitted on a sample of labelled rows, about ``SAMPLE`` documents a
+language, chosen by a hash of the id; it has all words and n-grams of the sample.  What is
+broadcast is counted first: where the sample has more than ``ENTRIES`` words and n-grams,
+it is halved until it has not.  Prediction covers all rows in one Arrow pass without a
+shuffle.  Fitting is an action that runs while the result is built.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is
-every text where nothing could be learned; ties go to the first language by name;
-repeated rows are predicted alike.
+every text where nothing could be learned; ties go to the first language by name; very long
+texts are read whole; equal texts and repeated rows are predicted alike; an empty table
+gives no rows; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -21,17 +24,21 @@ import re
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gridloom.llm.common import RESULT, annotate, name, spool, texts
 
-SAMPLE, WORDS, GRAMS, LONGEST = 4000, 30_000, 20_000, 5
+SAMPLE, ENTRIES, LONGEST = 1500, 20_000_000, 5
 PLACES = 1_000_000_000
+#: Log frequencies are multiples of one in so many.
+SCALE = 1 << 20
 UND = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-_MEMO = 300_000
+#: Unseen words that a task remembers, and words of a text that are summed at once.
+_MEMO, _STRETCH = 300_000, 1 << 16
 
 
 def held_out(key: Column, folds: int = 4, fold: int = 2) -> Column:
@@ -39,47 +46,55 @@ def held_out(key: Column, folds: int = 4, fold: int = 2) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string")), F.lit(folds)) == fold, F.lit(False))
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> dict:
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, entries: int = ENTRIES) -> dict:
     """The model: languages, and log frequencies of words and n-grams for each."""
-    rows = labelled.where(name(lang).isNotNull() & name(text).isNotNull())
-    sizes = rows.groupBy(name(lang).alias("gl_lang")).count().collect()
-    shares = labelled.sparkSession.createDataFrame([(r["gl_lang"], sample * PLACES // r["count"]) for r in sizes], "gl_lang string, gl_share long")
+    rows = labelled.where(name(lang).isNotNull() & name(text).isNotNull()).select(name(lang).cast("string").alias("gl_lang"), name(text).alias("gl_text"), name(key).alias("gl_key"))
+    sizes = {r["gl_lang"]: r["count"] for r in rows.groupBy("gl_lang").count().collect()}
+    while True:
+        words = spool(_words(rows, sizes, sample))
+        grams = spool(_grams(words))
+        if words.count() + grams.count() <= entries:
+            break
+        sample //= 2
+    langs = sorted(sizes)
+    of_words, of_grams = words.toArrow(), grams.toArrow()
+    lengths = pc.utf8_length(of_grams["item"])
+    by_length = {k: _frequencies(of_grams.filter(pc.equal(lengths, k)), langs) for k in range(LONGEST, 0, -1)}
+    return {"langs": langs, "words": _frequencies(of_words, langs), "grams": by_length}
+
+
+def _words(rows: DataFrame, sizes: dict[str, int], sample: int) -> DataFrame:
+    """gl_lang, item, n: the words of about ``sample`` documents a language."""
+    shares = rows.sparkSession.createDataFrame([(k, sample * PLACES // n) for k, n in sizes.items()], "gl_lang string, gl_share long")
     # a fixed hash places every document; a language takes those below its share of the places
-    place = F.pmod(F.xxhash64(F.lit("langid"), name(key), F.length(name(text))), F.lit(PLACES))
-    taken = rows.select(name(lang).alias("gl_lang"), name(text).alias("gl_text"), place.alias("gl_place"))
+    place = F.pmod(F.xxhash64(F.lit("langid"), "gl_key", F.length("gl_text")), F.lit(PLACES))
     # one row a language goes to every task: texts are picked where they are
-    taken = taken.join(F.broadcast(shares), "gl_lang").where(F.col("gl_place") < F.col("gl_share"))
+    taken = rows.withColumn("gl_place", place).join(F.broadcast(shares), "gl_lang").where(F.col("gl_place") < F.col("gl_share"))
     found = F.regexp_extract_all(F.lower("gl_text"), F.lit(r"(\p{L}+)"), 1)
-    counts = spool(taken.select("gl_lang", F.explode(found).alias("word")).groupBy("gl_lang", "word").agg(F.count("*").alias("n")))
-    padded = F.concat(F.lit(" "), "word", F.lit(" "))
-    grams = [F.transform(F.sequence(F.lit(1), F.length(padded) - k + 1), lambda i, k=k: F.substring(padded, i, F.lit(k))) for k in range(2, LONGEST + 1)]
-    longer = F.flatten(F.array(*(F.when(F.length(padded) >= k, g).otherwise(F.array().cast("array<string>")) for k, g in zip(range(2, LONGEST + 1), grams, strict=True))))
-    every = F.concat(longer, F.split("word", ""))
-    of_grams = counts.select("gl_lang", "n", F.explode(every).alias("gram")).groupBy("gl_lang", "gram").agg(F.sum("n").alias("n"))
-    words = counts.select("gl_lang", F.col("word").alias("item"), "n").withColumn("r", F.row_number().over(Window.partitionBy("gl_lang").orderBy(F.desc("n"), "item"))).where(F.col("r") <= WORDS)
-    grams_ = of_grams.where("gram <> ''").select("gl_lang", F.col("gram").alias("item"), "n", F.length("gram").alias("k"))
-    grams_ = grams_.withColumn("r", F.row_number().over(Window.partitionBy("gl_lang", "k").orderBy(F.desc("n"), "item"))).where(F.col("r") <= GRAMS // LONGEST)
-    langs = sorted(r["gl_lang"] for r in sizes)
-    totals = dict.fromkeys(langs, 0) | {r["gl_lang"]: r["n"] for r in counts.groupBy("gl_lang").agg(F.sum("n").alias("n")).collect()}
-    model = {"langs": langs, "words": _frequencies(words.collect(), langs, [totals[x] for x in langs])}
-    by_length: dict[int, list] = {}
-    for r in grams_.collect():
-        by_length.setdefault(r["k"], []).append(r)
-    model["grams"] = {k: _frequencies(of, langs, None) for k, of in sorted(by_length.items(), reverse=True)}
-    return model
-
-
-def _frequencies(rows: list, langs: list[str], totals: list[int] | None) -> tuple[dict[str, int], np.ndarray]:
+    return taken.select("gl_lang", F.explode(found).alias("item")).groupBy("gl_lang", "item").agg(F.count("*").alias("n"))
+
+
+def _grams(words: DataFrame) -> DataFrame:
+    """gl_lang, item, n: the letters of the words, and their n-grams with a space at either end."""
+    padded = F.concat(F.lit(" "), "item", F.lit(" "))
+
+    def of_length(k: int) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.length(padded) - k + 1), lambda i: F.substring(padded, i, F.lit(k)))
+        return F.when(F.length(padded) >= k, grams).otherwise(F.array().cast("array<string>"))
+
+    every = F.concat(F.split("item", ""), *(of_length(k) for k in range(2, LONGEST + 1)))
+    return words.select("gl_lang", "n", F.explode(every).alias("item")).where("item <> ''").groupBy("gl_lang", "item").agg(F.sum("n").alias("n"))
+
+
+def _frequencies(counts: pa.Table, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
     """Items by number, and a matrix of smoothed log frequencies: items x languages."""
-    number: dict[str, int] = {}
+    items = counts["item"].to_pylist()
+    number = {x: i for i, x in enumerate(sorted(set(items)))}
     place = {x: i for i, x in enumerate(langs)}
-    for r in sorted(rows, key=lambda r: (r["item"], r["gl_lang"])):
-        number.setdefault(r["item"], len(number))
     table = np.zeros((len(number), len(langs)))
-    for r in rows:
-        table[number[r["item"]], place[r["gl_lang"]]] = r["n"]
-    sums = table.sum(axis=0) if totals is None else np.array(totals, float)
-    return number, np.log((table + 0.5) / (sums + 0.5 * (len(number) + 1))).astype(np.float32)
+    table[[number[x] for x in items], [place[x] for x in counts["gl_lang"].to_pylist()]] = counts["n"].to_numpy()
+    logs = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * (len(number) + 1)))
+    return number, np.rint(logs * SCALE).astype(np.int32)
 
 
 class Predictor:
@@ -88,7 +103,7 @@ class Predictor:
     def __init__(self, model: dict):
         self.langs, self.grams = model["langs"], model["grams"]
         number, table = model["words"]
-        self.table = np.vstack([table, np.zeros((1, len(self.langs)), np.float32)]) if len(self.langs) else np.zeros((1, 0), np.float32)
+        self.table = np.vstack([table, np.zeros((1, len(self.langs)), np.int32)])
         self.number, self.silent = number, len(number)
         self.memo: dict[str, np.ndarray] = {}
 
@@ -99,8 +114,8 @@ class Predictor:
             source = padded if k > 1 else word
             rows = [i for j in range(len(source) - k + 1) if (i := number.get(source[j : j + k])) is not None]
             if rows:
-                return table[rows].mean(axis=0)
-        return np.zeros(len(self.langs), np.float32)
+                return np.rint(table[rows].mean(axis=0)).astype(np.int64)
+        return np.zeros(len(self.langs), np.int64)
 
     def unseen(self, word: str) -> np.ndarray:
         out = self.memo.get(word)
@@ -115,13 +130,16 @@ class Predictor:
         words = _WORD.findall(text.lower())
         if not self.langs or not any(c.isalpha() for w in words for c in w):
             return UND, 0.0
-        ids = np.fromiter(map(self.number.get, words, repeat(self.silent)), np.int64, len(words))
-        total = self.table[ids].sum(axis=0, dtype=np.float64) if len(ids) < 50_000 else np.bincount(ids, minlength=len(self.table)) @ self.table.astype(np.float64)
-        for i in np.flatnonzero(ids == self.silent).tolist():
-            total = total + self.unseen(words[i])
+        total = np.zeros(len(self.langs), np.int64)
+        for a in range(0, len(words), _STRETCH):
+            part = words[a : a + _STRETCH]
+            ids = np.fromiter(map(self.number.get, part, repeat(self.silent)), np.int64, len(part))
+            total += self.table[ids].sum(axis=0, dtype=np.int64)
+            for i in np.flatnonzero(ids == self.silent).tolist():
+                total += self.unseen(part[i])
         best = int(np.argmax(total))
         # the texts' words are no independent draws: a share of the log odds, by the root of their number
-        odds = np.exp((total - total[best]) / max(1.0, len(words) ** 0.5))
+        odds = np.exp((total - total[best]) / (SCALE * max(1.0, len(words) ** 0.5)))
         return self.langs[best], float(1 / odds.sum())
 
 

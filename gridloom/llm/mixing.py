@@ -8,13 +8,18 @@ and a document is emitted once for every integer boundary that its own step cros
 Since the order is by size, the words taken differ from the target by about one
 longest document at most.
 
-Prefix sums go in three levels, none of which gathers a source: counts per source and
-size, counts per bucket of equal sizes (``BUCKET`` documents each), and places inside a
-bucket.
+Documents are dealt to tasks by ranges of that order, so neither a large source nor a frequent
+size makes a large task, and numbered there; the counts of every task and source, a few
+numbers each, are summed up to where each task's documents of a source begin.  Targets are
+set in one task over the table of sources, one row each.
+
+Sizes and counts are found by actions that run while the result is built.
 
 Defined results: a null source is a source of its own, the last; a null or empty text
-has size 0 and takes no words; a source without words has target 0; equal rows are
-drawn one by one; an empty table gives no rows.
+has size 0 and takes no words; a very long text has all its words counted, and may miss or
+exceed a target by its size; a source without words has target 0; equal texts and repeated
+rows are drawn one by one; an empty table gives no rows; ``mixed`` returns all columns as they
+were, whatever their names, and adds ``copy``.
 """
 
 from __future__ import annotations
@@ -28,7 +33,8 @@ from gridloom.llm.common import free_name, name, sheltered, spool
 WEIGHTS = (5, 2, 1)
 BUDGET, CAP = 1.5, 2
 SEED = "mix-1"
-BUCKET = 1000
+#: Rows of the table of tasks and sources, some 100 bytes each, up to which Spark may send it to every task.
+SENT = 50_000
 
 
 def words(text: Column) -> Column:
@@ -69,22 +75,17 @@ def drawn(docs: DataFrame, keep: list[str], text: str = "text", source: str = "s
     src = name(source)
     order = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(name(key).cast("string"), F.lit(""))))
     rows = docs.select(*map(name, keep), F.coalesce(src, F.lit("")).alias("gl_source"), src.isNull().alias("gl_null"), words(name(text)).alias("gl_size"), order.alias("gl_order"), name(key).alias("gl_key"))
-    rows = spool(rows)
-    at = ["gl_source", "gl_null"]
-    strata = spool(rows.groupBy(*at, "gl_size").agg(F.count("*").alias("gl_n")))
-    sources = targets(strata.groupBy(*at).agg(F.sum(F.col("gl_size") * F.col("gl_n")).alias("source_size")))
-    before = Window.partitionBy(*at).orderBy("gl_size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = strata.withColumn("gl_start", F.coalesce(F.sum("gl_n").over(before), F.lit(0))).join(sources, at)
-    bucket = F.floor(uniform(F.col("gl_order")) * F.ceil(F.col("gl_n") / BUCKET))
-    out = rows.join(placed, [*at, "gl_size"]).withColumn("gl_bucket", bucket)
-    keys = [*at, "gl_size", "gl_bucket"]
-    crowded = out.where(F.col("gl_n") > BUCKET).groupBy(*keys).agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy(*at, "gl_size").orderBy("gl_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    skipped = crowded.select(*keys, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("gl_skip"))
-    inner = F.row_number().over(Window.partitionBy(*keys).orderBy("gl_order", "gl_key"))
-    # dealt anew by bucket: the join before deals by size alone, and one size may hold a third of the rows
-    out = out.repartition(*keys).withColumn("gl_inner", inner).join(skipped, keys, "left")
-    rank = F.col("gl_start") + F.coalesce("gl_skip", F.lit(0)) + F.col("gl_inner") - 1
+    order = [*(at := ["gl_source", "gl_null"]), "gl_size", "gl_order", "gl_key"]
+    # the number of a row tells its task and its place there, where rows are in order
+    ranged = spool(rows).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("gl_id", F.monotonically_increasing_id())
+    placed = spool(ranged.select("*", F.shiftright("gl_id", 33).alias("gl_task")).drop("gl_order", "gl_key"))
+    starts = placed.groupBy("gl_task", *at).agg(F.min("gl_id").alias("gl_start"), F.count("*").alias("gl_n"), F.sum("gl_size").alias("gl_words"))
+    starts = spool(starts)
+    sources = targets(starts.groupBy(*at).agg(F.sum("gl_words").alias("source_size")))
+    before = Window.partitionBy(*at).orderBy("gl_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = starts.withColumn("gl_before", F.coalesce(F.sum("gl_n").over(before), F.lit(0))).join(sources, at).drop("gl_n", "gl_words")
+    out = placed.join(F.broadcast(offsets) if starts.count() <= SENT else offsets, ["gl_task", *at])
+    rank = F.col("gl_before") + F.col("gl_id") - F.col("gl_start")
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
     copies = F.floor((rank + 1) * rate + F.col("offset")) - F.floor(rank * rate + F.col("offset"))
     return out.select(*map(name, keep), "gl_size", F.col("source_size").alias("gl_source_size"), F.col("target").alias("gl_target"), copies.cast("long").alias("gl_copies"))

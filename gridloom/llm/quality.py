@@ -37,7 +37,7 @@ H, CONSISTENCY = 0.75, 1.41
 #: Hashed subsets to start from, about how many documents each has, and the bound of steps from the best start.
 SUBSETS, SUBSET_SIZE, STEPS = 4, 30, 100
 #: A step that lowers a log determinant by less is the last.
-SETTLED = 1e-6
+SETTLED = 1e-4
 #: The quantile of chi2_5 that one in a million normal documents exceeds.
 CUTOFF = 35.89
 MIN_GROUP = 60
