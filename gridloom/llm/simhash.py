@@ -31,6 +31,8 @@ from gridloom.llm.common import RESULT, SPACE_TABLE, annotate, name, raw_texts,
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 TILE, TILE_ROWS = 512, 8192
+#: Members of a set of which a fingerprint says little.
+FEW = 12
 _BITS = 64
 
 
@@ -90,24 +92,35 @@ def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def linked(values: np.ndarray, block: np.ndarray, across: bool, radius: int = RADIUS, tile: int = TILE) -> list[tuple[int, int]]:
+def linked(values: np.ndarray, block: np.ndarray, across: bool, radius: int = RADIUS, tile: int = TILE, sizes: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links within the radius, as (root, member).
 
-    values: distinct fingerprints; ``across``: only pairs of different blocks are asked for.
+    values: fingerprints; ``across``: only pairs of different blocks are asked for.  ``sizes``, of the fingerprinted sets: only
+    pairs are asked for of which the smaller has 4/5 of the larger's size at least, and those with ``FEW`` members are
+    all linked, since so few say little.
     """
     counts = np.bitwise_count(values).astype(np.int16)
     order = np.lexsort((values, counts))
     values, counts, block = values[order], counts[order], block[order]
+    few = np.zeros(len(values), bool)
+    if sizes is not None:
+        sizes = sizes[order]
+        few = sizes <= FEW
+    reach = _BITS if few.any() else radius
     n = len(values)
     label = np.arange(n)
     for i in range(0, n, tile):
         u, last = values[i : i + tile], counts[min(i + tile, n) - 1]
         # bit counts rise over the tiles: the first tile beyond the radius ends the row of tiles
         for j in range(i, n, tile):
-            if counts[j] - last > radius:
+            if counts[j] - last > reach:
                 break
             v = values[j : j + tile]
             near = np.bitwise_count(u[:, None] ^ v[None, :]) <= radius
+            if sizes is not None:
+                x, y = sizes[i : i + tile, None], sizes[None, j : j + tile]
+                near |= few[i : i + tile, None] & few[None, j : j + tile]
+                near &= 5 * np.minimum(x, y) >= 4 * np.maximum(x, y)
             if across:
                 near &= block[i : i + tile, None] != block[None, j : j + tile]
             a, b = np.nonzero(near)
@@ -122,17 +135,25 @@ def linked(values: np.ndarray, block: np.ndarray, across: bool, radius: int = RA
 def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Links u < v between fingerprints (column fp, distinct) that connect all within the radius."""
     # unsigned parts of the signed number
-    keys = F.array(*(F.struct(F.lit(k).cast("tinyint").alias("part"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit(m)).alias("key")) for k, (s, m) in enumerate(parts(radius))))
-    laid = distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.part", "k.key")
+    keys = F.array(*(F.struct(F.lit(k).cast("long").alias("part"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit(m)).alias("key")) for k, (s, m) in enumerate(parts(radius))))
+    laid = distinct.select(F.col("fp").alias("id"), F.explode(keys).alias("k")).select("id", "k.part", "k.key")
+    about = distinct.select(F.col("fp").alias("id"), "fp", F.lit(None).cast("long").alias("size"))
+    return in_groups(laid, about, radius, tile_rows)
+
+
+def in_groups(laid: DataFrame, about: DataFrame, radius: int, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Links u < v that connect all fingerprints of a group within the radius; see linked() for sizes.
+
+    laid: id, part and key, one row for each group, told by part and key, that a fingerprint is in; about: id, fp and size.
+    A group of more than ``tile_rows`` is split into blocks, and each pair of blocks is compared by a task.
+    """
     crowded = laid.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
-    # only parts that several share are compared; large ones get more blocks
+    # only groups that several share are compared; large ones get more blocks
     met = laid.join(crowded, ["part", "key"])
     n_blocks = F.ceil(F.col("n") / (tile_rows // 2))
-    own = F.pmod(F.xxhash64("fp"), n_blocks)
-    met = met.select("fp", "part", "key", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)).alias("other"))
+    met = met.withColumn("own", F.pmod(F.xxhash64("id"), n_blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
     pair = F.struct("part", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    rows = met.select("fp", F.xxhash64(pair).alias("task"), pair.alias("pair"), "own")
-    rows = rows.select("fp", "task", "own", (F.col("pair.low") != F.col("pair.high")).alias("across"), F.col("pair.key").alias("key"), F.col("pair.part").alias("part"))
+    rows = met.join(about, "id").select("id", "fp", F.xxhash64(pair).alias("task"), "own", (F.col("own") != F.col("other")).alias("across"), "key", "part", "size")
     dealt = rows.repartition("task").sortWithinPartitions("task", "part", "key", "across", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,9 +163,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS)
                 held.append(batch)
                 # all but the last task of what is held is whole; its first row may lie several batches back
                 if sum(b.num_rows for b in held) >= 4 * tile_rows:
-                    last = batch.column(1)[-1].as_py()
+                    last = batch.column(2)[-1].as_py()
                     for k in reversed(range(len(held))):
-                        others = np.flatnonzero(held[k].column(1).to_numpy() != last)
+                        others = np.flatnonzero(held[k].column(2).to_numpy() != last)
                         if len(others):
                             cut = int(others[-1]) + 1
                             yield from compared([*held[:k], held[k].slice(0, cut)])
@@ -157,23 +178,28 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS)
         whole = pa.Table.from_batches([b for b in held if b.num_rows]) if any(b.num_rows for b in held) else None
         if whole is None:
             return
-        fp, task, own, across, key, part = (whole.column(i).to_numpy() for i in range(6))
-        values = fp.view(np.uint64) if fp.dtype == np.int64 else fp.astype(np.int64).view(np.uint64)
+        ids, fp, task, own, across, key, part = (whole.column(i).to_numpy() for i in range(7))
+        sizes = None if whole.column(7).null_count else whole.column(7).to_numpy()
+        values = fp.astype(np.int64).view(np.uint64)
         new = (task[1:] != task[:-1]) | (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (across[1:] != across[:-1])
         bounds = np.r_[0, np.flatnonzero(new) + 1, len(task)]
-        out: list[tuple[int, int]] = []
+        first = bounds[:-1][np.diff(bounds) == 2]
+        # groups of two, all at once
+        near = np.bitwise_count(values[first] ^ values[first + 1]) <= radius
+        if sizes is not None:
+            x, y = sizes[first], sizes[first + 1]
+            near = (near | (np.maximum(x, y) <= FEW)) & (5 * np.minimum(x, y) >= 4 * np.maximum(x, y))
+        near &= ~(across[first].astype(bool) & (own[first] == own[first + 1]))
+        out = [(int(a), int(a) + 1) for a in first[near]]
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if b - a == 2:
-                if not (across[a] and own[a] == own[a + 1]) and int(values[a] ^ values[a + 1]).bit_count() <= radius:
-                    out.append((a, a + 1))
-            elif b - a > 2:
-                out += [(a + x, a + y) for x, y in linked(values[a:b], own[a:b], bool(across[a]), radius)]
+            if b - a > 2:
+                out += [(a + x, a + y) for x, y in linked(values[a:b], own[a:b], bool(across[a]), radius, sizes=None if sizes is None else sizes[a:b])]
         if out:
             at = np.array(out)
-            u, v = fp[at[:, 0]], fp[at[:, 1]]
+            u, v = ids[at[:, 0]], ids[at[:, 1]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    return dealt.mapInArrow(run, "u long, v long").where("u < v").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
