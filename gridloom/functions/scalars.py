@@ -89,6 +89,7 @@ def redacted_message(message: Column, path: Column) -> Column:
     """A message with its path cut to the file's name, other local paths and secrets replaced, at most 240 characters."""
     name = F.regexp_extract(path, r"[^/\\]*$", 0)
     out = F.when(path.isNotNull() & (path != ""), F.replace(message, path, name)).otherwise(message)
+    # fixed values: local paths, and settings that hold secrets
     out = F.regexp_replace(out, r"""(?:[A-Za-z]:\\|/(?:Users|home|tmp|var|mnt|private|Volumes)/)[^\s"'<>|]+""", "[local path]")
     out = F.regexp_replace(out, r"(?i)\b(password|pwd|token|secret|api[_-]?key|uid|user id)\s*=\s*[^;\s]+", "$1=[redacted]")
     return F.left(out, F.lit(240))
@@ -108,16 +109,17 @@ def external_name(path: Column) -> Column:
     text = F.regexp_replace(F.translate(text, "\\", "/"), "/+$", "")
     name = F.regexp_extract(text, r"[^/]*$", 0)
     name = F.trim(F.regexp_replace(F.translate(name, "%", " "), r"\s+", " "))
-    return F.coalesce(F.nullif(name, F.lit("")), F.lit("unresolved external workbook"))
+    return F.coalesce(F.nullif(name, F.lit("")), F.lit("unnamed workbook"))
 
 
-_SENSITIVE = r"(?i)[/\\:@]|password=|server=|uid=|provider=|database=|token=|api[_-]?key="
+#: Fixed value: what in a name may give away a place, an account or a secret.
+SENSITIVE = r"(?i)[/\\:@]|password=|server=|uid=|provider=|database=|token=|api[_-]?key="
 
 
 def connection_label(name: Column, kind: Column) -> Column:
     """A connection's name where it gives nothing away, else its type, else a fixed label."""
-    safe = lambda c: (F.trim(c) != "") & ~c.rlike(_SENSITIVE)
-    return ordered((safe(name), F.left(F.trim(name), F.lit(80))), (safe(kind), F.concat(F.trim(kind), F.lit(" connection"))), default="Unnamed formal data connection")
+    safe = lambda c: (F.trim(c) != "") & ~c.rlike(SENSITIVE)
+    return ordered((safe(name), F.left(F.trim(name), F.lit(80))), (safe(kind), F.concat(F.trim(kind), F.lit(" connection"))), default="unnamed connection")
 
 
 def spreadsheet_safe(value: Column) -> Column:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.storage import spool
+
 BLOCK = 64
 
 
@@ -68,8 +70,14 @@ def selected(files: DataFrame, ids: list | None, key: str) -> DataFrame:
     from pyspark.sql.window import Window
 
     if ids is None:
-        place = F.row_number().over(Window.orderBy("file_name", key))
-        return files.withColumn("place", place)
+        # places without a task that holds all files: ranges of names, and how many files the ranges before have
+        ranged = spool(files.repartitionByRange("file_name", key).sortWithinPartitions("file_name", key).withColumn("gl_id", F.monotonically_increasing_id()))
+        part = ranged.groupBy(F.shiftright("gl_id", 33).alias("gl_part")).agg(F.min("gl_id").alias("gl_first"), F.count("*").alias("gl_n"))
+        before = Window.orderBy("gl_part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = part.select("gl_part", "gl_first", F.coalesce(F.sum("gl_n").over(before), F.lit(0)).alias("gl_before"))
+        out = ranged.withColumn("gl_part", F.shiftright("gl_id", 33)).join(starts, "gl_part")
+        place = (F.col("gl_before") + F.col("gl_id") - F.col("gl_first") + 1).cast("int")
+        return out.withColumn("place", place).drop("gl_part", "gl_first", "gl_before", "gl_id")
     wanted = list(dict.fromkeys(ids))
     order = F.array_position(F.array(*map(F.lit, wanted)), F.col(key)).cast("int")
     return files.where(F.col(key).isin(wanted)).withColumn("place", order)

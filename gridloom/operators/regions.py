@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.operators.graph import connected
+from gridloom.storage import spool
 
 ROW_BLOCK = 32
 
@@ -39,7 +40,8 @@ def components(cells: DataFrame, keys: list[str], row_gap: int = 1, col_gap: int
     Runs on rows at most ``row_gap`` apart hang together if their columns overlap (widened by ``col_gap``).
     """
     boxes = rectangles(row_runs(cells, keys, col_gap), keys, row_gap)
-    boxes = boxes.withColumn("id", F.to_json(F.struct(*keys, "r1", "c1", "r2", "c2")))
+    # written down, so that the numbers stay
+    boxes = spool(boxes.withColumn("id", F.monotonically_increasing_id()))
     reach = row_gap + 1
     block = lambda r: F.floor(r / ROW_BLOCK)
     laid = boxes.withColumn("gl_block", F.explode(F.sequence(block(F.col("r1")), block(F.col("r2") + reach))))
@@ -75,9 +77,9 @@ def header_score() -> Column:
     return raw * (1.0 - 0.8 * F.col("formula_ratio"))
 
 
-def header_rows(profiles: DataFrame, keys: list[str], threshold: float = 0.15) -> DataFrame:
-    """The best header row of each region among its first four, null below the threshold, and its score."""
-    candidate = (F.col("row") - F.col("top")).between(0, 3)
+def header_rows(profiles: DataFrame, keys: list[str], threshold: float = 0.15, first: str = "top") -> DataFrame:
+    """The best header row of each region among four from the row ``first`` on, null below the threshold, and its score."""
+    candidate = (F.col("row") - F.col(first)).between(0, 3)
     scored = profiles.where(candidate).withColumn("score", header_score())
     best = scored.groupBy(*keys).agg(F.max(F.struct("score", (-F.col("row")).alias("up"))).alias("best"))
     found = F.col("best.score") >= threshold

@@ -101,7 +101,11 @@ def files_in_pairs(files: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
 
 def downstream(groups: DataFrame, keys: list[str], outputs: str, k: int = 8) -> DataFrame:
     """The first k of the distinct outputs that a group's rows name."""
-    names = groups.select(*keys, F.explode(outputs).alias("o")).groupBy(*keys).agg(F.slice(F.array_sort(F.collect_set("o")), 1, k).alias("downstream"))
+    from pyspark.sql.window import Window
+
+    named = groups.select(*keys, F.explode(outputs).alias("o")).distinct()
+    first = named.withColumn("gl_place", F.row_number().over(Window.partitionBy(*keys).orderBy("o"))).where(F.col("gl_place") <= k)
+    names = first.groupBy(*keys).agg(F.array_sort(F.collect_list("o")).alias("downstream"))
     return groups.select(*keys).distinct().join(names, keys, "left").select(*keys, F.coalesce("downstream", lit_array([])).alias("downstream"))
 
 
@@ -110,10 +114,12 @@ def rationalisation(items: DataFrame, examples: int = 5) -> DataFrame:
     from pyspark.sql.window import Window
 
     ends = items.select("kind", F.least("file_a", "file_b").alias("a"), F.greatest("file_a", "file_b").alias("b")).distinct()
+    # the filter bounds what of a kind goes to one task
     place = F.row_number().over(Window.partitionBy("kind").orderBy("a", "b"))
-    placed = ends.withColumn("place", place)
-    first = F.when(F.col("place") <= examples, F.struct("place", F.concat_ws(" / ", F.col("a").cast("string"), F.col("b").cast("string")).alias("text")))
-    return placed.groupBy("kind").agg(F.count("*").alias("items"), F.transform(F.sort_array(F.collect_list(first)), lambda x: x["text"]).alias("examples"))
+    first = ends.withColumn("place", place).where(F.col("place") <= examples)
+    text = F.concat_ws(" / ", F.col("a").cast("string"), F.col("b").cast("string"))
+    shown = first.groupBy("kind").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", text.alias("text")))), lambda x: x["text"]).alias("examples"))
+    return ends.groupBy("kind").agg(F.count("*").alias("items")).join(shown, "kind")
 
 
 FINDING = ("category", "finding", "severity", "files", "affected")

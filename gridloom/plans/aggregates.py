@@ -62,11 +62,11 @@ DOWNSTREAM_OUTPUTS = f"WITH {_ERRORS} SELECT error, area, array_to_string(list_s
 
 def hidden_groups(spark: SparkSession, d: str) -> DataFrame:
     """Parts as hidden sheets by purpose; their line items' suppliers depend on them."""
-    p = table(spark, d, "part").where(F.pmod("p_partkey", F.lit(3)) == 0)
+    p = table(spark, d, "part")
     lead = F.get(F.array(*map(F.lit, ("raw ", "calc ", "xref ", "qa ", "pack ", "", ""))), F.pmod("p_partkey", F.lit(7)).cast("int"))
     roles = F.when(F.pmod("p_partkey", F.lit(11)) == 0, F.array(F.lit("Output"))).otherwise(F.array().cast("array<string>"))
     name = F.concat(lead, "p_name", F.lit(" "), F.col("p_partkey").cast("string"))
-    readers = table(spark, d, "lineitem").where("l_quantity >= 49").groupBy("l_partkey").agg(F.collect_set(F.col("l_suppkey")).alias("readers"))
+    readers = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.collect_set(F.col("l_suppkey")).alias("readers"))
     sheets = p.join(readers, F.col("p_partkey") == F.col("l_partkey"), "left").select(
         "p_brand",
         name.alias("name"),
@@ -78,9 +78,9 @@ def hidden_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 HIDDEN_GROUPS = f"""
-WITH s AS (SELECT p_partkey, p_brand, p_size, ['raw ', 'calc ', 'xref ', 'qa ', 'pack ', '', ''][CAST(p_partkey % 7 + 1 AS INT)] || p_name || ' ' || p_partkey AS name FROM part WHERE p_partkey % 3 = 0),
+WITH s AS (SELECT p_partkey, p_brand, p_size, ['raw ', 'calc ', 'xref ', 'qa ', 'pack ', '', ''][CAST(p_partkey % 7 + 1 AS INT)] || p_name || ' ' || p_partkey AS name FROM part),
 g AS (SELECT *, CASE WHEN p_partkey % 11 = 0 THEN 'Output' ELSE {case("lower(name)", rollups.PURPOSES, "CASE WHEN p_size > 0 AND p_size % 2 = 0 THEN 'Supporting' ELSE 'Unknown' END")} END AS purpose FROM s),
-r AS (SELECT DISTINCT p_brand, purpose, l_suppkey FROM g JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity >= 49)
+r AS (SELECT DISTINCT p_brand, purpose, l_suppkey FROM g JOIN lineitem ON l_partkey = p_partkey)
 SELECT p_brand, purpose, count(*) AS count, string_agg(DISTINCT name, ';' ORDER BY name) AS sheets,
  coalesce((SELECT string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY l_suppkey) FROM r WHERE r.p_brand = g.p_brand AND r.purpose = g.purpose), '') AS depended_on_by
 FROM g GROUP BY p_brand, purpose
@@ -214,8 +214,8 @@ p AS (SELECT *, CASE WHEN cells > 20000 THEN 2 WHEN cells > 2000 THEN 1 ELSE 0 E
 q AS (SELECT *, a + b + c + CAST(n_sheets > 12 AS INT) + 2 * CAST(vba AS INT) + CAST(pq AS INT) AS score FROM p)
 SELECT file, cells, formulas, shapes AS distinct_skeletons, n_sheets, cells - formulas AS non_formula_cells, score, CASE WHEN score >= 5 THEN 'High' WHEN score >= 2 THEN 'Medium' ELSE 'Low' END AS complexity,
  least(0.9, round(0.6 + 0.1 * least(3.0, abs(score - 3.5)), 2)) AS confidence,
- concat_ws('; ', cells || ' populated cells (' || ['small', 'moderate', 'large'][a + 1] || ')', CASE WHEN formulas > 0 THEN formulas || ' formulas / ' || shapes || ' distinct calcs (' || ['light', 'moderate', 'heavy'][b + 1] || ' logic)' END,
-  CASE WHEN links > 0 THEN links || ' external link(s)/connection(s)' END, CASE WHEN n_sheets > 12 THEN n_sheets || ' sheets' END, CASE WHEN vba THEN 'contains VBA macros' END, CASE WHEN pq THEN 'uses Power Query' END) AS evidence FROM q
+ concat_ws('; ', CASE WHEN cells > 0 THEN 'cells: ' || cells || ' (+' || a || ')' END, CASE WHEN formulas > 0 THEN 'formulas: ' || formulas || ' (+' || b || ')' END, CASE WHEN shapes > 0 THEN 'shapes: ' || shapes || ' (+' || b || ')' END,
+  CASE WHEN links > 0 THEN 'links: ' || links || ' (+' || c || ')' END, CASE WHEN n_sheets > 12 THEN 'sheets: ' || n_sheets || ' (+1)' END, CASE WHEN vba THEN 'macros (+2)' END, CASE WHEN pq THEN 'queries (+1)' END) AS evidence FROM q
 """
 
 
@@ -263,23 +263,25 @@ CITATIONS = "SELECT d.doc_id AS entity, upper(lang) AS field, CAST(n_chars AS VA
 
 def incremental(spark: SparkSession, d: str) -> DataFrame:
     """Orders to scan again: new ones, changed ones, and those that failed before."""
-    o = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("size"), F.sha2(F.col("o_orderpriority"), 256).alias("sha"), "o_orderstatus")
-    previous = o.where("o_orderkey % 2 = 1").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), "sha", (F.col("o_orderstatus") == "F").alias("failed"))
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("size"), F.sha2(F.col("o_orderpriority"), 256).alias("sha"), "o_orderstatus", "o_orderdate")
+    previous = o.where("o_orderdate < DATE '1996-01-01'").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), "sha", (F.col("o_orderstatus") == "F").alias("failed"))
     return joins.changed(o, previous, "o_orderkey", ["size", "sha"], "failed").select("o_orderkey", F.substring("sha", 1, 12).alias("sha"))
 
 
-INCREMENTAL = "SELECT o_orderkey, substr(sha256(o_orderpriority), 1, 12) AS sha FROM orders WHERE NOT (o_orderkey % 2 = 1 AND o_orderkey % 5 <> 0 AND o_orderstatus <> 'F')"
+INCREMENTAL = "SELECT o_orderkey, substr(sha256(o_orderpriority), 1, 12) AS sha FROM orders WHERE NOT (o_orderdate < DATE '1996-01-01' AND o_orderkey % 5 <> 0 AND o_orderstatus <> 'F')"
 
 
 def remaining_children(spark: SparkSession, d: str) -> DataFrame:
     """Line items of orders that still exist, after a merge of new orders over old ones."""
-    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    merged = joins.upsert(o.where("o_orderkey % 3 = 0"), o.where("o_orderkey % 9 = 0").withColumn("o_orderstatus", F.lit("N")), "o_orderkey")
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    # high and urgent orders come again, with another status
+    again = o.where(F.substring("o_orderpriority", 1, 1) <= "2").withColumn("o_orderstatus", F.lit("N"))
+    merged = joins.upsert(o, again, "o_orderkey").select("o_orderkey", "o_orderstatus")
     left = joins.still_there(table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey"), merged, "o_orderkey")
     return left.join(merged, "o_orderkey").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("lines"))
 
 
-REMAINING_CHILDREN = "SELECT CASE WHEN o_orderkey % 9 = 0 THEN 'N' ELSE o_orderstatus END AS o_orderstatus, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 3 = 0 GROUP BY 1"
+REMAINING_CHILDREN = "SELECT CASE WHEN substr(o_orderpriority, 1, 1) <= '2' THEN 'N' ELSE o_orderstatus END AS o_orderstatus, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1"
 
 
 def selected_files(spark: SparkSession, d: str) -> DataFrame:
@@ -337,14 +339,14 @@ def pair_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").where("l_quantity >= 48").select("l_orderkey", "l_suppkey", "l_returnflag").distinct()
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag").distinct()
     a, b = li.alias("a"), li.alias("b")
     met = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_suppkey") < F.col("b.l_suppkey")))
     kind = F.when(F.col("a.l_returnflag") == F.col("b.l_returnflag"), "Duplicate").otherwise("Related")
     return met.select(F.col("a.l_suppkey").alias("file_a"), F.col("b.l_suppkey").alias("file_b"), kind.alias("relationship")).distinct()
 
 
-_PAIRS = """li AS (SELECT DISTINCT l_orderkey, l_suppkey, l_returnflag FROM lineitem WHERE l_quantity >= 48),
+_PAIRS = """li AS (SELECT DISTINCT l_orderkey, l_suppkey, l_returnflag FROM lineitem),
 pairs AS (SELECT DISTINCT a.l_suppkey AS file_a, b.l_suppkey AS file_b, CASE WHEN a.l_returnflag = b.l_returnflag THEN 'Duplicate' ELSE 'Related' END AS relationship FROM li a JOIN li b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey)"""
 PAIR_ROLLUP = f"WITH {_PAIRS} SELECT relationship, (SELECT count(*) FROM pairs q WHERE q.relationship = p.relationship) AS pairs, count(DISTINCT file) AS files FROM (SELECT relationship, unnest([file_a, file_b]) AS file FROM pairs) p GROUP BY relationship"
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.plans import aggregates, gates, scalars, sheets, similar
+from gridloom.plans import aggregates, books, gates, scalars, sheets, similar
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PARTS = (scalars, aggregates, sheets, similar, gates)
+_PARTS = (scalars, aggregates, sheets, similar, gates, books)
 
 
 def queries() -> dict[str, Query]:

@@ -10,6 +10,7 @@ Each step maps tables to tables; nothing is gathered on the driver before the si
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +18,11 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import formulas as fx
 from gridloom.functions import scalars as S
-from gridloom.operators import detect, graph, joins, profiles, rollups, rules
+from gridloom.operators import detect, evidence, graph, joins, profiles, rollups, rules
 from gridloom.operators import similarity as sim
+from gridloom.plans import fields
 from gridloom.sources import workbook
-from gridloom.storage import spool
+from gridloom.storage import delete, spool
 
 Tables = dict[str, DataFrame]
 KEYS = detect.KEYS
@@ -28,20 +30,59 @@ TOP_SHAPES, TOP_FUNCTIONS = 15, 12
 
 
 def scan(spark: SparkSession, path: str, max_rows: int = workbook.MAX_ROWS, previous: DataFrame | None = None) -> Tables:
-    """workbook, sheet, cell, formula and region tables of all workbook files below a path.
+    """workbook, sheet, cell, formula, region and occupancy tables of all workbook files below a path.
 
-    previous: the workbook table of an earlier run; files unchanged since (same path, size and hash, not failed) are left out.
+    previous: the workbook table of an earlier run; files unchanged since (same path, size and hash, not failed) are left
+    out, told by their hashes alone.
     """
-    files = workbook.discover(spark, path)
-    book = spool(workbook.structure(files))
+    files = workbook.hashed(workbook.discover(spark, path))
     if previous is not None:
-        todo = joins.changed(book, previous.withColumn("gl_failed", F.col("parse_status") == "failed"), "path", ["size_bytes", "sha256"], "gl_failed")
-        book = spool(todo)
-        files = files.join(book.select("path"), "path", "left_semi")
-    cell = spool(workbook.cells(files, max_rows).dropDuplicates([*KEYS, "row", "col"]))
+        files = unseen(files, previous)
+    return tables_of(files, max_rows)
+
+
+def unseen(files: DataFrame, previous: DataFrame) -> DataFrame:
+    """Files that are new, changed, or failed before. files: path, length, sha; previous: path, size_bytes, sha256, parse_status."""
+    known = previous.select("path", F.col("size_bytes").alias("length"), F.col("sha256").alias("sha"), (F.col("parse_status") == "failed").alias("gl_failed"))
+    todo = joins.changed(files.select("path", "length", "sha"), known, "path", ["length", "sha"], "gl_failed")
+    return files.join(spool(todo.select("path")), "path", "left_semi")
+
+
+def tables_of(files: DataFrame, max_rows: int = workbook.MAX_ROWS) -> Tables:
+    """The tables of files given as path, content and sha; every file is opened once."""
+    with workbook.small_batches(files.sparkSession):
+        found = spool(workbook.read(files, max_rows))
+    book = spool(workbook.books(found))
+    cell = spool(workbook.cells(found).dropDuplicates([*KEYS, "row", "col"]))
     sheet = spool(book.select("file_pk", F.explode("sheets").alias("s")).select("file_pk", "s.*").dropDuplicates(KEYS))
     formula = spool(formula_table(cell))
-    return {"workbook": book, "sheet": sheet, "cell": cell, "formula": formula, "region": spool(detect.detect(cell, sheet))}
+    shown = profiles.occupancy(cell.withColumn("is_formula", F.col("formula").isNotNull()), KEYS)
+    return {"workbook": book, "sheet": sheet, "cell": cell, "formula": formula, "region": spool(detect.detect(cell, sheet)), "occupancy": shown}
+
+
+def run(spark: SparkSession, path: str, max_rows: int = workbook.MAX_ROWS, before: Tables | None = None) -> Tables:
+    """Scan and assess; with the tables of an earlier run, only what has changed is scanned and the rest is taken from there."""
+    if before is None:
+        return assess(scan(spark, path, max_rows))
+    fresh = scan(spark, path, max_rows, before["workbook"])
+    here = workbook.discover(spark, path).select("path")
+    stays = spool(before["workbook"].join(here, "path", "left_semi").join(fresh["workbook"].select("path"), "path", "left_anti"))
+    keys = stays.select("file_pk").distinct()
+    merged = {"workbook": spool(stays.unionByName(fresh["workbook"], allowMissingColumns=True))}
+    for name in ("sheet", "cell", "formula", "region", "occupancy"):
+        old = joins.still_there(before[name], keys, "file_pk").join(fresh["workbook"].select("file_pk"), "file_pk", "left_anti")
+        merged[name] = spool(old.unionByName(fresh[name], allowMissingColumns=True))
+    return assess(merged)
+
+
+def save(result: Tables, folder: str) -> None:
+    """The tables of a run as Parquet below its folder; those of an earlier run are replaced only when all new ones are written."""
+    spark = result["workbook"].sparkSession
+    for name, df in result.items():
+        df.write.mode("overwrite").parquet(f"{folder}/tables.new/{name}")
+    delete(spark, f"{folder}/tables")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).rename(path(f"{folder}/tables.new"), path(f"{folder}/tables"))
 
 
 def formula_table(cell: DataFrame) -> DataFrame:
@@ -60,7 +101,8 @@ def sheet_facts(t: Tables) -> DataFrame:
     calls = lambda names, label: F.coalesce(F.sum(F.when(F.col("fn").isin(list(names)), F.col("n"))), F.lit(0)).alias(label)
     by_kind = top.groupBy(*KEYS).agg(calls(rules.LOOKUPS + ("LOOKUP",), "lookup"), calls(rules.CONDITIONS, "conditional"), calls(rules.AGGREGATES, "aggregate"), calls(rules.TEXTS, "textual"))
     counts = t["cell"].groupBy(*KEYS).agg(F.count("*").alias("populated"), F.max("row").alias("max_row"), F.max("col").alias("max_col"), F.count_if("is_error").alias("n_errors"))
-    region = t["region"].groupBy(*KEYS).agg(F.collect_set("kind").alias("kinds"), F.filter(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("region_id", "headers"))), lambda x: x["headers"])), lambda h: h != "").alias("headers"))
+    counts = counts.withColumn("density", F.round(F.col("populated") / (F.col("max_row").cast("long") * F.col("max_col")), 3))
+    region = t["region"].groupBy(*KEYS).agg(F.collect_set("kind").alias("kinds"), F.filter(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("region_id", "headers"))), lambda x: x["headers"])), lambda h: h != "").alias("headers"), F.collect_list("headers").alias("region_headers"))
     names = t["sheet"].select("file_pk", "position", "name", "state")
     by_name = names.select(F.col("file_pk").alias("file"), "name")
     edge = edges(t)
@@ -75,7 +117,8 @@ def sheet_facts(t: Tables) -> DataFrame:
     out = out.select("*", F.col("file_pk").alias("file"), F.col("total").alias("formulas"), F.col("hardcoded_literal_count").alias("literals"), F.col("volatile_count").alias("volatile"))
     out = out.withColumns({"kinds": F.coalesce("kinds", none), "headers": F.coalesce("headers", none), "visibility": S.visibility(F.col("state"))})
     out = rules.assessed_sheets(out)
-    found = F.array_compact(F.array(rules.reconciliation(F.col("name"), F.col("headers"))))
+    # one candidate a region
+    found = F.coalesce(F.array_compact(F.transform("region_headers", lambda h: rules.reconciliation(F.col("name"), h))), F.array().cast("array<struct<source_a:string,source_b:string,matching_criteria:string,cues:array<string>>>"))
     out = out.withColumn("reconciliations", found).withColumn("description", rules.calculation_description(out))
     out = out.withColumn("validation_reasons", rules.validation_triggers()).withColumn("manual_labels", rules.manual_evidence(F.col("name"), F.col("headers")))
     return rules.visible_first(out.withColumn("review_required", F.size("validation_reasons") > 0))
@@ -122,7 +165,7 @@ def file_facts(t: Tables, facts: DataFrame) -> DataFrame:
         *(F.sum(c).alias(c) for c in ("lookup", "aggregate", "textual")), F.array_distinct(F.flatten(F.collect_set(F.array_union("roles", F.array("category"))))).alias("sheet_roles"),
         F.array_compact(F.transform(F.sort_array(F.collect_list(F.struct("position", "description"))), lambda x: x["description"])).alias("key_calculations"), F.sum(F.size("reconciliations")).alias("reconciliations"),
     )
-    safe = F.filter(F.transform("connections", lambda c: F.trim(c["name"])), lambda n: n.isNotNull() & (n != "") & ~n.rlike(r"(?i)[/\\:@]|password=|server=|uid=|provider=|database=|token="))
+    safe = F.filter(F.transform("connections", lambda c: F.trim(c["name"])), lambda n: n.isNotNull() & (n != "") & ~n.rlike(S.SENSITIVE))
     book = t["workbook"].select(
         "file_pk", "path", "file_name", "parse_status", S.scan_error(F.col("error_category"), S.redacted_message(F.col("scan_error"), F.col("path"))).alias("scan_error"), "has_vba", "has_power_query",
         (F.size("external_links") + F.size("connections")).alias("links"), F.size("pivot_sources").alias("n_pivots"), F.array_sort(F.array_distinct(safe)).alias("source_systems"),
@@ -162,24 +205,44 @@ def topology(facts: DataFrame, edge: DataFrame) -> DataFrame:
     return facts.groupBy(F.col("file_pk").alias("file")).agg(*map(count, rules.CATEGORIES)).join(n, "file", "left").fillna(0, ["edges"])
 
 
-def findings(files: DataFrame, errors: DataFrame, hidden: DataFrame, pairs: DataFrame) -> DataFrame:
-    """All roll-ups in one table."""
+#: What to do about findings of a category.
+ACTIONS = {
+    "Cached errors": "refresh and recalculate, repair what stays",
+    "Hidden sheets": "find out who needs them",
+    "Comparison": "confirm the purpose of both files",
+    "Human validation": "assign the sheets to reviewers",
+    "Opportunities": "confirm with the owners",
+    "Coverage": "mend the files and resume the run",
+}
+
+
+def findings(t: Tables, ids: list[str] | None = None) -> DataFrame:
+    """All roll-ups in one table, over all files or those chosen."""
+    chosen = lambda df, *keys: df if ids is None else df.where(reduce(lambda a, b: a & b, (F.col(k).isin(ids) for k in keys)))
+    files, errors, hidden = (chosen(t[k], "file_pk") for k in ("file_fact", "error_group", "hidden_group"))
     text = lambda *x: F.concat_ws(" ", *(v if not isinstance(v, str) else F.lit(v) for v in x))
     review = F.lit("Review")
     e = rollups.error_rollup(errors, "error", "area_type", "file_pk", "count")
     h = hidden.groupBy("purpose").agg(F.count_distinct("file_pk").alias("f"), F.sum("count").alias("n"))
-    p = rollups.pair_rollup(pairs.select(F.col("a").alias("file_a"), F.col("b").alias("file_b"), "relationship"))
+    p = rollups.pair_rollup(chosen(t["estate"], "a", "b").select(F.col("a").alias("file_a"), F.col("b").alias("file_b"), "relationship"))
     r = files.where("review_count > 0").agg(F.count("*").alias("f"), F.coalesce(F.sum("review_count"), F.lit(0)).alias("n")).where("f > 0")
     c = files.where("parse_status = 'failed'").agg(F.count("*").alias("n")).where("n > 0")
-    return rollups.findings(
+    some = lambda name: chosen(t[name], "file").agg(F.count_distinct("file").alias("f"), F.count("*").alias("n")).where("n > 0")
+    out = rollups.findings(
         [
             rollups.finding(e, "Cached errors", text(F.col("error_type"), "in", F.col("area_type")), F.col("severity"), F.col("files"), F.col("cells")),
             rollups.finding(h, "Hidden sheets", text("Hidden", F.lower("purpose"), "tabs"), review, F.col("f"), F.col("n")),
             rollups.finding(p, "Comparison", F.col("relationship"), review, F.col("files"), F.col("pairs")),
             rollups.finding(r, "Human validation", F.lit("Tabs needing human validation"), review, F.col("f"), F.col("n")),
+            rollups.finding(some("simplification"), "Opportunities", F.lit("Simplification"), review, F.col("f"), F.col("n")),
+            rollups.finding(some("automation"), "Opportunities", F.lit("Manual work"), review, F.col("f"), F.col("n")),
             rollups.finding(c, "Coverage", F.lit("Unreadable workbooks"), F.lit("High"), F.col("n"), F.col("n")),
         ]
     )
+    action = F.element_at(F.create_map(*[F.lit(x) for kv in ACTIONS.items() for x in kv]), F.col("category"))
+    action = F.when(F.col("finding").startswith("#REF!"), "repair the references: recalculating does not").otherwise(action)
+    why = F.concat(F.col("affected").cast("string"), F.lit(" in "), F.col("files").cast("string"), F.lit(" file(s)"))
+    return out.select(F.lit("all files" if ids is None else "chosen files").alias("scope"), "*", action.alias("action"), why.alias("evidence"))
 
 
 Assessor = Callable[[dict], dict]
@@ -218,8 +281,26 @@ def assess(t: Tables, assessor: Assessor = offline) -> Tables:
     pairs = spool(sim.offered(sim.similar_pairs(tokens)))
     estate = spool(sim.estate_pairs(tokens, topology(facts, edge)))
     cluster = spool(sim.clusters(estate, files.select(F.col("file_pk").alias("file")).distinct()))
-    return t | {
+    out = t | {
         "sheet_fact": facts, "file_fact": files, "error_group": errors, "hidden_group": hidden, "token": tokens, "edge": edge, "pair": pairs, "estate": estate, "cluster": cluster,
-        "family": sim.families(estate, cluster, tokens), "finding": findings(files, errors, hidden, estate), "narrative": narratives(facts, assessor),
+        "family": sim.families(estate, cluster, tokens), "narrative": spool(narratives(facts, assessor)),
         "simplification": rules.simplification(facts), "automation": rules.automation(facts), "deliverable": rules.deliverables(facts), "upstream": rules.upstream(edge, facts), "downstream": rules.downstream(edge, facts),
     }
+    out["key_input"] = spool(rules.key_inputs(fields.inputs(t)))
+    out["rationalisation"] = rollups.rationalisation(fields.reviews(out))
+    out["finding"] = findings(out)
+    out["file_field"], out["tab_field"] = spool(fields.file_fields(out)), spool(fields.tab_fields(out))
+    out["evidence"] = evidence_table(out)
+    return out
+
+
+def evidence_table(t: Tables) -> DataFrame:
+    """entity, field, text: what claims about files can cite."""
+    named = F.create_map(*[F.lit(x) for kv in {"purpose": "Purpose of file", "key_inputs": "Key inputs", "key_outputs": "Key outputs", "key_calculations": "Key calculations / logic", "manual_intervention": "Manual intervention"}.items() for x in kv])
+    known = t["file_field"].where("value is not null").withColumn("label", F.try_element_at(named, F.col("field"))).where("label is not null")
+    return known.select(F.col("file_pk").alias("entity"), F.col("label").alias("field"), F.explode(F.split("value", "; ")).alias("text")).where("trim(text) <> ''")
+
+
+def accepted_claims(t: Tables, claims: DataFrame, citations: DataFrame) -> DataFrame:
+    """The claims of an assessor that hold: every citation is checked against the files' own fields; see operators.evidence."""
+    return evidence.accepted(claims, citations, t["evidence"])

@@ -106,7 +106,7 @@ def external_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 EXTERNAL_NAMES = r"""
-SELECT page_id, coalesce(nullif(regexp_extract(regexp_replace(regexp_extract(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '^[^?#]*', 0), '/+$', ''), '[^/]*$', 0), ''), 'unresolved external workbook') AS of_url,
+SELECT page_id, coalesce(nullif(regexp_extract(regexp_replace(regexp_extract(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '^[^?#]*', 0), '/+$', ''), '[^/]*$', 0), ''), 'unnamed workbook') AS of_url,
  'My 20Book 100 ' || page_id || '.xlsx' AS of_share FROM pages
 """
 
@@ -119,7 +119,7 @@ def connection_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 CONNECTION_LABELS = """
-SELECT c_custkey, CASE WHEN c_custkey % 3 = 1 THEN trim(c_name) WHEN c_custkey % 2 = 0 THEN c_mktsegment || ' connection' ELSE 'Unnamed formal data connection' END AS label FROM customer
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 1 THEN trim(c_name) WHEN c_custkey % 2 = 0 THEN c_mktsegment || ' connection' ELSE 'unnamed connection' END AS label FROM customer
 """
 
 

@@ -10,12 +10,13 @@ from gridloom.plans.base import any_of, table
 
 
 def _grid(spark: SparkSession, d: str) -> DataFrame:
-    """Order and line numbers as populated cells with holes, in sheets of 50 rows."""
-    li = table(spark, d, "lineitem").where(F.pmod(F.col("l_orderkey") * 7 + F.col("l_linenumber") * 3, F.lit(4)) != 0)
-    return li.select(F.floor(F.col("l_orderkey") / 50).alias("sheet"), F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("col")).distinct()
+    """All line items as populated cells in sheets of 50 orders: a row an order, a column or the next a line, by its quantity."""
+    li = table(spark, d, "lineitem")
+    column = 2 * F.col("l_linenumber") - (F.col("l_quantity") > 25).cast("int")
+    return li.select(F.floor(F.col("l_orderkey") / 50).alias("sheet"), F.col("l_orderkey").alias("row"), column.alias("col")).distinct()
 
 
-_GRID = "cells AS (SELECT DISTINCT l_orderkey // 50 AS sheet, l_orderkey AS r, l_linenumber AS c FROM lineitem WHERE (l_orderkey * 7 + l_linenumber * 3) % 4 <> 0)"
+_GRID = "cells AS (SELECT DISTINCT l_orderkey // 50 AS sheet, l_orderkey AS r, 2 * l_linenumber - CAST(l_quantity > 25 AS INT) AS c FROM lineitem)"
 
 
 def row_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -193,7 +194,7 @@ def reconciliations(spark: SparkSession, d: str) -> DataFrame:
 
 RECONCILIATIONS = f"""
 WITH {_K}, h AS (SELECT *, {_HEADS} AS h1, ['Variance', 'Policy id', 'Note'][CAST(id % 3 + 1 AS INT)] AS h3 FROM t)
-SELECT file, name, CASE WHEN {any_of("lower(h1)", rules.SOURCE_HINTS)} THEN h1 ELSE 'Target ledger' END AS source_a, 'Target ledger' AS source_b, CASE WHEN id % 3 = 1 THEN 'Policy id' ELSE 'Not established from workbook structure' END AS matching_criteria, CASE WHEN id % 3 = 0 THEN 'Variance' ELSE '' END AS cues
+SELECT file, name, CASE WHEN {any_of("lower(h1)", rules.SOURCE_HINTS)} THEN h1 ELSE 'Target ledger' END AS source_a, 'Target ledger' AS source_b, CASE WHEN id % 3 = 1 THEN 'Policy id' ELSE 'no key column' END AS matching_criteria, CASE WHEN id % 3 = 0 THEN 'Variance' ELSE '' END AS cues
 FROM h WHERE {any_of("lower(h1)", rules.SOURCE_HINTS)} AND (id % 3 = 0 OR {any_of("low", rules.COMPARISON_HINTS)})
 """
 
@@ -212,10 +213,11 @@ def calculation_descriptions(spark: SparkSession, d: str) -> DataFrame:
     return out.select("file", "name", rules.calculation_description(out).alias("description"))
 
 
+_WHAT = {k: f"'{v}'" for k, v in rules.DESCRIPTIONS.items()}
 CALCULATION_DESCRIPTIONS = f"""
-WITH {_RULED} SELECT file, name, CASE WHEN formulas = 0 THEN NULL WHEN id % 5 = 1 THEN 'Rolls opening balances through movements to closing balances' WHEN id % 5 = 3 THEN 'Converts balances using exchange-rate assumptions'
- WHEN list_contains(roles, 'Mapping') OR lookup >= formulas * 0.3 THEN 'Maps codes or values through a lookup/reference table' WHEN list_contains(roles, 'Control Check') OR list_contains(roles, 'Validation') THEN 'Supports a control or validation check'
- WHEN list_contains(roles, 'Output') THEN 'Supports a reporting-oriented worksheet' WHEN aggregate >= formulas * 0.3 THEN 'Aggregates detailed data into summary totals' END AS description FROM z
+WITH {_RULED} SELECT file, name, CASE WHEN formulas = 0 THEN NULL WHEN id % 5 = 1 THEN {_WHAT["roll-forward"]} WHEN id % 5 = 3 THEN {_WHAT["exchange"]}
+ WHEN list_contains(roles, 'Mapping') OR lookup >= formulas * 0.3 THEN {_WHAT["mapping"]} WHEN list_contains(roles, 'Control Check') OR list_contains(roles, 'Validation') THEN {_WHAT["control"]}
+ WHEN list_contains(roles, 'Output') THEN {_WHAT["output"]} WHEN aggregate >= formulas * 0.3 THEN {_WHAT["aggregate"]} END AS description FROM z
 """
 
 
@@ -247,22 +249,26 @@ SELECT e.file, e.dst AS name, string_agg(e.src || '=' || o.role, ',' ORDER BY e.
 
 
 def simplification(spark: SparkSession, d: str) -> DataFrame:
-    """Structural issues per sheet."""
-    return rules.simplification(_sheets(spark, d).withColumn("formulas", F.col("formulas") * 4))
+    """Structural issues per sheet, what could change and what for."""
+    return rules.simplification(rules.assessed_sheets(_sheets(spark, d)).withColumn("formulas", F.col("formulas") * 4))
 
 
 SIMPLIFICATION = f"""
-WITH {_K} SELECT file, name, 'hardcoded numbers' AS issue, CAST(literals AS BIGINT) AS amount FROM t WHERE literals > 5 UNION ALL SELECT file, name, 'volatile functions', volatile FROM t WHERE volatile > 0
-UNION ALL SELECT file, name, 'little reuse of shapes', shapes FROM t WHERE formulas * 4 > 50 AND shapes > 0 AND formulas * 4 / shapes::DOUBLE < 3
+WITH {_RULED} SELECT file, name, information, 'hardcoded numbers' AS issue, CAST(literals AS BIGINT) AS amount, 'keep constants in cells of their own' AS proposed_change, 'they can be seen and checked' AS expected_benefit, true AS confirm FROM z WHERE literals > 5
+UNION ALL SELECT file, name, information, 'volatile functions', volatile, 'use fixed references', 'less is recalculated', true FROM z WHERE volatile > 0
+UNION ALL SELECT file, name, information, 'little reuse of shapes', shapes, 'use one formula for each column', 'fewer formulas to review', true FROM z WHERE formulas * 4 > 50 AND shapes > 0 AND formulas * 4 / shapes::DOUBLE < 3
 """
 
 
 def automation(spark: SparkSession, d: str) -> DataFrame:
-    """Sheets whose labels speak of a manual step."""
-    return rules.automation(_sheets(spark, d))
+    """Sheets whose labels speak of a manual step, with the signals."""
+    return rules.automation(_sheets(spark, d)).select("file", "name", "repeated_pattern", F.array_join("signals", "; ").alias("signals"), "confirm")
 
 
-AUTOMATION = f"WITH {_K} SELECT file, name, coalesce(formulas / nullif(shapes, 0)::DOUBLE >= 5, false) AS repeated_pattern FROM t WHERE {any_of('low', rules.WORKFLOW)} OR id % 5 = 4"
+AUTOMATION = f"""
+WITH {_K}, r AS (SELECT *, coalesce(formulas / nullif(shapes, 0)::DOUBLE, 0) AS reuse FROM t)
+SELECT file, name, reuse >= 5 AS repeated_pattern, 'labels speak of manual work' || CASE WHEN reuse >= 5 THEN '; uses per shape: ' || CAST(round(reuse, 1) AS VARCHAR) ELSE '' END AS signals, true AS confirm FROM r WHERE {any_of('low', rules.WORKFLOW)} OR id % 5 = 4
+"""
 
 
 def deliverables(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import hashlib
 import html
 import io
@@ -12,9 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalars import spreadsheet_safe
+from gridloom.operators import fields as fields_of
+from gridloom.plans.fields import FILE_FIELDS, TAB_FIELDS
 from gridloom.sinks import xlsx
 
-NOT_ASSESSED = "Not assessed — workbook scan failed"
+NOT_ASSESSED = "not assessed: the scan failed"
 
 
 def text_columns(df: DataFrame) -> DataFrame:
@@ -31,50 +34,52 @@ def text_columns(df: DataFrame) -> DataFrame:
     return df.select(*(shown(n, k) for n, k in df.dtypes))
 
 
-def summary(files: DataFrame) -> DataFrame:
-    """One row a file for reviewers; failed files say so in every field."""
+def summary(t: dict[str, DataFrame]) -> DataFrame:
+    """One row a file for reviewers: counts and every assessment field; failed files say so in every field."""
     failed = F.col("parse_status") == "failed"
-    say = lambda c: F.when(failed, NOT_ASSESSED).otherwise(c.cast("string"))
-    fields = ("n_sheets", "hidden_count", "cached_errors", "review_count", "complexity", "logic_type", "business_area")
-    joined = ("logic_types", "preparers", "source_systems", "external_files", "key_calculations")
-    return files.select("file_pk", "file_name", "parse_status", "scan_error", *(say(F.col(c)).alias(c) for c in fields), *(say(F.array_join(c, "; ")).alias(c) for c in joined)).orderBy("file_name", "file_pk")
+    say = lambda c: F.when(failed, NOT_ASSESSED).otherwise(F.col(c).cast("string")).alias(c)
+    counts = ("n_sheets", "hidden_count", "cached_errors", "review_count")
+    files = t["file_fact"].select("file_pk", "file_name", "parse_status", "scan_error", *counts)
+    told = fields_of.wide_table(t["file_field"], ["file_pk"], list(FILE_FIELDS))
+    out = files.join(told, "file_pk", "left")
+    return out.select("file_pk", "file_name", "parse_status", "scan_error", *(say(c) for c in (*counts, *FILE_FIELDS))).orderBy("file_name", "file_pk")
 
 
-def tabs(facts: DataFrame, narrative: DataFrame) -> DataFrame:
-    """One row a sheet, visible ones first."""
-    out = facts.join(narrative, ["file_pk", "position"], "left")
-    return out.select("file_pk", "name", (F.col("position") + 1).alias("original_position"), "visibility", "category", "roles", "information", "purpose", "description", "reads", "read_by", "validation_reasons", "place").orderBy("file_pk", "place")
+def tabs(t: dict[str, DataFrame]) -> DataFrame:
+    """One row a sheet with its fields, visible sheets first."""
+    told = fields_of.wide_table(t["tab_field"], ["file_pk", "position", "name", "shown_at"], list(TAB_FIELDS))
+    named = told.join(t["file_fact"].select("file_pk", "file_name").dropDuplicates(["file_pk"]), "file_pk")
+    order = named.orderBy("file_name", "file_pk", "shown_at")
+    return order.select("file_pk", "file_name", "name", (F.col("position") + 1).alias("original_position"), *TAB_FIELDS)
 
 
-def diagnostics(files: DataFrame, errors: DataFrame, hidden: DataFrame) -> DataFrame:
+def diagnostics(t: dict[str, DataFrame]) -> DataFrame:
     """Failures, error groups and hidden groups in one table."""
     none = F.lit("")
-    a = files.where("parse_status = 'failed'").select("file_pk", F.lit("Scan failure").alias("kind"), none.alias("place"), F.col("scan_error").alias("what"), F.lit(0).cast("long").alias("count"), none.alias("detail"))
-    b = errors.select("file_pk", F.lit("Cached error"), F.concat_ws("!", "sheet", "region"), "error", "count", F.array_join("sample_cells", "; "))
-    c = hidden.select("file_pk", F.lit("Hidden sheets"), "purpose", none, "count", F.array_join("sheets", "; "))
-    return a.union(b).union(c).orderBy("file_pk", "kind", F.desc("count"), "place")
+    name = t["file_fact"].select("file_pk", "file_name").dropDuplicates(["file_pk"])
+    a = t["file_fact"].where("parse_status = 'failed'").select("file_pk", F.lit("Scan failure").alias("kind"), none.alias("sheet"), none.alias("what"), F.lit(0).cast("long").alias("count"), none.alias("area"), none.alias("downstream"), none.alias("recalculate"), F.lit("mend the file and resume the run").alias("action"), F.col("scan_error").alias("detail"))
+    b = t["error_group"].select("file_pk", F.lit("Cached error"), "sheet", F.concat_ws(" in ", "error", "region"), "count", "area_type", F.array_join("downstream_outputs", "; "), F.when(F.col("recalc_required"), "yes").otherwise("no"), "reviewer_action", F.array_join("sample_cells", "; "))
+    c = t["hidden_group"].select("file_pk", F.lit("Hidden sheets"), none, "purpose", "count", none, F.array_join("depended_on_by", "; "), none, F.lit("find out who needs them"), F.array_join("sheets", "; "))
+    return a.union(b).union(c).join(name, "file_pk", "left").select("file_pk", "file_name", "kind", "sheet", "what", "count", "area", "downstream", "recalculate", "action", "detail").orderBy("file_name", "file_pk", "kind", F.desc("count"), "sheet", "what")
 
 
 def export_tables(result: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The four tables that reviewers get."""
     return {
-        "file_summary": summary(result["file_fact"]),
-        "worksheet_details": tabs(result["sheet_fact"], result["narrative"]),
+        "file_summary": summary(result),
+        "worksheet_details": tabs(result),
         "portfolio_findings": result["finding"].orderBy(F.when(F.col("severity") == "High", 0).otherwise(1), F.desc("files"), "category", "finding"),
-        "diagnostics": diagnostics(result["file_fact"], result["error_group"], result["hidden_group"]),
+        "diagnostics": diagnostics(result),
     }
 
 
-def csv_bytes(df: DataFrame) -> bytes:
-    """A reviewer's CSV with a byte order mark; rows come one partition at a time."""
-    import csv
-
-    out = io.StringIO()
-    w = csv.writer(out)
-    w.writerow(df.columns)
-    for r in df.toLocalIterator():
-        w.writerow(["" if x is None else x for x in r])
-    return b"\xef\xbb\xbf" + out.getvalue().encode()
+def write_csv(df: DataFrame, path: Path) -> None:
+    """A reviewer's CSV with a byte order mark; rows come one partition at a time and go straight to the file."""
+    with path.open("w", newline="", encoding="utf-8-sig") as out:
+        w = csv.writer(out)
+        w.writerow(df.columns)
+        for r in df.toLocalIterator():
+            w.writerow(["" if x is None else x for x in r])
 
 
 def export_all(result: dict[str, DataFrame], folder: str) -> list[Path]:
@@ -85,20 +90,22 @@ def export_all(result: dict[str, DataFrame], folder: str) -> list[Path]:
     out = []
     for k, df in shown.items():
         out.append(target / f"{k}.csv")
-        out[-1].write_bytes(csv_bytes(df))
+        write_csv(df, out[-1])
     out.append(target / "portfolio_review.xlsx")
     xlsx.write(out[-1], [xlsx.table_sheet(k.replace("_", " "), df) for k, df in shown.items()])
     return out
 
 
-def page(title: str, tables: dict[str, DataFrame]) -> str:
-    """A page without scripts or outside parts: one table each, all text escaped."""
-    body = []
-    for k, df in tables.items():
-        head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
-        rows = ("<tr>" + "".join(f"<td>{html.escape('—' if x is None else str(x))}</td>" for x in r) + "</tr>" for r in text_columns(df).toLocalIterator())
-        body.append(f"<h2>{html.escape(k)}</h2><table><tr>{head}</tr>{''.join(rows)}</table>")
-    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title><style>body{{font-family:sans-serif}}td,th{{border:1px solid #ccc;padding:2px 6px}}</style></head><body><h1>{html.escape(title)}</h1>{''.join(body)}</body></html>"
+def write_page(path: str | Path, title: str, tables: dict[str, DataFrame]) -> None:
+    """A page without scripts or outside parts: one table each, all text escaped, written row by row."""
+    with Path(path).open("w", encoding="utf-8") as out:
+        out.write(f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title><style>body{{font-family:sans-serif}}td,th{{border:1px solid #ccc;padding:2px 6px}}</style></head><body><h1>{html.escape(title)}</h1>")
+        for k, df in tables.items():
+            out.write(f"<h2>{html.escape(k)}</h2><table><tr>" + "".join(f"<th>{html.escape(c)}</th>" for c in df.columns) + "</tr>")
+            for r in text_columns(df).toLocalIterator():
+                out.write("<tr>" + "".join(f"<td>{html.escape('—' if x is None else str(x))}</td>" for x in r) + "</tr>")
+            out.write("</table>")
+        out.write("</body></html>")
 
 
 def bundle(target: str, originals: dict[str, tuple[str, str]], tables: dict[str, DataFrame]) -> None:
@@ -110,4 +117,8 @@ def bundle(target: str, originals: dict[str, tuple[str, str]], tables: dict[str,
         for file_name, (path, _) in originals.items():
             z.write(path, f"originals/{file_name}")
         for k, df in tables.items():
-            z.writestr(f"analysis/{k}.csv", csv_bytes(text_columns(df)))
+            with z.open(f"analysis/{k}.csv", "w") as part, io.TextIOWrapper(part, "utf-8-sig", newline="") as out:
+                w = csv.writer(out)
+                w.writerow(df.columns)
+                for r in text_columns(df).toLocalIterator():
+                    w.writerow(["" if x is None else x for x in r])

@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.plans import endpoints
 from gridloom.sinks import xlsx
-from gridloom.sinks.portfolio import csv_bytes, page, text_columns
+from gridloom.sinks.portfolio import text_columns, write_csv, write_page
 
 Tables = dict[str, DataFrame]
 NOTHING = "—"
@@ -41,17 +41,26 @@ def label(item: object) -> str:
     return str(item)
 
 
+def plate(cells: Column) -> Column:
+    """The upper left corner of a sheet as lines of flags, a dot for an empty cell."""
+    wide, tall = F.array_max(F.transform(cells, lambda x: x["c"])), F.array_max(F.transform(cells, lambda x: x["r"]))
+    at = F.map_from_entries(F.transform(cells, lambda x: F.struct(x["r"] * 1000 + x["c"], x["flag"].cast("string"))))
+    line = lambda r: F.array_join(F.transform(F.sequence(F.lit(1), wide), lambda c: F.coalesce(F.try_element_at(at, r * 1000 + c), F.lit("."))), "")
+    return F.when(F.size(cells) > 0, F.array_join(F.transform(F.sequence(F.lit(1), tall), line), "\n"))
+
+
 def file_tables(t: Tables, file_pk: str) -> Tables:
     """The sheets of a file's report, by title."""
     own = endpoints.file(t, file_pk)
     facts = own["sheet_fact"].orderBy("place")
     pk = F.col("file_pk") == file_pk
-    shape = t["formula"].where(pk).groupBy("sheet", "skeleton").agg(F.count("*").alias("uses")).orderBy(F.desc("uses"), "sheet", "skeleton").limit(200)
+    shape = t["formula"].where(pk).groupBy("sheet", "skeleton").agg(F.count("*").alias("uses")).orderBy(F.desc("uses"), "sheet", "skeleton")
     book = t["workbook"].where(pk)
     return {
-        "File assessment": own["file_fact"],
-        "Worksheet assessment": facts.select("name", "visibility", "category", "confidence", "roles", "information", "area_type", "description", "reads", "read_by", "validation_reasons"),
-        "Sheet inventory": facts.select("name", "visibility", "populated", "max_row", "max_col", "formulas", "distinct_skeletons", "n_errors"),
+        "File assessment": t["file_field"].where(pk).orderBy("place").select("field", "value", "basis", "confidence", "evidence"),
+        "Worksheet assessment": t["tab_field"].where(pk).orderBy("shown_at", "place").select("name", "field", "value", "basis", "confidence", "evidence"),
+        "Sheet inventory": facts.select("name", "visibility", "populated", "max_row", "max_col", "density", "formulas", "distinct_skeletons", "n_errors"),
+        "Occupancy": t["occupancy"].where(pk).orderBy("position").select("position", "truncated", F.size("occupancy").alias("cells_shown"), plate(F.col("occupancy")).alias("plate")),
         "Regions": own["region"].orderBy("position", "region_id").select("position", "ref", "kind", "origin", "headers", "n_data_rows", "density", "detect_confidence", "evidence"),
         "Formula patterns": shape,
         "Errors": own["error_group"].orderBy(F.desc("count"), "sheet", "error"),
@@ -71,7 +80,7 @@ def write_file_report(t: Tables, file_pk: str, path: str) -> None:
 
 def write_file_page(t: Tables, file_pk: str, path: str) -> None:
     """The report as a page."""
-    Path(path).write_text(page(f"Workbook {file_pk}", file_tables(t, file_pk)), encoding="utf-8")
+    write_page(path, f"Workbook {file_pk}", file_tables(t, file_pk))
 
 
 def estate_tables(t: Tables) -> Tables:
@@ -85,7 +94,7 @@ def write_estate(t: Tables, folder: str) -> list[Path]:
     target.mkdir(parents=True, exist_ok=True)
     parts = estate_tables(t)
     out = [target / "estate_pairs.csv", target / "estate.xlsx", target / "estate.html"]
-    out[0].write_bytes(csv_bytes(text_columns(parts["Linked pairs"])))
+    write_csv(text_columns(parts["Linked pairs"]), out[0])
     xlsx.write(out[1], [xlsx.table_sheet(k, text_columns(df)) for k, df in parts.items()])
-    out[2].write_text(page("Estate", parts), encoding="utf-8")
+    write_page(out[2], "Estate", parts)
     return out

@@ -17,6 +17,11 @@ def json_rows(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("json"))
 
 
+def json_lines(df: DataFrame) -> DataFrame:
+    """Each row as one JSON text."""
+    return df.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def from_json_rows(df: DataFrame, schema) -> DataFrame:
     """The inverse of json_rows."""
     return df.select(F.from_json("json", schema).alias("x")).select("x.*")

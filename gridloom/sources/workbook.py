@@ -1,8 +1,11 @@
 """Workbook packages as tables: structure and cells, read in Python workers one file at a time.
 
 Packages are zip files of XML; sheets are parsed as streams, so memory holds one file's
-shared strings and a batch of cells, whatever the sheet's length.  A file that cannot
+shared strings and a batch of cells, whatever the sheet's length.  A file is opened once:
+one pass gives its cells, and then a row about the file.  A file that cannot
 be read gives a row with its reason, never a failed job.
+
+A Power Query is told by the first ``QUERY_HEAD`` bytes of a custom part, where its element's name stands.
 """
 
 from __future__ import annotations
@@ -10,26 +13,30 @@ from __future__ import annotations
 import posixpath
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.sources.triage import Unreadable, opened
 
 MAX_ROWS = 200_000
-BATCH = 50_000
+BATCH, QUERY_HEAD = 50_000, 400
+#: Files, and bytes of them, that go to a Python worker at once.
+FILES_AT_ONCE, BYTES_AT_ONCE = 16, 64 << 20
 # Extensions, error values and the date formats of the workbook format.
 EXTENSIONS = ("xlsx", "xlsm", "xltx", "xltm")
 ERRORS = ("#REF!", "#N/A", "#DIV/0!", "#VALUE!", "#NAME?", "#NULL!", "#NUM!", "#SPILL!", "#CALC!")
 DATE_FORMATS = frozenset((14, 15, 16, 17, 18, 19, 20, 21, 22, 27, 30, 36, 45, 46, 47, 50, 57))
 
 STRUCTURE = """file_pk string, path string, file_name string, size_bytes long, sha256 string, parse_status string, error_category string, scan_error string,
-creator string, last_modified_by string, created string, modified string, title string, application string, company string, has_vba boolean, has_power_query boolean,
+creator string, last_modified_by string, created string, modified string, title string, application string, company string, has_vba boolean, vba_modules array<string>, has_power_query boolean,
 external_links array<string>, pivot_sources array<string>, connections array<struct<name:string,type:string,description:string,connection_string:string,command:string>>,
 defined_names array<struct<name:string,refers_to:string>>, warnings array<string>,
-sheets array<struct<position:int,name:string,state:string,dimension:string,merges:array<string>,has_autofilter:boolean,n_formats:int,n_validations:int,hyperlinks:array<string>,
+sheets array<struct<position:int,name:string,state:string,truncated:boolean,dimension:string,merges:array<string>,has_autofilter:boolean,n_formats:int,n_validations:int,hyperlinks:array<string>,
 tables:array<struct<name:string,display_name:string,ref:string,header_rows:int,totals_rows:int,columns:array<string>>>>>"""
 CELLS = "file_pk string, position int, sheet string, row int, col int, value string, formula string, text string, is_text boolean, is_number boolean, is_date boolean, is_error boolean, bold boolean, filled boolean, bordered boolean"
 
@@ -63,6 +70,7 @@ class Package:
             raise Unreadable("the workbook part is no XML", "corrupt")
         self.relations = self.related("xl/workbook.xml")
         sheets = [e for e in self.book.iter() if local(e.tag) == "sheet"]
+        self.strings, self.formats = self.shared_strings(), self.styles()
         self.sheets = [(i, e.get("name") or f"Sheet{i + 1}", e.get("state") or "visible", self.relations.get(attribute(e, "id"), "")) for i, e in enumerate(sheets)]
 
     def root(self, part: str):
@@ -124,7 +132,11 @@ class Package:
         return [t for t in targets if re.match(r"http|file:|/|\\|.{1,2}:", t)]
 
     def power_query(self) -> bool:
-        return any(b"DataMashup" in self.zip.read(n)[:400] for n in self.names if re.fullmatch(r"customXml/item[^/]*\.xml", n))
+        return any(b"DataMashup" in self.zip.read(n)[:QUERY_HEAD] for n in self.names if re.fullmatch(r"customXml/item[^/]*\.xml", n))
+
+    def modules(self) -> list[str]:
+        """Names of the macro project's modules; code is never read."""
+        return module_names(self.zip.read("xl/vbaProject.bin")) if "xl/vbaProject.bin" in self.names else []
 
     def sheet_structure(self, part: str) -> dict:
         """Merges, filters, validations, links and declared tables of a sheet."""
@@ -176,6 +188,37 @@ class Package:
         return out
 
 
+def module_names(project: bytes) -> list[str]:
+    """The streams in the VBA storage of a compound file, but for those that hold no module; none where it is damaged."""
+    word = lambda at, n: int.from_bytes(project[at : at + n], "little")
+    if project[:8] != b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" or len(project) < 512:
+        return []
+    size = 1 << min(word(30, 2), 16)
+    sector = lambda i: project[(i + 1) * size : (i + 2) * size]
+    table = b"".join(sector(i) for k in range(109) if (i := word(76 + 4 * k, 4)) < 0xFFFFFFFA)
+    chain, at, seen = b"", word(48, 4), set()
+    while at < 0xFFFFFFFA and at not in seen:
+        seen.add(at)
+        chain += sector(at)
+        at = int.from_bytes(table[4 * at : 4 * at + 4] or b"\xff" * 4, "little")
+    entries = [chain[i : i + 128] for i in range(0, len(chain) - 127, 128)]
+    field = lambda e, a: int.from_bytes(e[a : a + 4], "little")
+    title = lambda e: e[: max(0, int.from_bytes(e[64:66], "little") - 2)].decode("utf-16-le", "replace")
+    out = []
+    for e in entries:
+        # a storage's children are a tree of siblings
+        todo, done = ([field(e, 76)] if e[66] == 1 and title(e) == "VBA" else []), set()
+        while todo:
+            i = todo.pop()
+            if i < len(entries) and i not in done:
+                done.add(i)
+                todo += [field(entries[i], 68), field(entries[i], 72)]
+                name = title(entries[i])
+                if entries[i][66] == 2 and name not in ("dir", "_VBA_PROJECT") and not name.startswith("__SRP_"):
+                    out.append(name)
+    return sorted(set(out))
+
+
 def date_code(code: str) -> bool:
     """Does a number format render a date: any of y m d h s outside quotes and brackets?"""
     return bool(re.search("[ymdhs]", re.sub(r'"[^"]*"?|\[[^\]]*\]?', "", code.lower())))
@@ -193,9 +236,9 @@ def shown(x: float) -> str:
     return str(int(x)) if x.is_integer() and abs(x) < 1e17 else repr(x)
 
 
-def cells_of(package: Package, part: str, max_rows: int) -> Iterator[tuple]:
-    """row, col, value, formula, text and flags of a sheet's cells."""
-    shared, styles = package.shared_strings(), package.styles()
+def cells_of(package: Package, part: str, max_rows: int, left_out: list | None = None) -> Iterator[tuple]:
+    """row, col, value, formula, text and flags of a sheet's cells; the first row beyond ``max_rows`` joins ``left_out``."""
+    shared, styles = package.strings, package.formats
     row = col = 0
     for e in package.elements(part):
         tag = local(e.tag)
@@ -210,6 +253,8 @@ def cells_of(package: Package, part: str, max_rows: int) -> Iterator[tuple]:
         else:
             row, col = row or 1, col + 1
         if row > max_rows:
+            if left_out is not None and not left_out:
+                left_out.append(row)
             continue
         kind, style = e.get("t"), int(e.get("s") or 0)
         child = {local(c.tag): c for c in e}
@@ -236,60 +281,98 @@ def cells_of(package: Package, part: str, max_rows: int) -> Iterator[tuple]:
         yield row, col, value, formula, value if is_string else "", is_string and not value.startswith("="), is_number and not is_date, is_date, is_string and value in ERRORS, bold, filled, bordered
 
 
-def _structure(path: str, content: bytes, sha: str) -> dict:
+def _empty(path: str, content: bytes, sha: str) -> dict:
     base = {"file_pk": sha[:12], "path": path, "file_name": path.rpartition("/")[2], "size_bytes": len(content), "sha256": sha, "parse_status": "full", "error_category": None, "scan_error": None, "warnings": []}
-    empty = {k: [] for k in ("external_links", "pivot_sources", "connections", "defined_names", "sheets")} | dict.fromkeys(("creator", "last_modified_by", "created", "modified", "title", "application", "company")) | {"has_vba": False, "has_power_query": False}
+    lists = {k: [] for k in ("external_links", "pivot_sources", "connections", "defined_names", "sheets", "vba_modules")}
+    return base | lists | dict.fromkeys(("creator", "last_modified_by", "created", "modified", "title", "application", "company")) | {"has_vba": False, "has_power_query": False}
+
+
+def _described(p: Package, out: dict, truncated: dict[int, int]) -> dict:
+    """What the package says of the file. truncated: by position, the first row that was not read."""
+    core = p.properties("docProps/core.xml", {"creator": "creator", "last_modified_by": "lastModifiedBy", "created": "created", "modified": "modified", "title": "title"})
+    app = p.properties("docProps/app.xml", {"application": "Application", "company": "Company"})
+    for position, name, state, part in p.sheets:
+        if part not in p.names:
+            out["warnings"].append(f"sheet {name!r} has no part")
+            out["parse_status"] = "partial"
+            continue
+        if position in truncated:
+            out["warnings"].append(f"sheet {name!r}: rows from {truncated[position]} on were not read")
+            out["parse_status"] = "partial"
+        out["sheets"].append({"position": position, "name": name, "state": state, "truncated": position in truncated} | p.sheet_structure(part))
+    if app["application"] and "Excel" not in app["application"]:
+        out["warnings"].append("last written by another application: cached values may be missing")
+    names = [{"name": e.get("name") or "", "refers_to": (e.text or "").strip()} for e in p.book.iter() if local(e.tag) == "definedName"]
+    return out | core | app | {"has_vba": "xl/vbaProject.bin" in p.names, "vba_modules": p.modules(), "has_power_query": p.power_query(), "external_links": p.links(), "pivot_sources": p.pivots(), "connections": p.connections(), "defined_names": names}
+
+
+def opened_once(path: str, content: bytes, sha: str, max_rows: int) -> Iterator[tuple[list[tuple], dict | None]]:
+    """Batches of cells, each with None, and in the end no cells with the row about the file."""
+    out, truncated = _empty(path, content, sha), {}
     try:
         p = Package(content)
-        core = p.properties("docProps/core.xml", {"creator": "creator", "last_modified_by": "lastModifiedBy", "created": "created", "modified": "modified", "title": "title"})
-        app = p.properties("docProps/app.xml", {"application": "Application", "company": "Company"})
-        sheets = []
-        for position, name, state, part in p.sheets:
-            if part not in p.names:
-                base["warnings"].append(f"sheet {name!r} has no part")
-                base["parse_status"] = "partial"
-                continue
-            sheets.append({"position": position, "name": name, "state": state} | p.sheet_structure(part))
-        if app["application"] and "Excel" not in app["application"]:
-            base["warnings"].append("last written by another application: cached values may be missing")
-        names = [{"name": e.get("name") or "", "refers_to": (e.text or "").strip()} for e in p.book.iter() if local(e.tag) == "definedName"]
-        return empty | base | core | app | {"has_vba": "xl/vbaProject.bin" in p.names, "has_power_query": p.power_query(), "external_links": p.links(), "pivot_sources": p.pivots(), "connections": p.connections(), "defined_names": names, "sheets": sheets}
+        for position, name, _, part in p.sheets:
+            rows, left_out = [], []
+            for c in cells_of(p, part, max_rows, left_out) if part in p.names else ():
+                rows.append((sha[:12], position, name, *c))
+                if len(rows) == BATCH:
+                    yield rows, None
+                    rows = []
+            if left_out:
+                truncated[position] = left_out[0]
+            if rows:
+                yield rows, None
+        yield [], _described(p, out, truncated)
     except Unreadable as e:
-        return empty | base | {"parse_status": "failed", "error_category": e.category, "scan_error": str(e)}
+        yield [], _empty(path, content, sha) | {"parse_status": "failed", "error_category": e.category, "scan_error": str(e)}
     except Exception as e:  # noqa: BLE001  one bad file must not end the run
-        return empty | base | {"parse_status": "failed", "error_category": "corrupt", "scan_error": type(e).__name__}
+        yield [], _empty(path, content, sha) | {"parse_status": "failed", "error_category": "corrupt", "scan_error": type(e).__name__}
 
 
-def structure(files: DataFrame) -> DataFrame:
-    """One row a file: properties, links, sheets; failed files with category and reason."""
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within: few files go to a Python worker at once, whatever the session's settings are."""
+    own = {"spark.sql.execution.arrow.maxRecordsPerBatch": FILES_AT_ONCE, "spark.sql.execution.arrow.maxBytesPerBatch": BYTES_AT_ONCE}
+    before = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def read(files: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """The columns of a cell, and book: rows of cells have no book, and a file's last row has no cell.
+
+    files: path, content, and sha, the content's SHA-256.
+    """
+    schema = T.StructType([*T.StructType.fromDDL(CELLS), T.StructField("book", T.StructType.fromDDL(STRUCTURE))])
+    names = schema.names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples(index=False):
-                yield pd.DataFrame([_structure(r.path, bytes(r.content or b""), r.sha)])
+                for rows, book in opened_once(r.path, bytes(r.content or b""), r.sha, max_rows):
+                    if book is None:
+                        yield pd.DataFrame(rows, columns=names[:-1]).assign(book=None)[names]
+                    else:
+                        yield pd.DataFrame([[*[None] * (len(names) - 1), book]], columns=names)
 
-    return files.select("path", "content", F.sha2("content", 256).alias("sha")).mapInPandas(run, STRUCTURE)
+    return files.select("path", "content", "sha").mapInPandas(run, schema)
 
 
-def cells(files: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """One row a populated cell, of files that can be read."""
-    names = [x.split()[0] for x in CELLS.split(", ")]
+def hashed(files: DataFrame) -> DataFrame:
+    """The files with sha, the SHA-256 of their content."""
+    return files.withColumn("sha", F.sha2("content", 256))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples(index=False):
-                try:
-                    p = Package(bytes(r.content or b""))
-                except Exception:  # noqa: BLE001, S112  structure() tells the reason
-                    continue
-                for position, name, _, part in p.sheets:
-                    rows = []
-                    for c in cells_of(p, part, max_rows) if part in p.names else ():
-                        rows.append((r.sha[:12], position, name, *c))
-                        if len(rows) == BATCH:
-                            yield pd.DataFrame(rows, columns=names)
-                            rows = []
-                    if rows:
-                        yield pd.DataFrame(rows, columns=names)
-
-    return files.select("content", F.sha2("content", 256).alias("sha")).mapInPandas(run, CELLS)
+
+def books(found: DataFrame) -> DataFrame:
+    """One row a file: properties, links, sheets; failed files with category and reason."""
+    return found.where("book is not null").select("book.*")
+
+
+def cells(found: DataFrame) -> DataFrame:
+    """One row a populated cell, of files that can be read."""
+    return found.where("book is null").drop("book")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.sources import workbook
+from gridloom.storage import spool
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -24,7 +25,9 @@ def scan_new(spark: SparkSession, path: str, out: str, checkpoint: str) -> None:
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        for name, table in (("workbook", workbook.structure(batch)), ("cell", workbook.cells(batch))):
+        with workbook.small_batches(spark):
+            found = spool(workbook.read(workbook.hashed(batch)))
+        for name, table in (("workbook", workbook.books(found)), ("cell", workbook.cells(found))):
             table.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
 
     query = stream(spark, path).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -50,7 +50,7 @@ def test_formula_facts(spark):
 
 
 def test_names(spark):
-    cases = [("https://x.org/a/My%20Book.xlsx?y=1#z", "My Book.xlsx"), ("C:\\dir\\b.xlsx", "b.xlsx"), ("100% sure.xlsx", "100 sure.xlsx"), ("", "unresolved external workbook")]
+    cases = [("https://x.org/a/My%20Book.xlsx?y=1#z", "My Book.xlsx"), ("C:\\dir\\b.xlsx", "b.xlsx"), ("100% sure.xlsx", "100 sure.xlsx"), ("", "unnamed workbook")]
     df = spark.createDataFrame(cases, "p string, want string").select("want", S.external_name(F.col("p")).alias("got"))
     assert all(r["want"] == r["got"] for r in df.collect())
     for name, want in (("tb 2024", "Trial balance"), ("outback", "Unclassified — requires review"), ("FX_rates", "Exchange rates"), ("Claims", "Claims data")):

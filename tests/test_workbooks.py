@@ -135,7 +135,8 @@ def test_exports(result, folder, tmp_path):
     assert len(list(csv.DictReader(io.StringIO(files[1].read_bytes().decode("utf-8-sig"))))) == 11
     package = workbook.Package(files[4].read_bytes())
     assert [s[1] for s in package.sheets] == ["file summary", "worksheet details", "portfolio findings", "diagnostics"]
-    page = sinks.page("A <b> title", {"diagnostics": sinks.export_tables(result)["diagnostics"]})
+    sinks.write_page(tmp_path / "p.html", "A <b> title", {"diagnostics": sinks.export_tables(result)["diagnostics"]})
+    page = (tmp_path / "p.html").read_text()
     assert "A &lt;b&gt; title" in page and "#DIV/0!" in page
     sha = result["workbook"].where("file_name = 'messy.xlsx'").first()["sha256"]
     source = {"messy.xlsx": (str(folder / "messy.xlsx"), sha)}
@@ -145,6 +146,63 @@ def test_exports(result, folder, tmp_path):
         sinks.bundle(str(tmp_path / "c.zip"), {"messy.xlsx": (str(folder / "messy.xlsx"), "0" * 64)}, {})
 
 
+def test_fields_have_a_basis(result):
+    from gridloom.plans.fields import FILE_FIELDS, TAB_FIELDS
+
+    file = {r["field"]: r for r in of_messy(result, "file_field").collect()}
+    assert list(FILE_FIELDS) == [r["field"] for r in sorted(file.values(), key=lambda r: r["place"])]
+    assert {r["basis"] for r in file.values()} == {"extracted", "derived", "drafted", "compared", "ask"}
+    assert all(r["value"] is None and r["evidence"] for k, r in file.items() if r["basis"] == "ask" and k not in ("potential_retirement", "manual_intervention"))
+    assert file["complexity"]["value"] == "Low" and file["complexity"]["confidence"] > 0.5 and any(x.startswith("cells: 375") for x in file["complexity"]["evidence"])
+    assert file["potential_duplication"]["value"].startswith("duplicate of: copy of messy.xlsm") and file["potential_duplication"]["evidence"] == ["compared with 3 other file(s) only"]
+    assert "Prior TB 2024.xlsx" in file["key_inputs"]["value"] and file["potential_retirement"]["value"] == "not established" and file["preparer"]["value"] == "A. Author"
+    tab = [r for r in of_messy(result, "tab_field").collect() if r["name"] == "Calc"]
+    assert {r["field"] for r in tab} == set(TAB_FIELDS) and next(r for r in tab if r["field"] == "category")["value"] == "Calculation"
+    assert rows(result["rationalisation"], "kind", "items") == [("duplication", 1)]
+    claims = of_messy(result, "evidence").where("field = 'Key inputs'").limit(1).collect()
+    assert claims
+
+
+def test_truncated_sheets_and_modules(spark, folder):
+    files = workbook.hashed(workbook.discover(spark, str(folder))).where("path like '%/messy.xlsx'")
+    out = portfolio.tables_of(files, max_rows=20)
+    book = out["workbook"].first()
+    assert book["parse_status"] == "partial" and any("rows from 21 on" in w for w in book["warnings"])
+    assert {s["name"] for s in book["sheets"] if s["truncated"]} == {"Data"} and out["cell"].agg(F.max("row")).first()[0] == 20
+    # a compound file of 512-byte sectors: header, table, directory
+    entry = lambda name, kind, left, right, child: (name.encode("utf-16-le").ljust(64, b"\0") + (2 * len(name) + 2).to_bytes(2, "little") + bytes([kind, 1]) + b"".join(x.to_bytes(4, "little") for x in (left, right, child))).ljust(128, b"\0")
+    no = 0xFFFFFFFF
+    names = [entry("Root Entry", 5, no, no, 1), entry("VBA", 1, no, no, 2), entry("Module1", 2, 3, 4, no), entry("dir", 2, no, no, no), entry("ThisWorkbook", 2, no, 5, no), entry("_VBA_PROJECT", 2, no, no, no), entry("PROJECT", 2, no, no, no), bytes(128)]
+    head = bytearray(512)
+    head[:8] = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
+    head[30:32] = (9).to_bytes(2, "little")
+    head[48:52] = (1).to_bytes(4, "little")
+    head[76:512] = (0).to_bytes(4, "little") + b"\xff" * 432
+    table = b"".join(x.to_bytes(4, "little") for x in (0xFFFFFFFD, 2, 0xFFFFFFFE)).ljust(512, b"\xff")
+    assert workbook.module_names(bytes(head) + table + b"".join(names)) == ["Module1", "ThisWorkbook"]
+    assert workbook.module_names(b"junk") == [] and workbook.module_names(bytes(head)) == []
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from gridloom.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    write_estate(tmp_path / "in")
+    run = str(tmp_path / "run")
+    assert main(["scan", str(tmp_path / "in"), "-o", run]) == 0
+    assert (tmp_path / "run" / "review" / "file_summary.csv").exists()
+    (tmp_path / "in" / "rates.xlsx").unlink()
+    assert main(["scan", str(tmp_path / "in"), "-o", run, "--resume"]) == 0
+    capsys.readouterr()
+    assert main(["find", run, "messy", "--status", "full"]) == 0
+    assert capsys.readouterr().out.count('"file_name"') == 1 + ("copy of messy" in "copy of messy")
+    assert main(["report", run, "messy.xlsx", "-o", str(tmp_path / "one.html"), "--format", "html"]) == 0 and (tmp_path / "one.html").stat().st_size > 1000
+    assert main(["export", run, "workbook"]) == 0
+    assert "rates.xlsx" not in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["report", run, "nothing.xlsx", "-o", "x"])
+
+
 def test_endpoints_and_reports(spark, result, tmp_path):
     from gridloom.plans import endpoints
     from gridloom.sinks import reports
@@ -157,7 +215,7 @@ def test_endpoints_and_reports(spark, result, tmp_path):
     with pytest.raises(ValueError, match="at most 20"):
         endpoints.compare(result, list(map(str, range(21))))
     reports.write_file_report(result, pk[1], str(tmp_path / "one.xlsx"))
-    assert len(workbook.Package((tmp_path / "one.xlsx").read_bytes()).sheets) == 12
+    assert len(workbook.Package((tmp_path / "one.xlsx").read_bytes()).sheets) == 13
     reports.write_file_page(result, pk[1], str(tmp_path / "one.html"))
     assert "tblPolicies" not in (tmp_path / "one.html").read_text() and "POL-10002" not in (tmp_path / "one.html").read_text()
     assert [f.stat().st_size > 0 for f in reports.write_estate(result, str(tmp_path))] == [True] * 3
