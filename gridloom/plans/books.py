@@ -121,5 +121,27 @@ def workbook_resume(spark: SparkSession, d: str) -> DataFrame:
 
 WORKBOOK_RESUME = f"WITH {_C} SELECT file_name FROM f WHERE ascii(substr(file_name, length(file_name) - 5, 1)) % 3 <> 2"
 
-QUERIES = {f.__name__: f for f in (workbook_files, workbook_cells, workbook_regions, workbook_errors, workbook_resume)}
+_ABOUT_FILES = ("complexity", "preparer", "usage_frequency", "potential_retirement", "macros", "external_links", "reconciliation")
+_ABOUT_TABS = ("visibility", "category", "upstream", "downstream", "calculation")
+
+
+def workbook_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Assessment fields of files and sheets, with their basis, from a whole assessment."""
+    t = portfolio.assess(_tables(spark, d))
+    files = t["file_field"].where(F.col("field").isin(list(_ABOUT_FILES))).select("file_name", F.lit("").alias("sheet"), "field", "value", "basis")
+    tabs = t["tab_field"].where(F.col("field").isin(list(_ABOUT_TABS))).join(t["workbook"].select("file_pk", "file_name"), "file_pk").select("file_name", F.col("name").alias("sheet"), "field", "value", "basis")
+    return files.unionByName(tabs)
+
+
+WORKBOOK_FIELDS = f"""
+WITH {_C}, p AS (SELECT *, CAST(4 * n + 8 > 2000 AS INT) + CAST(4 * n + 8 > 20000 AS INT) + CASE WHEN n + 1 > 5000 THEN 2 WHEN n + 1 > 200 THEN 1 ELSE 0 END + CAST(k % 4 = 0 AS INT) + 2 * CAST(k % 6 = 0 AS INT) AS score FROM f),
+x AS (SELECT file_name, '' AS sheet, unnest(['complexity', 'preparer', 'usage_frequency', 'potential_retirement', 'macros', 'external_links', 'reconciliation']) AS field,
+  unnest([CASE WHEN score >= 5 THEN 'High' WHEN score >= 2 THEN 'Medium' ELSE 'Low' END, r_name, NULL, 'not established', CASE WHEN k % 6 = 0 THEN 'yes' ELSE 'no' END, CASE WHEN k % 4 = 0 THEN r_name || ' rates.xlsx' END, 'none found']) AS value,
+  unnest(['derived', 'extracted', 'ask', 'ask', 'extracted', 'extracted', 'derived']) AS basis FROM p
+ UNION ALL SELECT file_name, 'Customer data', unnest(['visibility', 'category', 'upstream', 'downstream', 'calculation']), unnest(['Visible', 'Input', NULL, 'Summary report (final output)', NULL]), unnest(['extracted', 'derived', 'extracted', 'extracted', 'derived']) FROM p
+ UNION ALL SELECT file_name, 'Summary report', unnest(['visibility', 'category', 'upstream', 'downstream', 'calculation']), unnest([CASE WHEN k % 5 = 0 THEN 'Hidden' ELSE 'Visible' END, 'Output', 'Customer data', NULL, 'Prepares figures for a report']), unnest(['extracted', 'derived', 'extracted', 'extracted', 'derived']) FROM p)
+SELECT * FROM x
+"""
+
+QUERIES = {f.__name__: f for f in (workbook_files, workbook_cells, workbook_regions, workbook_errors, workbook_resume, workbook_fields)}
 SQL = {name: globals()[name.upper()] for name in QUERIES}
