@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.storage import mark, release, spool
+from gridloom.storage import discard, spool
 
 
 def connected(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 60) -> DataFrame:
@@ -17,14 +17,14 @@ def connected(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 60
     pairs = spool(edges.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
     before = None
     for _ in range(rounds):
-        start = mark() - 1
+        former = pairs
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         moved = large.join(low, "v").select(F.col("m").alias("u"), F.col("u").alias("v")).where("u < v")
         pairs = spool(moved.unionByName(low.select(F.col("m").alias("u"), "v")).distinct())
-        release(edges.sparkSession, start, start + 1)
+        discard(former)
         state = pairs.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if state == before:
             break

@@ -34,7 +34,17 @@ def spool(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/gridloom-spool/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._gl_path = path
+    return out
+
+
+def discard(spooled: DataFrame) -> None:
+    """Delete what spool() wrote for this very frame; for when nothing reads it any more."""
+    path = getattr(spooled, "_gl_path", None)
+    if path in _written:
+        _written.remove(path)
+        delete(spooled.sparkSession, path)
 
 
 def mark() -> int:
