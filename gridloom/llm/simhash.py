@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import RESULT, SPACE_TABLE, annotate, name, raw_texts, sheltered, spool
+from gridloom.llm.common import RESULT, SPACE_TABLE, annotate, discard, name, raw_texts, sheltered, spool
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 TILE, TILE_ROWS = 512, 8192
@@ -207,7 +207,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     edges = spool(edges.select(F.greatest("u", "v").alias("v"), F.least("u", "v").alias("u")).distinct())
     before = None
     for _ in range(rounds):
-        edges = spool(_small_star(_large_star(edges)))
+        former, edges = edges, spool(_small_star(_large_star(edges)))
+        discard(former)
         # the links are stars when every member has one root and no root is a member
         state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if state == before:
