@@ -137,14 +137,14 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS)
     # unsigned parts of the signed number
     keys = F.array(*(F.struct(F.lit(k).cast("long").alias("part"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit(m)).alias("key")) for k, (s, m) in enumerate(parts(radius))))
     laid = distinct.select(F.col("fp").alias("id"), F.explode(keys).alias("k")).select("id", "k.part", "k.key")
-    about = distinct.select(F.col("fp").alias("id"), "fp", F.lit(None).cast("long").alias("size"))
-    return in_groups(laid, about, radius, tile_rows)
+    return in_groups(laid, None, radius, tile_rows)
 
 
-def in_groups(laid: DataFrame, about: DataFrame, radius: int, tile_rows: int = TILE_ROWS) -> DataFrame:
+def in_groups(laid: DataFrame, about: DataFrame | None, radius: int, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Links u < v that connect all fingerprints of a group within the radius; see linked() for sizes.
 
-    laid: id, part and key, one row for each group, told by part and key, that a fingerprint is in; about: id, fp and size.
+    laid: id, part and key, one row for each group, told by part and key, that a fingerprint is in; about: id, fp and size,
+    or None where the id is the fingerprint.
     A group of more than ``tile_rows`` is split into blocks, and each pair of blocks is compared by a task.
     """
     crowded = laid.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
@@ -153,7 +153,8 @@ def in_groups(laid: DataFrame, about: DataFrame, radius: int, tile_rows: int = T
     n_blocks = F.ceil(F.col("n") / (tile_rows // 2))
     met = met.withColumn("own", F.pmod(F.xxhash64("id"), n_blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
     pair = F.struct("part", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    rows = met.join(about, "id").select("id", "fp", F.xxhash64(pair).alias("task"), "own", (F.col("own") != F.col("other")).alias("across"), "key", "part", "size")
+    met = met.join(about, "id") if about is not None else met.select("*", F.col("id").alias("fp"), F.lit(None).cast("long").alias("size"))
+    rows = met.select("id", "fp", F.xxhash64(pair).alias("task"), "own", (F.col("own") != F.col("other")).alias("across"), "key", "part", "size")
     dealt = rows.repartition("task").sortWithinPartitions("task", "part", "key", "across", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
