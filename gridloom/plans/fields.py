@@ -129,7 +129,7 @@ def tab_fields(t: Tables) -> DataFrame:
         "mapping_tables": of.extracted(of.listed(F.col("mapping_tables")), "references in formulas"),
         "downstream": of.extracted(of.listed(F.col("down")), "references in formulas of other sheets"),
         "reconciliation": of.derived(of.listed(found), 0.5, ("headers of one region",)),
-        "validation": of.field(F.when(F.size("validation_reasons") > 0, F.concat(F.lit("yes: "), F.array_join("validation_reasons", "; "))).otherwise("no"), "derived", 0.7, F.col("manual_labels")),
+        "validation": of.field(F.when(F.size("validation_reasons") > 0, F.concat(F.lit("yes: "), F.array_join("validation_reasons", "; "))).otherwise("no"), "derived", 0.7, F.concat(rules.questions(F.col("validation_reasons")), F.transform("manual_labels", lambda x: F.concat(F.lit("label: "), x)))),
     }
     wide = s.select("file_pk", "position", "name", "place", *(made[k].alias(f"x_{k}") for k in TAB_FIELDS))
     wide = wide.select("file_pk", "position", "name", F.col("place").alias("shown_at"), *(F.col(f"x_{k}").alias(k) for k in TAB_FIELDS))
