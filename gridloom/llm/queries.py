@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontaminate, langid, licenses, mixing, pii, quality, secrets, simhash, tokens, url_filter
+from gridloom.llm import decontaminate, filter_audit, langid, lexical, licenses, mixing, pii, quality, secrets, simhash, token_files, tokens, url_filter
 from gridloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,4 +26,7 @@ def queries() -> dict[str, Query]:
         "op8_mixing": lambda spark, d: mixing.report(docs(spark, d)),
         "op9_language": lambda spark, d: langid.report(docs(spark, d)),
         "op10_simhash": lambda spark, d: simhash.report(docs(spark, d)),
+        "op11_token_files": lambda spark, d: token_files.report(docs(spark, d)),
+        "op12_filter_audit": lambda spark, d: filter_audit.report(docs(spark, d), table(spark, d, "labels")),
+        "op13_lexical_search": lambda spark, d: lexical.report(docs(spark, d), table(spark, d, "benchmark")),
     }

@@ -1,8 +1,8 @@
 """DuckDB SQL for the queries that SQL can express.
 
 The others are tested against brute-force versions: op3, op4, op5 add what their
-methods find, op6 counts with a library, op7 judges by iterated estimates, op9 by a
-fitted model.
+methods find, op6 and op11 encode with a library, op7 judges by iterated estimates, op9
+by a fitted model.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from gridloom.llm import mixing, url_filter
 
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -94,6 +95,66 @@ SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target, CAST((floor(
 """
 
 
+OP12 = rf"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents
+), f AS (
+  SELECT doc_id, part,
+         CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT)
+         + 4 * CAST(100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * len(text) AS INT) + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT)
+         + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS INT) AS fails
+  FROM t
+), l AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), d AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails
+), s AS (
+  -- what is left after the filters of each set
+  SELECT part, CAST(x AS INT) AS x, coalesce(sum(n) FILTER ((fails & x) = 0), 0) AS n, coalesce(sum(good) FILTER ((fails & x) = 0), 0) AS good, coalesce(sum(toxic) FILTER ((fails & x) = 0), 0) AS toxic
+  FROM d, range(32) AS r(x) GROUP BY part, x
+), o AS (
+  SELECT concat(a.c, b.c, c.c, d.c, e.c) AS filter_order, [a.c, b.c, c.c, d.c, e.c] AS cs
+  FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) a(c), (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) b(c), (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) c(c),
+       (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) d(c), (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) e(c)
+  WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5
+), steps AS (
+  SELECT filter_order, CAST(k AS INT) AS step, cs[k] AS filter, CAST(1 << (ascii(cs[k]) - 65) AS INT) AS bit,
+         CAST((SELECT coalesce(sum(1 << (ascii(cs[j]) - 65)), 0) FROM range(1, 6) AS q(j) WHERE j < k) AS INT) AS x FROM o, range(1, 6) AS r(k)
+), g AS (
+  SELECT part, filter_order, step, filter, bit, a.n AS kept, b.n - a.n AS removed, b.good - a.good AS good_lost, b.toxic - a.toxic AS toxic_lost
+  FROM steps JOIN s b USING (x) JOIN s a USING (part) WHERE a.x = steps.x + bit
+), e AS (
+  SELECT part, filter, CAST(sum(removed) AS BIGINT) AS shapley FROM g GROUP BY part, filter
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST((SELECT coalesce(sum(n), 0) FROM d WHERE d.part = g.part AND d.fails & g.bit <> 0) - removed AS BIGINT) AS redundant,
+       CAST((SELECT coalesce(sum(n), 0) FROM d WHERE d.part = g.part AND d.fails = g.bit) AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, shapley
+FROM g JOIN e USING (part, filter)
+"""
+
+OP13 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, '{_TERMS}') AS w FROM documents
+), c AS (
+  SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0
+), tf AS (
+  SELECT rid, doc_id, CAST(n AS BIGINT) AS n, term, count(*) AS tf FROM (SELECT rid, doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL
+), df AS (
+  SELECT term, CAST(floor(1000 * ln((2 * CAST(docs AS DOUBLE) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, c GROUP BY term, docs
+), items AS (
+  SELECT row_number() OVER () AS irow, item_id, list_distinct(regexp_extract_all({_lower("coalesce(text, '')")}, '{_TERMS}')) AS w FROM benchmark
+), asked AS (SELECT irow, item_id, unnest(w) AS term FROM items),
+scored AS (
+  SELECT irow, item_id, rid, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM asked JOIN tf USING (term) JOIN df USING (term), c GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY irow ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(place AS INT) AS rank, doc_id, score FROM ranked WHERE place <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL by query; those that SQL can't express are left out."""
-    return {"op1_decontamination": OP1, "op2_url_filter": _op2(), "op8_mixing": OP8}
+    return {"op1_decontamination": OP1, "op2_url_filter": _op2(), "op8_mixing": OP8, "op12_filter_audit": OP12, "op13_lexical_search": OP13}
