@@ -3,8 +3,9 @@
 A text becomes its lower-cased words joined by single spaces.  Every rule has a
 keyword; only rules whose keyword the text holds run their regular expression.
 Detections are ordered by the rules' priority, then by length; one whose interval
-lies inside an accepted interval is suppressed.  Base phrases come first in
-priority, so nothing suppresses them.
+lies inside an accepted interval is suppressed, and so is one of a family that shares
+words with a detection of a member (``gpl`` beside ``gpl-3``, ``cc-by`` beside
+``cc-by-nc``).  Base phrases come first in priority, so nothing suppresses them.
 
 The rules are signatures written by hand, from the most to the least specific: identifier
 tags and addresses, sentences of licences and grants, titles with a version, titles
@@ -22,6 +23,7 @@ whatever their names, are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right, insort
 from functools import cache
 from typing import NamedTuple
 
@@ -206,6 +208,13 @@ mpl-1.1; mpl; mpl (?:v |version )?(?:1 1|v1 1); 0.75
 mpl-2; mpl; mpl (?:v |version )?(?:2 0|v2 0); 0.75
 epl-1; epl; epl (?:v |version )?(?:1 0|v1 0); 0.75
 epl-2; epl; epl (?:v |version )?(?:2 0|v2 0); 0.75
+apache-2; apache 2 0; apache 2 0; 0.75
+apache-2; apache v2|apache2; (?:apache v2(?: 0)?|apache2(?: 0)?) licen[cs]e; 0.75
+eupl-1.1; eupl; eupl (?:v |version )?(?:1 1|v1 1); 0.75
+eupl-1.2; eupl; eupl (?:v |version )?(?:1 2|v1 2); 0.75
+cddl-1; cddl; cddl (?:v |version )?(?:1 0|v1 0); 0.75
+cddl-1.1; cddl; cddl (?:v |version )?(?:1 1|v1 1); 0.75
+cc0-1; creative commons zero; creative commons zero(?: (?:v1 0|1 0))?(?: universal)?(?: licen[cs]e)?; 0.85
 cc-by; cc by; cc by [1-4] [05]; 0.8
 cc-by-sa; cc by sa; cc by sa [1-4] [05]; 0.8
 cc-by-nd; cc by nd; cc by nd [1-4] [05]; 0.8
@@ -252,6 +261,7 @@ cddl; cddl; (?:the )?cddl(?: license)?; 0.65
 cpl; common public license; common public license; 0.7
 isc; isc; (?:the )?isc licen[cs]e; 0.8
 isc; isc; licen[cs]e (?:is |type |name )?isc; 0.7
+isc; isc; (?:under (?:the )?|spdx )isc; 0.65
 zlib; zlib; (?:the )?zlib(?: libpng)? licen[cs]e; 0.8
 boost; boost software; boost software licen[cs]e; 0.75
 busl; business source; business source licen[cs]e; 0.75
@@ -345,15 +355,33 @@ class Scanner:
             if i not in self.compiled:
                 self.compiled[i] = re.compile(rb"(?<= )(?:" + self.rules[i].regex.encode() + rb")(?= )")
             found += [(i, m.start(), m.end()) for m in self.compiled[i].finditer(norm)]
-        return suppressed(found, self.rules)
+        return specific(suppressed(found, self.rules), self.rules)
+
+
+def specific(found: list[tuple[int, int, int]], of: tuple[Rule, ...]) -> list[tuple[int, int, int]]:
+    """Without the detections of a family (``cc-by``) that share a word with one of its members (``cc-by-nc``), base phrases excepted."""
+    ends: dict[str, tuple[list[int], list[int]]] = {}
+    for i, a, b in sorted(found, key=lambda x: x[1]):
+        label = of[i].label
+        for k in range(len(label)):
+            if label[k] == "-":
+                starts, last = ends.setdefault(label[:k], ([], []))
+                starts.append(a)
+                last.append(max(b, last[-1] if last else b))
+    out = []
+    for i, a, b in found:
+        starts, last = ends.get(of[i].label, ((), ()))
+        # of the members that begin before its end, the furthest end
+        k = bisect_left(starts, b)
+        if not of[i].priority or not k or last[k - 1] <= a:
+            out.append((i, a, b))
+    return out
 
 
 def suppressed(found: list[tuple[int, int, int]], of: tuple[Rule, ...]) -> list[tuple[int, int, int]]:
     """Without the detections that lie inside one of higher priority, or of the same and longer."""
     kept: list[tuple[int, int, int]] = []
     widest: list[tuple[int, int]] = []  # accepted intervals that lie in no other, in order
-    from bisect import bisect_right, insort
-
     for i, a, b in sorted(found, key=lambda x: (of[x[0]].priority, x[1] - x[2], x[1], x[0])):
         at = bisect_right(widest, (a, float("inf"))) - 1
         # ends rise with starts in widest, so only the last that starts at or before a can hold it
