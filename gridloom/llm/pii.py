@@ -17,7 +17,8 @@ Texts are read once; what is scored are hashes of tokens.  Counts per pattern an
 per instance are partial sums first, so frequent ones meet as a few rows a task.
 The rounds are actions that run while the result is built.
 
-Defined results: a null or empty text has no spans; very long texts are read whole; an
+Defined results: a null or empty text has no spans; very long texts are read whole, in linear
+time whatever they hold, words without an end too; an
 added span never overlaps a base span; of kinds with equal confidence the later one is
 taken; equal identifiers and repeated rows count as one instance in the scores and are
 reported one by one; an empty table gives no rows; further columns, whatever their names, are
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from itertools import accumulate
 
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -38,6 +40,10 @@ from gridloom.llm.common import RESULT, annotate, spool, texts
 #: The kinds in the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, LEAST = 100, 0.5
+#: Characters of a word up to which a pattern has it as it is, and from where on a number that stands for it.
+LONG = 256
+_STEP, _PRIME = 1_000_003, (1 << 61) - 1
+_ONE_DIGIT = {ord(c): "0" for c in "123456789"}
 #: The normal quantile of Wilson's bound at 95 %.
 _Z = 1.96
 
@@ -46,9 +52,12 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TOKEN = re.compile(r"[^\s]*[0-9@][^\s]*")
-_OBFUSCATED = re.compile(r"[A-Za-z0-9._+-]+ ?[\[({](?:at|AT)[\])}] ?[A-Za-z0-9-]+(?:(?:\.| ?[\[({](?:dot|DOT)[\])}] ?)[A-Za-z0-9-]+)+")
-_NUMBERS = re.compile(r"\(?[0-9]+(?:[ ().-]{1,2}[0-9]+)+")
+_MARKED = re.compile(r"[0-9@]")
+# an address spelled out is looked for from its at sign, which has a local part before it and a domain after it
+_AT = re.compile(r"[\[({](?:at|AT)[\])}]")
+_SPELLED = re.compile(r" ?[A-Za-z0-9-]+(?:(?:\.| ?[\[({](?:dot|DOT)[\])}] ?)[A-Za-z0-9-]+)+")
+_BEFORE_AT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._+-")
+_NUMBERS = re.compile(r"\(?(?<![0-9])[0-9]++(?:[ ().-]{1,2}[0-9]++)+")
 _EDGE = "\"'()[]{}<>.,;:!?*|"
 _DIGITS = re.compile(r"[0-9]+")
 _SPACED = re.compile(r"\S+")
@@ -96,11 +105,29 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+def spelled(text: str) -> list[tuple[int, int]]:
+    """Leftmost addresses with their at sign in brackets, in linear time: from each one back over its local part."""
+    out, free, m = [], 0, _AT.search(text)
+    while m:
+        stop = m.start() - (m.start() > free and text[m.start() - 1] == " ")
+        begin = stop
+        while begin > free and text[begin - 1] in _BEFORE_AT:
+            begin -= 1
+        after = _SPELLED.match(text, m.end()) if begin < stop else None
+        if after:
+            out.append((begin, after.end()))
+            free = after.end()
+        m = _AT.search(text, after.end() if after else m.end())
+    return out
+
+
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
     """Further stretches that look like identifiers and overlap no base span."""
     found = [m.span() for m in _NUMBERS.finditer(text) if 7 <= sum(c.isdigit() for c in m.group()) <= 19]
-    for m in _TOKEN.finditer(text):
+    for m in _SPACED.finditer(text) if _MARKED.search(text) else ():
         a, b = m.span()
+        if not _MARKED.search(text, a, b):
+            continue
         while a < b and text[a] in _EDGE:
             a += 1
         while b > a and text[b - 1] in _EDGE:
@@ -108,7 +135,7 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int,
         if "@" in text[a:b] or sum(c.isdigit() for c in text[a:b]) >= 4:
             found.append((a, b))
     if "[" in text or "(" in text or "{" in text:
-        found += [m.span() for m in _OBFUSCATED.finditer(text)]
+        found += spelled(text)
     out, k = [], 0
     spans = sorted((a, b) for _, a, b in taken)
     end = -1
@@ -128,23 +155,38 @@ class Words:
         self.text = text
         self.at = [m.span() for m in _SPACED.finditer(text)]
         self.starts = [a for a, _ in self.at]
+        self.sums: dict[int, list[int]] = {}
+
+    def shown(self, a: int, b: int, word: int) -> str:
+        """What a pattern has for a to b, part of a word: lower-cased, digits masked.
+
+        Of a stretch of more than ``LONG`` characters a pattern has the length and a number that stands for it, from sums
+        that are made once a word: however many spans one word holds, the work stays linear.
+        """
+        if b - a <= LONG:
+            return _DIGITS.sub("0", self.text[a:b].lower())
+        first, last = self.at[word]
+        if word not in self.sums:
+            plain = self.text[first:last].translate(_ONE_DIGIT)
+            self.sums[word] = list(accumulate(map(ord, plain), lambda h, c: (h * _STEP + c) % _PRIME, initial=0))
+        sums = self.sums[word]
+        return f"{b - a} {(sums[b - first] - sums[a - first] * pow(_STEP, b - a, _PRIME)) % _PRIME}"
 
     def before(self, end: int, k: int) -> list[str]:
         """The last k words before a place, the last one as far as it goes."""
         i = bisect_left(self.starts, end)
-        return [self.text[a : min(b, end)] for a, b in self.at[max(0, i - k) : i]]
+        return [self.shown(self.at[j][0], min(self.at[j][1], end), j) for j in range(max(0, i - k), i)]
 
     def after(self, start: int, k: int) -> list[str]:
         """The first k words from a place on, the first one from there."""
         i = bisect_left(self.starts, start)
         if i and self.at[i - 1][1] > start:
             i -= 1
-        return [self.text[max(a, start) : b] for a, b in self.at[i : i + k]]
+        return [self.shown(max(self.at[j][0], start), self.at[j][1], j) for j in range(i, min(i + k, len(self.at)))]
 
     def patterns(self, a: int, b: int) -> list[str]:
         """The lexical patterns around a span: words lower-cased, digits masked; a side without words gives none."""
-        mask = lambda words: [_DIGITS.sub("0", x.lower()) for x in words]
-        left, right = mask(self.before(a, 2)), mask(self.after(b, 2))
+        left, right = self.before(a, 2), self.after(b, 2)
         out = []
         if left:
             out.append("L " + " ".join(left))
@@ -166,7 +208,7 @@ def _start():
     def work(column):
         out: dict[str, list] = {"base": [], "tokens": []}
         for x in texts(column):
-            if not _TOKEN.search(x) and "[" not in x and "(" not in x and "{" not in x:
+            if not _MARKED.search(x) and "[" not in x and "(" not in x and "{" not in x:
                 out["base"].append([])
                 out["tokens"].append([])
                 continue
