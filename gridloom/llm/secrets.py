@@ -13,14 +13,18 @@ A base64 segment is a run of its letters, or a block of runs over consecutive li
 at all four offsets, since it may be glued to a path or a name, and compressed bytes
 are looked for after every character that a path or name can end with.  Decoded bytes
 are read whatever else they hold, and once more without zero bytes (UTF-16, UTF-32).
-A block needs one line of 16 letters or more.
+A block has 16 letters or more, in lines of any length.
+
+Bytes may also be written as escapes, ``%1F%8B..`` or ``\\x1f\\x8b..`` with what needs none between them: where
+such a run holds the first bytes of a compression, it is read as bytes from there.
 
 Compressed bytes are inflated as a stream, all members of it and compression inside
 compression too, and read in windows of ``WINDOW`` bytes that overlap by ``OVERLAP``, one
 at a time: memory does not grow with what a segment inflates to, and nothing of it is left
 out.  Only a single match or segment longer than the overlap, in a layer longer than a
-window, may be seen in parts.  An escape of an escape, however deep, is resolved in one step
-(``%252525..41``), so the work stays linear in the text.
+window, may be seen in parts.  Escapes of either form are decoded one level for a layer of its own; where what comes
+out holds escapes again, of whatever forms and however deep, all of them are resolved in one pass from left to
+right for one more layer, so the work stays linear in the text.
 
 Defined results: a null or empty text has no spans; an added span equal to, or
 within, a base span of its kind is left out; very long texts are scanned whole; equal finds
@@ -69,9 +73,32 @@ _UNICODE = re.compile(
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 # a whole run, then more runs on the lines that follow; possessive, so that long runs are read once
 _BLOCK = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t>#*]*+[A-Za-z0-9+/_-]++)++={0,2}")
+# what every block of lines under 16 letters holds
+_LINES = re.compile(rb"[A-Za-z0-9+/_-][ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t>#*]*+[A-Za-z0-9+/_-]")
 _RUN = re.compile(r"(?:(?<=\\n)|(?<![A-Za-z0-9+/_\\-]))[A-Za-z0-9+/_-]+")
 _GLUE = re.compile(r"[+/_-]")
 _MAGIC = (b"\x1f\x8b", *(bytes([0x78, x]) for x in range(256) if (0x7800 | x) % 31 == 0), b"BZh", b"\xfd7zXZ\x00", b"\x28\xb5\x2f\xfd")
+#: An escape at the end of what is written, in any form; the longest has _MOST characters, and all end in one of _LAST.
+_ESCAPE_AT_END = re.compile(r"(?:%([0-9A-Fa-f]{2})|\\(?:u\{([0-9A-Fa-f]{1,6})\}|u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))|&(?:#x([0-9A-Fa-f]{1,6});|#([0-9]{1,7});))\Z")
+_ESCAPE_BEGIN = re.compile(r"[%\\&]")
+_MOST, _LAST = 10, frozenset("0123456789abcdefABCDEF};")
+
+
+def _spelled(head: tuple[tuple[int, ...], ...], escape: str, plain: str) -> str:
+    """An expression for bytes (each one of some) as escapes, or as themselves where they may be."""
+    of = lambda x: "|".join([escape.replace("HH", "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in f"{x:02x}")), *([re.escape(chr(x))] if re.fullmatch(plain, chr(x)) else [])])
+    return "".join(f"(?:{'|'.join(map(of, byte))})" for byte in head)
+
+
+#: First bytes of what may be inflated.
+_HEADS = (((0x1F,), (0x8B,)), ((0x78,), (0x01, 0x5E, 0x9C, 0xDA)), tuple((x,) for x in b"BZh"), tuple((x,) for x in b"\xfd7zXZ"), tuple((x,) for x in b"\x28\xb5\x2f\xfd"))
+#: Two ways to write bytes: percent escapes, and escapes of program texts; the plain characters of each.
+_FORMS = (("%(?:25)*HH", r"[!-$&-~]", r"%(?:25)*+([0-9A-Fa-f]{2})|()(?!)"), (r"\\(?:x|u00)HH", r"[ -\[\]-~]", r"\\(?:(?:x|u00)([0-9A-Fa-f]{2})|([^xu]))"))
+#: Each with an expression for the first bytes, for a whole stretch, for one escape, and for one byte.
+_SPELLED_BYTES = tuple(
+    (re.compile("|".join(_spelled(h, escape, plain) for h in _HEADS)), re.compile(f"(?s:{token}|{plain})*+"), re.compile(f"(?s:{token})"), re.compile(f"(?s:{token}|{plain})")) for escape, plain, token in _FORMS
+)
+_SHORT = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f", "v": "\v", "a": "\a", "0": "\0"}
 _ESCAPED_BYTES = re.compile(rb"%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]|&#")
 _ESCAPED = re.compile(r"%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]|&#")
 
@@ -138,6 +165,93 @@ def unescaped(layer: Layer, form: str) -> Layer | None:
     return Layer("".join(out), None, None, layer.whole, chain) if layer.whole else Layer("".join(out), starts, ends, None, chain)
 
 
+def resolved(layer: Layer) -> Layer:
+    """The layer with all escapes of both forms decoded until none is left, in one pass.
+
+    What is written so far is looked at from its end: as soon as it ends in an escape, that becomes the character that it
+    stands for, which may end another.  A character is written once and every escape takes some away, so the work is linear.
+    """
+    text, out, at = layer.text, [], 0
+    starts: list[int] = []
+    ends: list[int] = []
+
+    def add(unit: str | int, s: int, e: int) -> None:
+        out.append(unit)
+        starts.append(s)
+        ends.append(e)
+
+    def reduce() -> None:
+        while out and isinstance(out[-1], str) and out[-1] in _LAST:
+            tail = "".join(x if isinstance(x, str) else "\0" for x in out[-_MOST:])
+            if not (m := _ESCAPE_AT_END.search(tail)):
+                return
+            code = int(m[7]) if m[7] else int(next(x for x in m.groups() if x), 16)
+            if code > 0x10FFFF or 0xD800 <= code <= 0xDFFF:
+                return
+            k = len(out) - (m.end() - m.start())
+            s, e = starts[k], ends[-1]
+            del out[k:], starts[k:], ends[k:]
+            # a byte of UTF-8 stays one until its neighbours are known
+            add(code if m[1] and code >= 0x80 else chr(code), s, e)
+
+    while at < len(text):
+        m = _ESCAPE_BEGIN.search(text, at)
+        stop = m.start() if m else len(text)
+        # characters that may still complete an escape come one by one, the rest of a stretch at once
+        while at < stop and any(x in "%\\&" for x in out[-_MOST:] if isinstance(x, str)):
+            add(text[at], *layer.span(at, at + 1))
+            reduce()
+            at += 1
+        for i in range(at, stop):
+            add(text[i], *layer.span(i, i + 1))
+        if m:
+            add(text[stop], *layer.span(stop, stop + 1))
+            reduce()
+        at = stop + 1
+    pieces, first, last, i = [], [], [], 0
+    while i < len(out):
+        j = i + 1
+        if isinstance(out[i], int):
+            while j < len(out) and isinstance(out[j], int):
+                j += 1
+            raw = bytes(out[i:j])
+            piece = raw.decode("utf-8", "replace") if len(raw) > 1 else raw.decode("latin-1")
+            first += [starts[i]] * len(piece)
+            last += [ends[j - 1]] * len(piece)
+        else:
+            piece = out[i]
+            first.append(starts[i])
+            last.append(ends[i])
+        pieces.append(piece)
+        i = j
+    chain = f"{layer.chain}>escapes"
+    return Layer("".join(pieces), None, None, layer.whole, chain) if layer.whole else Layer("".join(pieces), first, last, None, chain)
+
+
+def escaped_bytes(text: str) -> Iterator[tuple[int, int, bytes]]:
+    """Stretches that spell the beginning of compressed bytes by escapes: start, end, and the bytes from there to the stretch's end."""
+    for magic, run, token, unit in _SPELLED_BYTES:
+        done = 0
+        for m in magic.finditer(text):
+            if m.start() < done:
+                continue
+            # a few bytes tell most stretches that only look so; the others are read to their end
+            head = _plain_bytes(text[m.start() : run.match(text, m.start(), m.start() + 600).end()], token)
+            kind = compression(head)
+            if not kind or kind in ("zlib", "zstd") and next(inflated(kind, iter((head,)), 64), None) is None:
+                continue
+            raw = _plain_bytes(text[m.start() : run.match(text, m.start()).end()], token)
+            # what follows the compressed bytes is text again
+            raw = raw[: spent(kind, raw)]
+            done = next(itertools.islice(unit.finditer(text, m.start()), len(raw) - 1, None)).end()
+            yield m.start(), done, raw
+
+
+def _plain_bytes(run: str, token: re.Pattern) -> bytes:
+    """The bytes of a run of escapes and plain characters."""
+    return token.sub(lambda m: chr(int(m[1], 16)) if m[1] else _SHORT.get(m[2], m[2]), run).encode("latin-1", "replace")
+
+
 def compression(head: bytes) -> str:
     """The name of the compression that bytes begin like, or nothing."""
     if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" and len(head) > 1 and (head[0] << 8 | head[1]) % 31 == 0:
@@ -145,18 +259,32 @@ def compression(head: bytes) -> str:
     return "bzip2" if head[:3] == b"BZh" else "xz" if head[:6] == b"\xfd7zXZ\x00" else "zstd" if head[:4] == b"\x28\xb5\x2f\xfd" else ""
 
 
-def inflated(kind: str, source: Iterator[bytes], step: int) -> Iterator[bytes]:
-    """What compressed bytes hold, all members one after the other, in pieces of up to ``step`` bytes; ends where they are broken."""
+def spent(kind: str, raw: bytes) -> int:
+    """How many of the bytes belong to the compressed members that they begin with; all, where the last one is broken."""
+    left: list[int] = []
+    for _ in inflated(kind, iter((raw,)), 1 << 20, left):
+        pass
+    return len(raw) - sum(left)
+
+
+def inflated(kind: str, source: Iterator[bytes], step: int, left: list[int] | None = None) -> Iterator[bytes]:
+    """What compressed bytes hold, all members one after the other, in pieces of up to ``step`` bytes; ends where they are broken.
+
+    ``left`` gets the number of bytes that were read and follow the last member, if any do.
+    """
     member, data = None, b""
     try:
         while True:
             if not data and not (data := next(source, b"")):
                 return
             if member is None:
-                if compression(data + (b"" if len(data) > 6 else (more := next(source, b"")))) != kind:
-                    return  # what follows the last member
-                data += b"" if len(data) > 6 else more
-                member = {"zlib": lambda: zlib.decompressobj(zlib.MAX_WBITS | 32), "bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor, "zstd": lambda: zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj()}[kind]()
+                data += b"" if len(data) > 6 else next(source, b"")
+                if compression(data) != kind:
+                    # what follows the last member
+                    if left is not None:
+                        left.append(len(data))
+                    return
+                member = {"zlib": lambda: zlib.decompressobj(zlib.MAX_WBITS | 32), "bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor, "zstd": lambda: zstandard.ZstdDecompressor(max_window_size=1 << 31).decompressobj()}[kind]()
             if kind == "zlib":
                 out = member.decompress(data, step)
                 data = member.unused_data if member.eof else member.unconsumed_tail
@@ -198,7 +326,7 @@ def readings(raw: bytes) -> list[str]:
     out = []
     for x in (raw, raw.replace(b"\0", b"")) if b"\0" in raw else (raw,):
         low = x.translate(_LOWER)
-        if any(w in low for w in _WORDS) or b"AKIA" in x or b"h" * 24 in x.translate(_HEX_TABLE) or b"b" * 16 in x.translate(_B64_TABLE) or _ESCAPED_BYTES.search(x):
+        if any(w in low for w in _WORDS) or b"AKIA" in x or b"h" * 24 in x.translate(_HEX_TABLE) or b"b" * 16 in x.translate(_B64_TABLE) or _ESCAPED_BYTES.search(x) or _LINES.search(x):
             out.append(x.decode("utf-8", "replace"))
     return out
 
@@ -256,7 +384,7 @@ def segments(text: str) -> list[tuple[int, int, str]]:
             ranges |= {(i, j), (i, j + 1)} if j < len(runs) and len(runs[j][2]) < len(runs[i][2]) else {(i, j)}
             i = j
         for i, j in sorted(ranges):
-            if j - i > 1 and max(len(x[2]) for x in runs[i:j]) >= 16:
+            if j - i > 1 and sum(len(x[2]) for x in runs[i:j]) >= 16:
                 out.append((runs[i][0], runs[j - 1][1], "".join(x[2] for x in runs[i:j])))
     return out
 
@@ -265,7 +393,7 @@ def scan_text(text: str, size: int = WINDOW, overlap: int = OVERLAP) -> tuple[li
     """Base spans, and spans of secrets in deeper layers with the decodings that led to them."""
     base = base_spans(text)
     raw = text.encode("utf-8", "surrogatepass")
-    if b"b" * 16 not in raw.translate(_B64_TABLE) and not _ESCAPED.search(text):
+    if b"b" * 16 not in raw.translate(_B64_TABLE) and not _ESCAPED.search(text) and not segments(text):
         return base, []
     added: dict[tuple[str, int, int], str] = {}
     # the worklist holds what a layer's segments decode to, made one layer at a time; the last one's go first
@@ -289,9 +417,18 @@ def scan_text(text: str, size: int = WINDOW, overlap: int = OVERLAP) -> tuple[li
 
 def fresh_layers(layer: Layer, size: int, overlap: int) -> Iterator[Layer]:
     """The layers that one step of decoding makes of a layer."""
-    for form in ("url", "unicode"):
-        if x := unescaped(layer, form):
-            yield x
+    if not layer.chain.endswith((">url", ">unicode", ">escapes")):
+        deeper = False
+        for form in ("url", "unicode"):
+            if x := unescaped(layer, form):
+                deeper = deeper or bool(_ESCAPED.search(x.text))
+                yield x
+        if deeper:
+            yield resolved(layer)
+    for a, b, raw in escaped_bytes(layer.text) if _ESCAPED.search(layer.text) else ():
+        whole = layer.span(a, b)
+        for text, chain in unwrapped(raw, size, overlap):
+            yield Layer(text, whole=whole, chain=f"{layer.chain}>bytes{chain}")
     for a, b, run in segments(layer.text):
         whole = layer.span(a, b)
         for text, chain in decoded(run, size, overlap):
