@@ -5,7 +5,7 @@ import io
 import zipfile
 
 import pytest
-from books import HEADERS, TRUTH, write_estate
+from books import HEADERS, STOCK, TRUTH, counted, depot_sheets, write_estate
 from gridloom.plans import portfolio
 from gridloom.sinks import portfolio as sinks
 from gridloom.sources import triage, workbook
@@ -33,13 +33,13 @@ def rows(df, *columns):
     return [tuple(r[c] for c in columns) for r in df.collect()]
 
 
-def of_messy(t, name):
-    pk = t["workbook"].where("file_name = 'messy.xlsx'").first()["file_pk"]
+def of_depot(t, name):
+    pk = t["workbook"].where("file_name = 'depot.xlsx'").first()["file_pk"]
     return t[name].where(F.col("file_pk") == pk)
 
 
 def test_discovery_and_triage(tables):
-    assert sorted(rows(tables["workbook"], "file_name", "parse_status", "error_category")) == [("broken.xlsx", "failed", "not_ooxml"), ("copy of messy.xlsm", "full", None), ("messy.xlsx", "full", None), ("rates.xlsx", "full", None)]
+    assert sorted(rows(tables["workbook"], "file_name", "parse_status", "error_category")) == [("broken.xlsx", "failed", "not_ooxml"), ("copy of depot.xlsm", "full", None), ("depot.xlsx", "full", None), ("rates.xlsx", "full", None)]
 
 
 @pytest.mark.parametrize(("content", "category"), [(b"", "empty"), (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + b"x" * 9, "legacy_ole"), (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + "EncryptedPackage".encode("utf-16-le"), "encrypted"), (b"PK\x03\x04zz", "corrupt"), (b"text", "not_ooxml")])
@@ -59,44 +59,44 @@ def test_package_without_workbook():
 
 
 def test_cells_and_types(tables):
-    cell = of_messy(tables, "cell")
-    assert cell.where("formula is not null").count() == 105
-    c5 = cell.where("sheet = 'Calc' and row = 5 and col = 3").first()
-    assert (c5["formula"], c5["value"], c5["is_number"]) == ("=B5*Assumptions!$B$6", "45000.5", True)
+    cell = of_depot(tables, "cell")
+    assert (cell.count(), cell.where("formula is not null").count()) == counted(depot_sheets())
+    d6 = cell.where("sheet = 'Plan calc' and row = 6 and col = 4").first()
+    assert (d6["formula"], d6["value"], d6["is_number"]) == ("=C6*(1-Settings!$C$6)", "886.5", True)
     bad = cell.where("is_error").collect()
-    assert [(r["sheet"], r["row"], r["col"], r["text"]) for r in bad] == [("Calc", 10, 9, "#DIV/0!")]
-    assert of_messy(tables, "formula").where("sheet = 'Calc' and row = 5 and col = 3").first()["skeleton"] == "RC[-1]*SHEET!R6C2"
-    head = cell.where("sheet = 'Data' and row = 1 and col = 1").first()
+    assert [(r["sheet"], r["row"], r["col"], r["text"]) for r in bad] == [("Plan calc", 9, 11, "#DIV/0!")]
+    assert of_depot(tables, "formula").where("sheet = 'Plan calc' and row = 6 and col = 4").first()["skeleton"] == "RC[-1]*(N-SHEET!R6C3)"
+    head = cell.where("sheet = 'Stock data' and row = 3 and col = 1").first()
     assert head["bold"] and head["filled"] and head["is_text"]
 
 
 def test_regions_against_truth(tables):
-    names = of_messy(tables, "sheet").select("file_pk", "position", "name")
-    found = {(r["name"], r["ref"]): r for r in of_messy(tables, "region").join(names, ["file_pk", "position"]).collect()}
+    names = of_depot(tables, "sheet").select("file_pk", "position", "name")
+    found = {(r["name"], r["ref"]): r for r in of_depot(tables, "region").join(names, ["file_pk", "position"]).collect()}
     assert set(found) == set(TRUTH)
     wrong = [k for k in TRUTH if found[k]["kind"] != TRUTH[k]]
     assert len(wrong) <= 2 and all(found[k]["detect_confidence"] < 0.70 for k in wrong), wrong
     for k, heads in HEADERS.items():
         assert found[k]["headers"] == heads
-    assert found["Calc", "A3:G13"]["totals_row"] == 13
-    columns = {c["col"]: c["inferred_type"] for c in found["Data", "A1:E41"]["columns"]}
-    assert columns == {1: "text", 2: "text", 3: "number", 4: "number", 5: "text"}
+    assert found["Plan calc", "B4:H15"]["totals_row"] == 15
+    columns = {c["col"]: c["inferred_type"] for c in found["Stock data", "A3:E27"]["columns"]}
+    assert columns == {1: "text", 2: "text", 3: "number", 4: "number", 5: "number"}
 
 
 def test_error_and_hidden_groups(result):
-    group = of_messy(result, "error_group").collect()
-    assert [(g["error"], g["region"], g["count"], g["sample_cells"], g["area_type"]) for g in group] == [("#DIV/0!", "I5:I10", 1, ["I10"], "final output")]
-    assert rows(of_messy(result, "hidden_group"), "count", "sheets") == [(1, ["Old_Working"])]
+    group = of_depot(result, "error_group").collect()
+    assert [(g["error"], g["region"], g["count"], g["sample_cells"], g["area_type"]) for g in group] == [("#DIV/0!", "K7:K10", 1, ["K9"], "final output")]
+    assert rows(of_depot(result, "hidden_group"), "count", "sheets") == [(1, ["tmp_workings"])]
 
 
 def test_sheet_and_file_facts(result):
-    fact = {r["name"]: r for r in of_messy(result, "sheet_fact").collect()}
-    assert fact["Calc"]["category"] == "Calculation" and "Output" in fact["Calc"]["roles"] and fact["Calc"]["information"] == "final output"
-    assert fact["Assumptions"]["category"] == "Input" and fact["Assumptions"]["read_by"] == ["Calc"]
-    assert fact["Old_Working"]["place"] == 5 and fact["Old_Working"]["visibility"] == "Hidden"
-    file = of_messy(result, "file_fact").first()
-    assert (file["complexity"], file["formulas"], file["n_sheets"], file["hidden_count"], file["logic_type"], file["reconciliations"]) == ("Low", 105, 5, 1, "Calculation", 0)
-    assert file["source_systems"] == ["Ledger"] and file["preparers"] == ["A. Author"] and file["external_files"] == ["Prior TB 2024.xlsx"]
+    fact = {r["name"]: r for r in of_depot(result, "sheet_fact").collect()}
+    assert fact["Plan calc"]["category"] == "Calculation" and "Output" in fact["Plan calc"]["roles"] and fact["Plan calc"]["information"] == "final output"
+    assert fact["Settings"]["category"] == "Input" and fact["Settings"]["read_by"] == ["Plan calc"]
+    assert fact["tmp_workings"]["place"] == 5 and fact["tmp_workings"]["visibility"] == "Hidden"
+    file = of_depot(result, "file_fact").first()
+    assert (file["complexity"], file["formulas"], file["n_sheets"], file["hidden_count"], file["logic_type"], file["reconciliations"]) == ("Low", counted(depot_sheets())[1], 5, 1, "Calculation", 0)
+    assert file["source_systems"] == ["Ledger"] and file["preparers"] == ["A. Author"] and file["external_files"] == ["Fleet list v3.xlsx"]
 
 
 def test_comparison_and_findings(result):
@@ -115,13 +115,13 @@ def test_narratives_hold_no_values_and_survive_failures(result, tables):
     out = portfolio.narratives(result["sheet_fact"], boom).collect()
     assert all(r["basis"] == "drafted: offline fallback" for r in out)
     text = " ".join(r["purpose"] for r in out)
-    assert "POL-10002" not in text and "Policy ID" in text
+    assert "SKU-0002" not in text and STOCK[3] in text
 
 
 def test_resume_takes_changed_files_only(spark, folder, tables, tmp_path):
     write_estate(tmp_path)
     first = portfolio.scan(spark, str(tmp_path))["workbook"]
-    (tmp_path / "rates.xlsx").write_bytes((folder / "messy.xlsx").read_bytes())
+    (tmp_path / "rates.xlsx").write_bytes((folder / "depot.xlsx").read_bytes())
     again = portfolio.scan(spark, str(tmp_path), previous=first)
     assert sorted(rows(again["workbook"], "file_name")) == [("broken.xlsx",), ("rates.xlsx",)]
 
@@ -138,37 +138,37 @@ def test_exports(result, folder, tmp_path):
     sinks.write_page(tmp_path / "p.html", "A <b> title", {"diagnostics": sinks.export_tables(result)["diagnostics"]})
     page = (tmp_path / "p.html").read_text()
     assert "A &lt;b&gt; title" in page and "#DIV/0!" in page
-    sha = result["workbook"].where("file_name = 'messy.xlsx'").first()["sha256"]
-    source = {"messy.xlsx": (str(folder / "messy.xlsx"), sha)}
+    sha = result["workbook"].where("file_name = 'depot.xlsx'").first()["sha256"]
+    source = {"depot.xlsx": (str(folder / "depot.xlsx"), sha)}
     sinks.bundle(str(tmp_path / "b.zip"), source, {"findings": result["finding"]})
-    assert sorted(zipfile.ZipFile(tmp_path / "b.zip").namelist()) == ["analysis/findings.csv", "originals/messy.xlsx"]
+    assert sorted(zipfile.ZipFile(tmp_path / "b.zip").namelist()) == ["analysis/findings.csv", "originals/depot.xlsx"]
     with pytest.raises(ValueError, match="has changed"):
-        sinks.bundle(str(tmp_path / "c.zip"), {"messy.xlsx": (str(folder / "messy.xlsx"), "0" * 64)}, {})
+        sinks.bundle(str(tmp_path / "c.zip"), {"depot.xlsx": (str(folder / "depot.xlsx"), "0" * 64)}, {})
 
 
 def test_fields_have_a_basis(result):
     from gridloom.plans.fields import FILE_FIELDS, TAB_FIELDS
 
-    file = {r["field"]: r for r in of_messy(result, "file_field").collect()}
+    file = {r["field"]: r for r in of_depot(result, "file_field").collect()}
     assert list(FILE_FIELDS) == [r["field"] for r in sorted(file.values(), key=lambda r: r["place"])]
     assert {r["basis"] for r in file.values()} == {"extracted", "derived", "drafted", "compared", "ask"}
     assert all(r["value"] is None and r["evidence"] for k, r in file.items() if r["basis"] == "ask" and k not in ("potential_retirement", "manual_intervention"))
-    assert file["complexity"]["value"] == "Low" and file["complexity"]["confidence"] > 0.5 and any(x.startswith("cells: 375") for x in file["complexity"]["evidence"])
-    assert file["potential_duplication"]["value"].startswith("duplicate of: copy of messy.xlsm") and file["potential_duplication"]["evidence"] == ["compared with 3 other file(s) only"]
-    assert "Prior TB 2024.xlsx" in file["key_inputs"]["value"] and file["potential_retirement"]["value"] == "not established" and file["preparer"]["value"] == "A. Author"
-    tab = [r for r in of_messy(result, "tab_field").collect() if r["name"] == "Calc"]
+    assert file["complexity"]["value"] == "Low" and file["complexity"]["confidence"] > 0.5 and any(x.startswith(f"cells: {counted(depot_sheets())[0]}") for x in file["complexity"]["evidence"])
+    assert file["potential_duplication"]["value"].startswith("duplicate of: copy of depot.xlsm") and file["potential_duplication"]["evidence"] == ["compared with 3 other file(s) only"]
+    assert "Fleet list v3.xlsx" in file["key_inputs"]["value"] and file["potential_retirement"]["value"] == "not established" and file["preparer"]["value"] == "A. Author"
+    tab = [r for r in of_depot(result, "tab_field").collect() if r["name"] == "Plan calc"]
     assert {r["field"] for r in tab} == set(TAB_FIELDS) and next(r for r in tab if r["field"] == "category")["value"] == "Calculation"
     assert rows(result["rationalisation"], "kind", "items") == [("duplication", 1)]
-    claims = of_messy(result, "evidence").where("field = 'Key inputs'").limit(1).collect()
+    claims = of_depot(result, "evidence").where("field = 'Key inputs'").limit(1).collect()
     assert claims
 
 
 def test_truncated_sheets_and_modules(spark, folder):
-    files = workbook.hashed(workbook.discover(spark, str(folder))).where("path like '%/messy.xlsx'")
+    files = workbook.hashed(workbook.discover(spark, str(folder))).where("path like '%/depot.xlsx'")
     out = portfolio.tables_of(files, max_rows=20)
     book = out["workbook"].first()
     assert book["parse_status"] == "partial" and any("rows from 21 on" in w for w in book["warnings"])
-    assert {s["name"] for s in book["sheets"] if s["truncated"]} == {"Data"} and out["cell"].agg(F.max("row")).first()[0] == 20
+    assert {s["name"] for s in book["sheets"] if s["truncated"]} == {"Stock data", "Plan calc"} and out["cell"].agg(F.max("row")).first()[0] == 20
     # a compound file of 512-byte sectors: header, table, directory
     entry = lambda name, kind, left, right, child: (name.encode("utf-16-le").ljust(64, b"\0") + (2 * len(name) + 2).to_bytes(2, "little") + bytes([kind, 1]) + b"".join(x.to_bytes(4, "little") for x in (left, right, child))).ljust(128, b"\0")
     no = 0xFFFFFFFF
@@ -194,9 +194,9 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "in" / "rates.xlsx").unlink()
     assert main(["scan", str(tmp_path / "in"), "-o", run, "--resume"]) == 0
     capsys.readouterr()
-    assert main(["find", run, "messy", "--status", "full"]) == 0
-    assert capsys.readouterr().out.count('"file_name"') == 1 + ("copy of messy" in "copy of messy")
-    assert main(["report", run, "messy.xlsx", "-o", str(tmp_path / "one.html"), "--format", "html"]) == 0 and (tmp_path / "one.html").stat().st_size > 1000
+    assert main(["find", run, "depot", "--status", "full"]) == 0
+    assert capsys.readouterr().out.count('"file_name"') == 1 + ("copy of depot" in "copy of depot")
+    assert main(["report", run, "depot.xlsx", "-o", str(tmp_path / "one.html"), "--format", "html"]) == 0 and (tmp_path / "one.html").stat().st_size > 1000
     assert main(["export", run, "workbook"]) == 0
     assert "rates.xlsx" not in capsys.readouterr().out
     with pytest.raises(SystemExit):
@@ -208,16 +208,16 @@ def test_endpoints_and_reports(spark, result, tmp_path):
     from gridloom.sinks import reports
 
     assert tuple(endpoints.overview(result).first()) == (4, 3, 2, 2)
-    assert rows(endpoints.files(result, "MESSY", "full", 1, 5), "file_name") == [("messy.xlsx",)]
+    assert rows(endpoints.files(result, "DEPOT", "full", 1, 5), "file_name") == [("depot.xlsx",)]
     assert endpoints.files(result, "100%").count() == 0
-    pk = [r["file_pk"] for r in endpoints.files(result, "messy").collect()]
+    pk = [r["file_pk"] for r in endpoints.files(result, "depot").collect()]
     assert endpoints.compare(result, pk).count() == 1
     with pytest.raises(ValueError, match="at most 20"):
         endpoints.compare(result, list(map(str, range(21))))
     reports.write_file_report(result, pk[1], str(tmp_path / "one.xlsx"))
     assert len(workbook.Package((tmp_path / "one.xlsx").read_bytes()).sheets) == 13
     reports.write_file_page(result, pk[1], str(tmp_path / "one.html"))
-    assert "tblPolicies" not in (tmp_path / "one.html").read_text() and "POL-10002" not in (tmp_path / "one.html").read_text()
+    assert "stockList" not in (tmp_path / "one.html").read_text() and "SKU-0002" not in (tmp_path / "one.html").read_text()
     assert [f.stat().st_size > 0 for f in reports.write_estate(result, str(tmp_path))] == [True] * 3
     endpoints.views(result, "gl_")
     assert spark.sql("select count(*) n from gl_sheet_fact where state <> 'visible'").first()["n"] == 2
