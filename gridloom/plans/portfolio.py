@@ -89,7 +89,7 @@ def formula_table(cell: DataFrame) -> DataFrame:
     """The formulas of the cell table, normalised."""
     own = cell.where("formula is not null").select(*KEYS, "sheet", "row", "col", "formula")
     a = fx.analysed(F.col("formula"), F.col("row").cast("long"), F.col("col").cast("long"))
-    return own.withColumn("a", a).select(*KEYS, "sheet", "row", "col", "formula", "a.*")
+    return own.withColumn("a", a).select(*KEYS, "sheet", "row", "col", "formula", "a.*").drop("precedents")
 
 
 def sheet_facts(t: Tables) -> DataFrame:
@@ -278,7 +278,7 @@ def assess(t: Tables, assessor: Assessor = offline) -> Tables:
     files = spool(file_facts(t, facts))
     errors, hidden = spool(error_groups(t, facts)), spool(hidden_groups(facts))
     tokens, edge = spool(fingerprints(t, facts)), spool(edges(t))
-    pairs = spool(sim.offered(sim.similar_pairs(tokens)))
+    pairs = spool(sim.offered(*sim.similar_classes(tokens)))
     estate = spool(sim.estate_pairs(tokens, topology(facts, edge)))
     cluster = spool(sim.clusters(estate, files.select(F.col("file_pk").alias("file")).distinct()))
     out = t | {

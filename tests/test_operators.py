@@ -133,13 +133,105 @@ def test_candidates_lose_no_pair(spark):
     assert estate == linked
 
 
-def test_offers_are_bounded(spark):
-    pairs = spark.createDataFrame([(a, b, 1.0) for a, b in itertools.combinations(range(60), 2)], "a long, b long, overall double")
-    n = similarity.offered(pairs).count()
-    assert 0 < n <= 60 * 20 and n < 60 * 59 // 2
+def test_few_candidates_where_few_pairs_pass(spark):
+    """Sets of frequent and rare tokens, some of them near copies: candidates are at most twice the pairs that pass."""
+    rnd = random.Random(2)
+    rows, n = [], 400
+    for f in range(n):
+        near = f % 10 == 1
+        shape, head = ({f"s{int(400 * rnd.random() ** 3)}" for _ in range(20)}, {f"h{int(300 * rnd.random() ** 2)}" for _ in range(12)}) if not near else ({*list(shape)[:17], f"x{f}"}, {*list(head)[:11]})
+        rows += [(f, "skeleton", t) for t in shape] + [(f, "header", t) for t in head] + [(f, "function", t) for t in ("SUM", "IF", f"F{f % 40}")]
+    df = spark.createDataFrame(rows, "file long, signal string, token string").cache()
+    sets = {f: {s: {t for g, k, t in rows if g == f and k == s} for s in ("skeleton", "header", "function")} for f in range(n)}
+    score = lambda x, y: 0.6 * jac(x["skeleton"], y["skeleton"]) + 0.3 * jac(x["header"], y["header"]) + 0.1 * jac(x["function"], y["function"])
+    want = {(a, b) for a, b in itertools.combinations(sets, 2) if round(score(sets[a], sets[b]), 3) >= 0.35}
+    tried = []
+    paired = similarity.paired
+    similarity.paired = lambda sets, found: tried.append(found.count()) or paired(sets, found)
+    try:
+        got = {(r["a"], r["b"]) for r in similarity.similar_pairs(df).collect()}
+    finally:
+        similarity.paired = paired
+    assert got == want and 30 < len(want) < n * (n - 1) // 100 and tried[0] <= 2 * len(want)
+
+
+@pytest.mark.parametrize("largest", [False, True])
+def test_best_peers_equal_those_of_all_pairs(spark, largest):
+    """Ties, profiles of many files and of one: the same as ranking all pairs."""
+    rnd = random.Random(6)
+    kinds = [({f"a{rnd.randrange(6)}" for _ in range(4)}, {f"h{rnd.randrange(4)}" for _ in range(3)}) for _ in range(12)]
+    of = {f: kinds[rnd.randrange(3) if f % 2 else rnd.randrange(12)] for f in range(90)}
+    df = spark.createDataFrame([(f, s, t) for f, x in of.items() for s, ts in zip(("skeleton", "header"), x, strict=True) for t in ts], "file long, signal string, token string")
+    classes = similarity.similar_classes(df)
+    every = [(r["a"], r["b"], r["overall"]) for r in similarity.expanded(*classes).collect()]
+    for k in (1, 4, 20):
+        want = set()
+        for f in of:
+            peers = [(-s, -p if largest else p, p) for a, b, s in every for x, p in ((a, b), (b, a)) if x == f]
+            want |= {(f, p, i, -s) for i, (s, _, p) in enumerate(sorted(peers)[:k], 1)}
+        assert {(r["file"], r["peer"], r["place"], r["overall"]) for r in similarity.best(*classes, k, largest).collect()} == want
+        if largest:
+            assert {(r["a"], r["b"]) for r in similarity.offered(*classes, k).collect()} == {(min(f, p), max(f, p)) for f, p, _, _ in want}
+
+
+def test_equal_files_are_offered_in_linear_rows(spark):
+    """A hundred thousand files of one content: twenty peers each and no table of their pairs."""
+    n = 100_000
+    df = spark.range(n).select(F.col("id").alias("file"), F.lit("skeleton").alias("signal"), F.explode(F.array(F.lit("x"), F.lit("y"))).alias("token"))
+    pairs, members = similarity.similar_classes(df)
+    assert [tuple(r)[:2] for r in pairs.collect()] == [(0, 0)]
+    short = similarity.shortlist(pairs, members)
+    assert short.count() == 20 * n and tuple(short.where("file = 7").agg(F.min("peer"), F.max("peer"), F.max("place")).first()) == (0, 20, 20)
+    assert similarity.offered(pairs, members).count() == 20 * (n - 20) + 20 * 19 // 2
     assert similarity.similar_pairs(spark.createDataFrame([(i, "skeleton", f"t{i}") for i in range(500)], "file long, signal string, token string")).count() == 0
 
 
+def test_areas_and_blocks(spark):
+    from gridloom.operators import intervals, precedents
+
+    cases = {
+        "=SUM(A1:B2)+C3": [("", 1, 1, 2, 2, "range"), ("", 3, 3, 3, 3, "cell")], "=SUM(A:A)": [("", 1, 1, 1048576, 1, "columns")], "=SUM($D:$B, 7:3)": [("", 1, 2, 1048576, 4, "columns"), ("", 3, 1, 7, 16384, "rows")],
+        "=XFE1+XFD1048577+A1": [("", 1, 1, 1, 1, "cell")], "='My ''x'' Sheet'!B2:A1&\"C3\"": [("My 'x' Sheet", 1, 1, 2, 2, "range")], "=[3]S!B2*[1]T!A:A": [], "=Rates!A:B": [("Rates", 1, 1, 1048576, 2, "columns")],
+        "=LOG10(A1)+A1B+x_1+1.5": [("", 1, 1, 1, 1, "cell")], "=A1:B2:C3": [("", 1, 1, 2, 2, "range"), ("", 3, 3, 3, 3, "cell")], None: [],
+    }
+    df = spark.createDataFrame([(x,) for x in cases], "f string").select("f", precedents.areas(F.col("f")).alias("a"))
+    assert {r["f"]: [tuple(x)[1:] for x in r["a"]] for r in df.collect()} == cases
+    rnd = random.Random(8)
+    spans = [(1, 1048576), (1, 1), (3, 9), (5, 4), (1048576, 1048576), *((a, a + rnd.randrange(200)) for a in (rnd.randrange(1, 900) for _ in range(60)))]
+    for r in spark.createDataFrame(spans, "a long, b long").select("a", "b", intervals.blocks(F.col("a"), F.col("b")).alias("x")).collect():
+        assert len(r["x"]) <= 38
+        if r["b"] < 2000:
+            assert sorted(1 + (q["block"] << q["level"]) + i for q in r["x"] for i in range(1 << q["level"])) == list(range(r["a"], r["b"] + 1))
+    assert spark.createDataFrame(spans[:1], "a long, b long").select(F.size(intervals.blocks(F.col("a"), F.col("b")))).first()[0] == 1
+
+
+def test_precedents_by_plain_search(spark):
+    """Areas, what they hold and what depends on a cell, against loops; circular references end."""
+    from gridloom.operators import precedents
+
+    rnd = random.Random(12)
+    cells = {(f, s, r, c): rnd.choice(["", *(f"={x}{rnd.randint(1, 9)}" for x in "ABC"), f"=A{rnd.randint(1, 9)}+SUM(B{rnd.randint(1, 9)}:C{rnd.randint(1, 9)})", f"=T!A{rnd.randint(1, 9)}", rnd.choice(["=SUM(B:B)", "=SUM(2:3)", ""])]) for f in "xy" for s in "ST" for r in range(1, 10) for c in range(1, 4) if rnd.random() < 0.6}
+    # a chain over two sheets that comes back to itself
+    cells |= {("x", "S", 3, 2): "", ("x", "S", 1, 3): "=B3", ("x", "S", 2, 3): "=SUM(C$1:C1)*2", ("x", "T", 2, 1): "=SUM(S!C2:C9)", ("x", "T", 3, 1): "=A2+T!A3", ("x", "S", 3, 3): "=SUM(T!3:3)"}
+    frame = spark.createDataFrame([(*k, v or None) for k, v in cells.items()], "file string, sheet string, row long, col long, formula string")
+    edge = precedents.edges(frame.where("formula is not null")).cache()
+    reads = {}
+    for e in edge.collect():
+        reads.setdefault(tuple(e)[:4], []).append((e["to_sheet"], e["top"], e["left"], e["bottom"], e["right"]))
+    inside = lambda k, a, f: k[0] == f and k[1] == a[0] and a[1] <= k[2] <= a[3] and a[2] <= k[3] <= a[4]
+    for n in precedents.sizes(precedents.nodes(edge), frame.select("file", "sheet", "row", "col")).collect():
+        area = (n["to_sheet"], n["top"], n["left"], n["bottom"], n["right"])
+        assert n["cells"] == sum(inside(k, area, n["file"]) for k in cells) and n["readers"] == sum(area in a for k, a in reads.items() if k[0] == n["file"])
+    start = [("x", "S", 3, 2), ("y", "T", 1, 1)]
+    want, last, step = {}, set(start), 0
+    while last:
+        step += 1
+        last = {k for k, a in reads.items() if k not in want and any(inside(p, x, k[0]) for x in a for p in last)}
+        want |= dict.fromkeys(last, step)
+    got = precedents.affected(edge, spark.createDataFrame(start, "file string, sheet string, row long, col long"))
+    assert {tuple(r)[:4]: r["steps"] for r in got.collect()} == want and max(want.values()) > 2
+
+
 @pytest.mark.parametrize(("signals", "want"), [((0.9, 0.6, 0.7, 0.9), "Duplicate"), ((0.1, 0.1, 0.7, 0.3), "Same output, different method"), ((0.5, 0.1, 0.1, 0.3), "Overlapping logic"), ((0.1, 0.7, 0.1, 0.2), "Shared source"), ((0.3, 0.3, 0.5, 0.36), "Related"), ((0.1, 0.1, 0.1, 0.1), "Unrelated")])
 def test_relationships(spark, signals, want):
     assert one(spark, similarity.relationship(*map(F.lit, signals))) == want
