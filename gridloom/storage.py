@@ -5,10 +5,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders written by spool() in this process and not yet released, in order.
+#: The folder of the innermost scope() that this thread, or this context, is in.
+_scope: ContextVar[str | None] = ContextVar("gridloom_scope", default=None)
+#: Folders written by spool() outside any scope() in this process and not yet released, in order.
 _written: list[str] = []
 
 
@@ -28,12 +33,33 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def spool(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder and read it back: cuts lineage, and a lost executor costs nothing."""
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[str]:
+    """A run of its own: what spool() writes inside goes to one folder, which is deleted at the end, whatever happens.
+
+    Runs may follow, hold or interleave with one another, in one thread or in several: none deletes what another wrote.
+    Frames that are to outlive the scope are written outside it, with ``spool(df, into=...)`` or anywhere else.
+    """
+    folder = f"{shared_folder(spark)}/gridloom-spool/run-{uuid.uuid4().hex}"
+    before = _scope.set(folder)
+    try:
+        yield folder
+    finally:
+        _scope.reset(before)
+        delete(spark, folder)
+
+
+def spool(df: DataFrame, into: str | None = None) -> DataFrame:
+    """Write a frame to the shared folder and read it back: cuts lineage, and a lost executor costs nothing.
+
+    into: a folder, such as that of a surrounding scope(); else that of the innermost scope, or, outside all, one of its own.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/gridloom-spool/{uuid.uuid4().hex}"
+    folder = into or _scope.get()
+    path = f"{folder or shared_folder(spark) + '/gridloom-spool'}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    if into or folder is None:
+        _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._gl_path = path
     return out
@@ -42,8 +68,9 @@ def spool(df: DataFrame) -> DataFrame:
 def discard(spooled: DataFrame) -> None:
     """Delete what spool() wrote for this very frame; for when nothing reads it any more."""
     path = getattr(spooled, "_gl_path", None)
-    if path in _written:
-        _written.remove(path)
+    if path:
+        if path in _written:
+            _written.remove(path)
         delete(spooled.sparkSession, path)
 
 
