@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from gridloom.storage import clear_spool, discard, mark, release, shared_folder, spool
+from gridloom.storage import clear_spool, discard, mark, release, scope, shared_folder, spool
 
-__all__ = ["annotate", "chunks", "clear_spool", "discard", "free_name", "let", "mark", "name", "offsets", "raw_texts", "release", "shared_folder", "sheltered", "spool", "table", "texts"]
+__all__ = ["annotate", "chunks", "clear_spool", "discard", "free_name", "let", "mark", "name", "offsets", "raw_texts", "release", "scope", "shared_folder", "sheltered", "spool", "table", "texts"]
 
 #: The struct column in which an Arrow pass returns what it found for a row.
 RESULT = "gl_result"
