@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.plans import aggregates, books, gates, precedents, scalars, sheets, similar
+from gridloom.plans import aggregates, books, bundles, gates, precedents, scalars, sheets, similar
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PARTS = (scalars, aggregates, sheets, precedents, similar, gates, books)
+_PARTS = (scalars, aggregates, sheets, precedents, similar, gates, bundles, books)
 
 
 def queries() -> dict[str, Query]:

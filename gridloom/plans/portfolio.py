@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import formulas as fx
 from gridloom.functions import scalars as S
-from gridloom.operators import detect, evidence, graph, joins, profiles, rollups, rules
+from gridloom.operators import bundles, detect, evidence, graph, joins, precedents, profiles, rollups, rules
 from gridloom.operators import similarity as sim
 from gridloom.plans import fields
 from gridloom.sources import workbook
@@ -124,6 +124,17 @@ def sheet_facts(t: Tables) -> DataFrame:
     return rules.visible_first(out.withColumn("review_required", F.size("validation_reasons") > 0))
 
 
+def precedent_edges(t: Tables) -> DataFrame:
+    """What every formula reads: one row a formula and area; see operators.precedents."""
+    return precedents.edges(t["formula"].select(F.col("file_pk").alias("file"), "sheet", "row", "col", "formula"))
+
+
+def error_impact(t: Tables) -> DataFrame:
+    """Formulas that depend on a cached error, and by how many steps."""
+    bad = t["cell"].where("is_error").select(F.col("file_pk").alias("file"), "sheet", "row", "col")
+    return precedents.affected(precedent_edges(t), bad)
+
+
 def edges(t: Tables) -> DataFrame:
     """Dependencies between the sheets of a file: file, src, dst, n."""
     used = t["formula"].select(F.col("file_pk").alias("file"), F.col("sheet").alias("src"), F.explode("referenced_sheets").alias("dst")).groupBy("file", "src", "dst").agg(F.count("*").alias("n"))
@@ -272,6 +283,27 @@ def narratives(facts: DataFrame, assessor: Assessor = offline) -> DataFrame:
     return facts.select("file_pk", "position", "name", "category", "roles", "information", "headers").mapInPandas(run, "file_pk string, position int, purpose string, basis string")
 
 
+def file_bundles(t: Tables) -> DataFrame:
+    """file and bundle: the evidence of every file for an assessor, without cell values; see operators.bundles."""
+    wide = t["file_field"].where(F.col("field").isin("complexity", "logic_type", "logic_types", "business_area", "key_calculations", "key_inputs", "reconciliation")).groupBy(F.col("file_pk").alias("file"), "file_name")
+    files = wide.pivot("field", ["complexity", "logic_type", "logic_types", "business_area", "key_calculations", "key_inputs", "reconciliation"]).agg(F.first("value"))
+    up = t["upstream"].select("file", "name", F.col("sheets").alias("upstream"))
+    down = t["downstream"].select("file", "name", F.transform("consumers", lambda x: x["sheet"]).alias("downstream"))
+    own = t["sheet_fact"].select(F.col("file_pk").alias("file"), "place", "name", "headers", "visibility", "category", "roles", "information", "description", (F.col("state") != "visible").alias("hidden"))
+    return bundles.bundles(files, own.join(up, ["file", "name"], "left").join(down, ["file", "name"], "left"))
+
+
+def narration(t: Tables, answers: DataFrame) -> DataFrame:
+    """What answers (file, answer: JSON text) say of files and sheets, with the basis of each text; see operators.bundles."""
+    return bundles.narrated(t["bundle"], answers)
+
+
+def reconciliation_claims(t: Tables, answers: DataFrame) -> DataFrame:
+    """The reconciliations that answers (file, answer: JSON text) claim, as far as the files' own headers support them."""
+    tabs = t["sheet_fact"].select(F.col("file_pk").alias("file"), "name", "headers", F.transform("reconciliations", lambda r: F.struct(r["source_a"].alias("source_a"), r["source_b"].alias("source_b"), r["cues"].alias("cues"))).alias("candidates"))
+    return bundles.reconciliations(answers, tabs)
+
+
 def assess(t: Tables, assessor: Assessor = offline) -> Tables:
     """Tables of the assessment: sheet_fact, file_fact, error_group, hidden_group, pair, estate, cluster, family, finding, narrative and more."""
     facts = spool(sheet_facts(t))
@@ -290,7 +322,7 @@ def assess(t: Tables, assessor: Assessor = offline) -> Tables:
     out["rationalisation"] = rollups.rationalisation(fields.reviews(out))
     out["finding"] = findings(out)
     out["file_field"], out["tab_field"] = spool(fields.file_fields(out)), spool(fields.tab_fields(out))
-    out["evidence"] = evidence_table(out)
+    out["evidence"], out["bundle"] = evidence_table(out), file_bundles(out)
     return out
 
 
