@@ -244,10 +244,10 @@ def findings(t: Tables, ids: list[str] | None = None) -> DataFrame:
             rollups.finding(e, "Cached errors", text(F.col("error_type"), "in", F.col("area_type")), F.col("severity"), F.col("files"), F.col("cells")),
             rollups.finding(h, "Hidden sheets", text("Hidden", F.lower("purpose"), "tabs"), review, F.col("f"), F.col("n")),
             rollups.finding(p, "Comparison", F.col("relationship"), review, F.col("files"), F.col("pairs")),
-            rollups.finding(r, "Human validation", F.lit("Tabs needing human validation"), review, F.col("f"), F.col("n")),
+            rollups.finding(r, "Human validation", F.lit("Sheets for a reviewer"), review, F.col("f"), F.col("n")),
             rollups.finding(some("simplification"), "Opportunities", F.lit("Simplification"), review, F.col("f"), F.col("n")),
             rollups.finding(some("automation"), "Opportunities", F.lit("Manual work"), review, F.col("f"), F.col("n")),
-            rollups.finding(c, "Coverage", F.lit("Unreadable workbooks"), F.lit("High"), F.col("n"), F.col("n")),
+            rollups.finding(c, "Coverage", F.lit("Files that could not be read"), F.lit("High"), F.col("n"), F.col("n")),
         ]
     )
     action = F.element_at(F.create_map(*[F.lit(x) for kv in ACTIONS.items() for x in kv]), F.col("category"))

@@ -155,6 +155,30 @@ def test_few_candidates_where_few_pairs_pass(spark):
     assert got == want and 30 < len(want) < n * (n - 1) // 100 and tried[0] <= 2 * len(want)
 
 
+def test_a_store_kept_up_to_date_equals_a_full_run(spark):
+    """Files that come, change and go, clusters that part and join, with profiles of several files: each state as if made anew."""
+    rnd = random.Random(21)
+    kinds = [[f"k{rnd.randrange(14)}" for _ in range(5)] for _ in range(18)]
+    state = {f: kinds[rnd.randrange(18)] for f in range(60)}
+    pairs = clusters = former = None
+    for step in range(3):
+        df = spark.createDataFrame([(f, s, t) for f, ts in state.items() for t in ts for s in ("skeleton", "header")], "file long, signal string, token string")
+        files = df.select("file").distinct()
+        whole = similarity.similar_pairs(df)
+        if former is None:
+            pairs, clusters = whole.cache(), similarity.clusters(whole, files).cache()
+        else:
+            changed = spark.createDataFrame([(f,) for f in state.keys() | former.keys() if state.get(f) != former.get(f)], "file long")
+            found = similarity.updated_pairs(pairs, df, changed).cache()
+            clusters = similarity.updated_clusters(clusters, pairs, found, files).cache()
+            pairs = found
+            key = lambda d: sorted(map(tuple, d.select("a", "b", "skeleton", "overall").collect()))
+            assert key(pairs) == key(whole), step
+            assert sorted(map(tuple, clusters.collect())) == sorted(map(tuple, similarity.clusters(whole, files).select(*clusters.columns).collect())), step
+        former = dict(state)
+        state = {f: (kinds[rnd.randrange(18)] if rnd.random() < 0.2 else ts) for f, ts in state.items() if rnd.random() < 0.9} | {100 * (step + 1) + i: kinds[rnd.randrange(18)] for i in range(4)}
+
+
 @pytest.mark.parametrize("largest", [False, True])
 def test_best_peers_equal_those_of_all_pairs(spark, largest):
     """Ties, profiles of many files and of one: the same as ranking all pairs."""
