@@ -304,7 +304,7 @@ def test_streamed_scans_read_each_file_once(spark, tmp_path):
     assert spark.read.parquet(f"{out}/workbook").count() == 4
     (source / "late.xlsx").write_bytes((source / "rates.xlsx").read_bytes())
     incremental.scan_new(spark, str(source), out, str(tmp_path / "state"))
-    assert sorted(r["file_name"] for r in spark.read.parquet(f"{out}/workbook").collect())[2] == "late.xlsx"
+    assert "late.xlsx" in {r["file_name"] for r in spark.read.parquet(f"{out}/workbook").collect()}
     assert spark.read.parquet(f"{out}/workbook").count() == 5
 
 
