@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 from gridloom.operators import joins, profiles, rollups
 from gridloom.plans.base import case, table
+from gridloom.storage import shared_folder
+from gridloom.streaming import changes
 
 _AREA = ("final output", "input", "control / check")
 
@@ -271,6 +274,23 @@ def incremental(spark: SparkSession, d: str) -> DataFrame:
 INCREMENTAL = "SELECT o_orderkey, substr(sha256(o_orderpriority), 1, 12) AS sha FROM orders WHERE NOT (o_orderdate < DATE '1996-01-01' AND o_orderkey % 5 <> 0 AND o_orderstatus <> 'F')"
 
 
+def streamed_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a log of files, a user a path and an error its end: what a stream with state by path leaves there."""
+    schema = table(spark, d, "events").schema
+    e = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")
+    log = e.select(F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("version"), F.when(F.col("event_type") != "error", F.sha2(F.concat_ws(":", "event_type", F.floor("value").cast("long")), 256)).alias("sha"))
+    out = f"{shared_folder(spark)}/gridloom-spool/changes-{uuid.uuid4().hex}"
+    sink = changes.changes(log).writeStream.outputMode("update").option("checkpointLocation", f"{out}/state").trigger(availableNow=True)
+    sink.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/change/batch={number}")).start().awaitTermination()
+    return changes.live(spark.read.parquet(f"{out}/change")).select("path", F.substring("sha", 1, 12).alias("sha"))
+
+
+STREAMED_CHANGES = """
+WITH e AS (SELECT CAST(user_id AS VARCHAR) AS path, event_id, CASE WHEN event_type <> 'error' THEN substr(sha256(event_type || ':' || CAST(floor(value) AS BIGINT)), 1, 12) END AS sha FROM events WHERE user_id IS NOT NULL),
+l AS (SELECT path, sha FROM e QUALIFY row_number() OVER (PARTITION BY path ORDER BY event_id DESC) = 1) SELECT path, sha FROM l WHERE sha IS NOT NULL
+"""
+
+
 def remaining_children(spark: SparkSession, d: str) -> DataFrame:
     """Line items of orders that still exist, after a merge of new orders over old ones."""
     o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
@@ -374,7 +394,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         error_rollup, error_groups, error_details, downstream_outputs, hidden_groups, coverage, overview, column_profile, row_profile, occupancy,
-        formula_profile, top_functions, complexity, cell_regions, unclaimed_cells, citations, incremental, remaining_children, selected_files,
+        formula_profile, top_functions, complexity, cell_regions, unclaimed_cells, citations, incremental, streamed_changes, remaining_children, selected_files,
         portfolio_findings, assessment_long, pair_rollup, files_in_pairs, rationalisation,
     )
 }
