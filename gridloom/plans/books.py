@@ -1,8 +1,12 @@
-"""The reader, the detector and the assessment over workbooks made from the test tables: one a nation, with all its customers."""
+"""The reader, the detector and the assessment over workbooks made from the test tables: all customers, dealt by nation and key.
+
+A workbook holds the customers of a nation within one range of keys, so its size is bounded however many customers there are.
+"""
 
 from __future__ import annotations
 
 import io
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +18,10 @@ from gridloom.sinks.xlsx import HEADER, Cell, Sheet, write
 from gridloom.sources import workbook
 
 
+#: Customer keys to a workbook.
+RANGE = 50_000
+
+
 def _book(rows: pd.DataFrame) -> pd.DataFrame:
     """A nation's workbook: its customers with twice their balance (an error where it is negative), and a sum on a sheet of its own."""
     rows = rows.sort_values("c_custkey")
@@ -29,14 +37,19 @@ def _book(rows: pd.DataFrame) -> pd.DataFrame:
     links = (f"file:///C:/books/{nation['r_name']}%20rates.xlsx",) if key % 4 == 0 else ()
     write(out, sheets, creator=nation["r_name"], links=links, vba=key % 6 == 0)
     content = out.getvalue()
-    return pd.DataFrame([[f"/books/{nation['n_name']}.xlsx", len(content), content]], columns=["path", "length", "content"])
+    return pd.DataFrame([[f"/books/{nation['part']}-{nation['n_name']}.xlsx", len(content), content]], columns=["path", "length", "content"])
 
 
-def _files(spark: SparkSession, d: str) -> DataFrame:
+def _dealt(spark: SparkSession, d: str, make: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """A file of every nation and range of customer keys."""
     nation = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
-    customer = table(spark, d, "customer").select("c_nationkey", "c_custkey", "c_name", "c_acctbal")
+    customer = table(spark, d, "customer").select("c_nationkey", "c_custkey", "c_name", "c_acctbal", "c_mktsegment", F.expr(f"c_custkey div {RANGE}").alias("part"))
     rows = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    return workbook.hashed(rows.groupBy("n_nationkey").applyInPandas(_book, "path string, length long, content binary"))
+    return workbook.hashed(rows.groupBy("n_nationkey", "part").applyInPandas(make, "path string, length long, content binary"))
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    return _dealt(spark, d, _book)
 
 
 def _read(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +57,7 @@ def _read(spark: SparkSession, d: str) -> DataFrame:
         return portfolio.spool(workbook.read(_files(spark, d)))
 
 
-_C = """c AS (SELECT n_name || '.xlsx' AS file_name, n_nationkey AS k, r_name, c_custkey, c_name, CAST(c_acctbal AS DOUBLE) AS b, row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) + 1 AS r
+_C = f"""c AS (SELECT c_custkey // {RANGE} || '-' || n_name || '.xlsx' AS file_name, n_nationkey AS k, r_name, c_custkey, c_name, CAST(c_acctbal AS DOUBLE) AS b, row_number() OVER (PARTITION BY n_nationkey, c_custkey // {RANGE} ORDER BY c_custkey) + 1 AS r
  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), f AS (SELECT file_name, k, r_name, count(*) AS n, count(*) FILTER (b < 0) AS bad FROM c GROUP BY ALL)"""
 
 
@@ -143,5 +156,81 @@ x AS (SELECT file_name, '' AS sheet, unnest(['complexity', 'preparer', 'usage_fr
 SELECT * FROM x
 """
 
-QUERIES = {f.__name__: f for f in (workbook_files, workbook_cells, workbook_regions, workbook_errors, workbook_resume, workbook_fields)}
+
+
+def compound(modules: list[str]) -> bytes:
+    """A macro project's compound file as far as its directory goes: the streams are empty, the directory's sectors stand in reverse."""
+    none, end = 0xFFFFFFFF, 0xFFFFFFFE
+    streams = ["dir", "_VBA_PROJECT", "__SRP_0", *modules]
+    children: dict[int, tuple[int, int]] = {}
+
+    def tree(low: int, high: int) -> int:
+        if low >= high:
+            return none
+        middle = (low + high) // 2
+        children[middle] = (tree(low, middle), tree(middle + 1, high))
+        return middle
+
+    first = tree(3, 3 + len(streams))
+    number = lambda *xs: b"".join(x.to_bytes(4, "little") for x in xs)
+    entry = lambda name, kind, left, right, child: (name.encode("utf-16-le").ljust(64, b"\0") + (2 * len(name) + 2).to_bytes(2, "little") + bytes([kind, 1]) + number(left, right, child)).ljust(128, b"\0")
+    rows = [entry("Root Entry", 5, none, none, 1), entry("VBA", 1, none, 2, first), entry("PROJECT", 2, none, none, none)]
+    rows += [entry(name, 2, *children[i], none) for i, name in enumerate(streams, 3)]
+    directory = b"".join(rows)
+    sectors = [directory[i : i + 512].ljust(512, b"\0") for i in range(0, len(directory), 512)]
+    table = number(0xFFFFFFFD, end, *range(1, len(sectors))).ljust(512, b"\xff")
+    head = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1".ljust(30, b"\0") + (9).to_bytes(2, "little")
+    head = head.ljust(48, b"\0") + number(len(sectors))
+    return head.ljust(76, b"\0") + number(0) + b"\xff" * 432 + table + b"".join(reversed(sectors))
+
+
+def _binary_book(rows: pd.DataFrame) -> pd.DataFrame:
+    """A workbook with macro modules by market segment, pivot caches of three kinds, a connection, and for some a query."""
+    nation, n = rows.iloc[0], len(rows)
+    key = int(nation["n_nationkey"])
+    modules = ["ThisWorkbook", *(f"Seg_{x}" for x in sorted(set(rows["c_mktsegment"].dropna()))), *(f"Month{i}" for i in range(1, key + 2))]
+    cache = lambda source: f'<pivotCacheDefinition xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><cacheSource type="worksheet">{source}</cacheSource></pivotCacheDefinition>'.encode()
+    sources = [f'<worksheetSource ref="A1:A{n + 1}" sheet="Customer data"/>']
+    sources += ['<worksheetSource name="Ledger"/>'] if key % 3 == 0 else []
+    sources += [f'<dbPr connection="Server={nation["r_name"]}"/>'] if key % 2 == 0 else []
+    parts = {f"xl/pivotCache/pivotCacheDefinition{i}.xml": cache(x) for i, x in enumerate(sources, 1)} | {"xl/vbaProject.bin": compound(modules)}
+    if key % 4 == 1:
+        parts["customXml/item1.xml"] = b'<DataMashup xmlns="http://schemas.microsoft.com/DataMashup">AAAA</DataMashup>'
+    out = io.BytesIO()
+    write(out, [Sheet("Customer data", [["Key"], *[[int(x)] for x in sorted(rows["c_custkey"])]])], connections=({"name": nation["r_name"], "connection": "Server=x"},), parts=parts)
+    content = out.getvalue()
+    return pd.DataFrame([[f"/books/{nation['part']}-{nation['n_name']}.xlsm", len(content), content]], columns=["path", "length", "content"])
+
+
+def _binary_books(spark: SparkSession, d: str) -> DataFrame:
+    with workbook.small_batches(spark):
+        return workbook.books(portfolio.spool(workbook.read(_dealt(spark, d, _binary_book))))
+
+
+_P = f"""c AS (SELECT c_custkey // {RANGE} || '-' || n_name || '.xlsm' AS file_name, n_nationkey AS k, r_name, c_mktsegment AS s FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+f AS (SELECT file_name, k, r_name, count(*) AS n FROM c GROUP BY ALL)"""
+
+
+def workbook_modules(spark: SparkSession, d: str) -> DataFrame:
+    """Names of the macro modules, from the directories of compound files."""
+    return _binary_books(spark, d).select("file_name", F.explode("vba_modules").alias("module"))
+
+
+WORKBOOK_MODULES = f"""
+WITH {_P} SELECT DISTINCT file_name, 'Seg_' || s AS module FROM c WHERE s IS NOT NULL UNION ALL SELECT file_name, 'ThisWorkbook' FROM f UNION ALL SELECT file_name, 'Month' || unnest(range(1, k + 2)) FROM f
+"""
+
+
+def workbook_pivots(spark: SparkSession, d: str) -> DataFrame:
+    """Sources of pivot caches, connections, and whether a file holds a query."""
+    names = F.array_join(F.transform("connections", lambda c: c["name"]), ";").alias("connections")
+    return _binary_books(spark, d).select("file_name", F.array_join("pivot_sources", ";").alias("pivots"), names, "has_vba", "has_power_query")
+
+
+WORKBOOK_PIVOTS = f"""
+WITH {_P} SELECT file_name, 'Customer data!A1:A' || (n + 1) || CASE WHEN k % 3 = 0 THEN ';Ledger' ELSE '' END || CASE WHEN k % 2 = 0 THEN ';Server=' || r_name ELSE '' END AS pivots,
+ r_name AS connections, true AS has_vba, k % 4 = 1 AS has_power_query FROM f
+"""
+
+QUERIES = {f.__name__: f for f in (workbook_files, workbook_cells, workbook_regions, workbook_errors, workbook_resume, workbook_fields, workbook_modules, workbook_pivots)}
 SQL = {name: globals()[name.upper()] for name in QUERIES}

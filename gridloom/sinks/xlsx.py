@@ -78,8 +78,8 @@ def _cell(ref: str, x: object) -> str:
     return f'<c r="{ref}"{style} t="inlineStr"><is><t xml:space="preserve">{_clean(str(v))}</t></is></c>'
 
 
-def write(target, sheets: list[Sheet], creator: str = "", links: tuple[str, ...] = (), connections: tuple[dict, ...] = (), vba: bool = False) -> None:
-    """Write the sheets, row by row, to a path or a binary file."""
+def write(target, sheets: list[Sheet], creator: str = "", links: tuple[str, ...] = (), connections: tuple[dict, ...] = (), vba: bool = False, parts: dict[str, bytes] | None = None) -> None:
+    """Write the sheets, row by row, to a path or a binary file. parts: further parts of the package as they are, by name."""
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         book, relations, kinds, n_tables = [], [], [], 0
         for i, s in enumerate(sheets, 1):
@@ -126,6 +126,8 @@ def write(target, sheets: list[Sheet], creator: str = "", links: tuple[str, ...]
             z.writestr("xl/connections.xml", f'{_HEAD}<connections xmlns="{_MAIN}">{rows}</connections>')
         if vba:
             z.writestr("xl/vbaProject.bin", b"\0")
+        for name, content in (parts or {}).items():
+            z.writestr(name, content)
         relations.append(f'<Relationship Id="s" Type="{_REL}/styles" Target="styles.xml"/>')
         z.writestr("xl/styles.xml", _STYLES)
         z.writestr("xl/workbook.xml", f'{_HEAD}<workbook xmlns="{_MAIN}" xmlns:r="{_REL}"><sheets>{"".join(book)}</sheets></workbook>')
