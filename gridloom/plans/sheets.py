@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from gridloom.operators import graph, regions, rules
+from gridloom.functions.scalars import range_ref
+from gridloom.operators import detect, graph, regions, rules
 from gridloom.plans.base import any_of, table
 
 
@@ -82,6 +84,33 @@ SELECT sheet, CASE WHEN max(score) >= 0.15 THEN -max(struct_pack(s := score, up
 """
 
 
+def merged_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of customers' order sheets: an order a column, under bands of four, under which lie bands of two but for every third customer."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("file_pk"), F.expr("cast(o_orderkey div 50000 as int)").alias("position"), "o_custkey", "o_orderkey", "o_orderstatus", F.year("o_orderdate").cast("string").alias("year"), "o_orderpriority")
+    sheet = Window.partitionBy("file_pk", "position")
+    o = o.withColumn("col", F.row_number().over(sheet.orderBy("o_orderkey"))).withColumn("n", F.count("*").over(sheet).cast("int")).withColumn("region_id", F.lit(1))
+    two = F.col("o_custkey") % 3 != 0
+    cell = F.array(F.struct(F.lit(1).alias("row"), F.when(F.col("col") % 4 == 1, F.col("o_orderstatus")).alias("text")), F.struct(F.lit(2).alias("row"), F.when(F.col("col") % 2 == 1, F.col("year")).alias("text")), F.struct(F.lit(3).alias("row"), F.col("o_orderpriority").alias("text")))
+    cells = o.select("file_pk", "position", "region_id", "col", F.explode(cell).alias("c")).select("file_pk", "position", "region_id", "col", "c.*").where("text is not null")
+    merge = lambda row, size: F.when((F.col("col") % size == 1) & (F.col("col") < F.col("n")), range_ref(F.lit(row), F.col("col"), F.lit(row), F.least("n", F.col("col") + size - 1)))
+    merges = F.flatten(F.collect_list(F.array_compact(F.array(merge(1, 4), F.when(two, merge(2, 2))))))
+    sheets = o.groupBy("file_pk", "position").agg(merges.alias("merges"))
+    part = lambda size: F.ceil(F.col("n") / size).cast("long")
+    found = o.where("col = 1").select("file_pk", "position", "region_id", F.lit(1).alias("left"), F.col("n").alias("right"), F.lit(9).alias("bottom"), F.lit(1).alias("header_row"), F.create_map(F.lit(1), part(4), F.lit(2), part(2), F.lit(3), F.col("n").cast("long")).alias("filled"))
+    out = detect.merged_headers(found, detect.bands(sheets), cells)
+    return out.select("file_pk", "position", "label_row", F.array_join("labels", "|").alias("labels"), "blanks")
+
+
+MERGED_HEADERS = """
+WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS file_pk, CAST(o_orderkey // 50000 AS INT) AS position, o_custkey % 3 <> 0 AS two, o_orderstatus AS s, CAST(year(o_orderdate) AS VARCHAR) AS y, o_orderpriority AS p,
+ row_number() OVER (PARTITION BY o_custkey, o_orderkey // 50000 ORDER BY o_orderkey) AS c, count(*) OVER (PARTITION BY o_custkey, o_orderkey // 50000) AS n FROM orders),
+b AS (SELECT *, first_value(s) OVER (PARTITION BY file_pk, position, (c - 1) // 4 ORDER BY c) AS four, first_value(y) OVER (PARTITION BY file_pk, position, (c - 1) // 2 ORDER BY c) AS pair FROM o),
+l AS (SELECT *, CASE WHEN n = 1 THEN 1 WHEN two THEN 3 ELSE 2 END AS place, CASE WHEN n = 1 THEN s WHEN two THEN p WHEN c % 2 = 1 THEN y ELSE '' END AS own, (c - 1) // 4 * 4 + 1 < n AS in_four, (c - 1) // 2 * 2 + 1 < n AS in_pair FROM b)
+SELECT file_pk, position, CAST(max(place) AS INT) AS label_row, string_agg(CASE WHEN own = '' THEN '' ELSE CASE WHEN place > 1 AND in_four THEN four || '::' ELSE '' END || CASE WHEN place > 2 AND in_pair THEN pair || '::' ELSE '' END || own END, '|' ORDER BY c) AS labels,
+ CAST(count(*) FILTER (own = '') AS INT) AS blanks FROM l GROUP BY file_pk, position
+"""
+
+
 _LEADS = ("MI pack", "raw data", "calc engine", "lob map", "recon check", "QA signoff", "misc", "Summary model")
 
 
@@ -327,7 +356,7 @@ SELECT s_nationkey AS file, s_suppkey AS position, row_number() OVER (PARTITION
 QUERIES = {
     f.__name__: f
     for f in (
-        row_runs, component_boxes, region_kinds, header_rows, sheet_edges, sheet_degrees, sheet_rules, validation_flags, reconciliations, manual_evidence,
+        row_runs, component_boxes, region_kinds, header_rows, merged_headers, sheet_edges, sheet_degrees, sheet_rules, validation_flags, reconciliations, manual_evidence,
         calculation_descriptions, upstream_groups, downstream_roles, simplification, automation, deliverables, logic_types, key_inputs, visible_first,
     )
 }

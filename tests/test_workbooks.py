@@ -6,6 +6,7 @@ import zipfile
 
 import pytest
 from books import HEADERS, STOCK, TRUTH, counted, depot_sheets, write_estate
+from gridloom.operators import detect
 from gridloom.plans import portfolio
 from gridloom.sinks import portfolio as sinks
 from gridloom.sources import triage, workbook
@@ -83,6 +84,22 @@ def test_regions_against_truth(tables):
     assert columns == {1: "text", 2: "text", 3: "number", 4: "number", 5: "number"}
 
 
+def test_labels_under_bands_of_several_rows(spark):
+    key = ("f", 0, 1)
+    cell = [(1, 1, "2024"), (1, 5, "Notes"), (2, 1, "H1"), (2, 3, "H2"), (3, 1, "In"), (3, 2, "Out"), (3, 3, "In"), (3, 5, "Text"), (4, 1, "x")]
+    cells = spark.createDataFrame([(*key, *c) for c in cell], "file_pk string, position int, region_id int, row int, col int, text string")
+    # A9:B9 lies below the region, C1:C4 spans rows
+    sheets = spark.createDataFrame([("f", 0, ["A1:D1", "A2:B2", "C2:D2", "A9:B9", "C1:C4", "junk"])], "file_pk string, position int, merges array<string>")
+    found = spark.createDataFrame([(*key, 1, 5, 8, 1, {1: 2, 2: 2, 3: 4, 4: 1}), ("f", 0, 2, 1, 2, 1, 1, {1: 2}), ("f", 0, 3, 1, 2, 5, None, {1: 2})], "file_pk string, position int, region_id int, left int, right int, bottom int, header_row int, filled map<int,bigint>")
+    out = {r["region_id"]: r for r in detect.merged_headers(found, detect.bands(sheets), cells).collect()}
+    assert out[1]["label_row"] == 3 and out[1]["labels"] == ["2024::H1::In", "2024::H1::Out", "2024::H2::In", "", "Text"] and out[1]["blanks"] == 1
+    # a region of one row has no row below its bands, and one without a header row has no labels
+    assert out[2]["label_row"] == 1 and out[2]["labels"] == ["", ""] and 3 not in out
+    # a row below that is less full does not take the header's place
+    thin = detect.merged_headers(found.where("region_id = 1").withColumn("filled", F.expr("map(1, 3L, 2, 2L, 3, 4L)")), detect.bands(sheets), cells).first()
+    assert thin["label_row"] == 1 and thin["labels"] == ["2024", "", "", "", "Notes"]
+
+
 def test_error_and_hidden_groups(result):
     group = of_depot(result, "error_group").collect()
     assert [(g["error"], g["region"], g["count"], g["sample_cells"], g["area_type"]) for g in group] == [("#DIV/0!", "K7:K10", 1, ["K9"], "final output")]
