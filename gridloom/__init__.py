@@ -16,9 +16,10 @@ from gridloom.plans.portfolio import accepted_claims, assess, findings, fingerpr
 from gridloom.sinks.portfolio import bundle, export_all, export_tables, write_page
 from gridloom.sources.triage import Unreadable
 from gridloom.sources.workbook import books, cells, discover, read
+from gridloom.streaming.changes import current, watch
 from gridloom.streaming.incremental import scan_new
 
 __all__ = [
-    "Unreadable", "accepted_claims", "analyse_formula", "assess", "books", "bundle", "cells", "clusters", "column_letters", "column_number", "connected", "detect_regions", "discover", "estate_pairs", "export_all", "export_tables",
-    "families", "find_components", "findings", "fingerprints", "insight", "narratives", "offered", "offline", "range_bounds", "read", "run", "save", "scan", "scan_new", "sheet_edges", "shortlist", "similar_pairs", "write_page",
+    "Unreadable", "accepted_claims", "analyse_formula", "assess", "books", "bundle", "cells", "clusters", "column_letters", "column_number", "connected", "current", "detect_regions", "discover", "estate_pairs", "export_all", "export_tables",
+    "families", "find_components", "findings", "fingerprints", "insight", "narratives", "offered", "offline", "range_bounds", "read", "run", "save", "scan", "scan_new", "sheet_edges", "shortlist", "similar_pairs", "watch", "write_page",
 ]

@@ -34,6 +34,15 @@ def rectangles(runs: DataFrame, keys: list[str], row_gap: int = 1) -> DataFrame:
     return marked.groupBy(*keys, "c1", "c2", "gl_box").agg(F.min("row").alias("r1"), F.max("row").alias("r2"), F.sum("n").alias("n")).drop("gl_box")
 
 
+def plates(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, flag, r1, r2, c1, c2, n: cells (row, col, flag) as rectangles of one flag without gaps, to be drawn one by one.
+
+    Runs of a row are joined to those right below that have the same columns; a null flag is no cell.
+    """
+    of = [*keys, "flag"]
+    return rectangles(row_runs(cells.where("flag is not null"), of), of, 0)
+
+
 def components(cells: DataFrame, keys: list[str], row_gap: int = 1, col_gap: int = 0) -> DataFrame:
     """keys, top, left, bottom, right, n_cells: bounding boxes of cells that hang together.
 

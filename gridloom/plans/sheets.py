@@ -29,6 +29,19 @@ def row_runs(spark: SparkSession, d: str) -> DataFrame:
 ROW_RUNS = f"WITH {_GRID}, g AS (SELECT *, c - row_number() OVER (PARTITION BY sheet, r ORDER BY c) AS k FROM cells) SELECT sheet, r AS row, min(c) AS c1, max(c) AS c2, count(*) AS n FROM g GROUP BY sheet, r, k"
 
 
+def occupancy_plates(spark: SparkSession, d: str) -> DataFrame:
+    """Populated cells as rectangles of one flag; the flag changes by columns and now and then by rows."""
+    flag = F.pmod(F.floor(F.col("row") / 7) + F.floor(F.col("col") / 3), F.lit(4)).cast("int") + 1
+    return regions.plates(_grid(spark, d).withColumn("flag", flag), ["sheet"])
+
+
+OCCUPANCY_PLATES = f"""
+WITH {_GRID}, x AS (SELECT *, CAST((r // 7 + c // 3) % 4 AS INT) + 1 AS flag FROM cells), g AS (SELECT *, c - row_number() OVER (PARTITION BY sheet, r, flag ORDER BY c) AS k FROM x),
+runs AS (SELECT sheet, flag, r, min(c) AS c1, max(c) AS c2, count(*) AS n FROM g GROUP BY sheet, flag, r, k), h AS (SELECT *, r - row_number() OVER (PARTITION BY sheet, flag, c1, c2 ORDER BY r) AS k FROM runs)
+SELECT sheet, flag, c1, c2, min(r) AS r1, max(r) AS r2, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY sheet, flag, c1, c2, k
+"""
+
+
 def component_boxes(spark: SparkSession, d: str) -> DataFrame:
     """Bounding boxes of cells that hang together."""
     return regions.components(_grid(spark, d), ["sheet"])
@@ -356,7 +369,7 @@ SELECT s_nationkey AS file, s_suppkey AS position, row_number() OVER (PARTITION
 QUERIES = {
     f.__name__: f
     for f in (
-        row_runs, component_boxes, region_kinds, header_rows, merged_headers, sheet_edges, sheet_degrees, sheet_rules, validation_flags, reconciliations, manual_evidence,
+        row_runs, occupancy_plates, component_boxes, region_kinds, header_rows, merged_headers, sheet_edges, sheet_degrees, sheet_rules, validation_flags, reconciliations, manual_evidence,
         calculation_descriptions, upstream_groups, downstream_roles, simplification, automation, deliverables, logic_types, key_inputs, visible_first,
     )
 }

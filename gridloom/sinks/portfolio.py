@@ -7,6 +7,7 @@ import hashlib
 import html
 import io
 import zipfile
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -96,8 +97,8 @@ def export_all(result: dict[str, DataFrame], folder: str) -> list[Path]:
     return out
 
 
-def write_page(path: str | Path, title: str, tables: dict[str, DataFrame]) -> None:
-    """A page without scripts or outside parts: one table each, all text escaped, written row by row."""
+def write_page(path: str | Path, title: str, tables: dict[str, DataFrame], drawn: Iterable[str] = ()) -> None:
+    """A page without scripts or outside parts: one table each, all text escaped, written row by row; then what is ``drawn``, piece by piece."""
     with Path(path).open("w", encoding="utf-8") as out:
         out.write(f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title><style>body{{font-family:sans-serif}}td,th{{border:1px solid #ccc;padding:2px 6px}}</style></head><body><h1>{html.escape(title)}</h1>")
         for k, df in tables.items():
@@ -105,6 +106,8 @@ def write_page(path: str | Path, title: str, tables: dict[str, DataFrame]) -> No
             for r in text_columns(df).toLocalIterator():
                 out.write("<tr>" + "".join(f"<td>{html.escape('—' if x is None else str(x))}</td>" for x in r) + "</tr>")
             out.write("</table>")
+        for piece in drawn:
+            out.write(piece)
         out.write("</body></html>")
 
 

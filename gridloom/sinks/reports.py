@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import html
 import json
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators import regions
 from gridloom.plans import endpoints
 from gridloom.sinks import xlsx
 from gridloom.sinks.portfolio import text_columns, write_csv, write_page
@@ -49,6 +52,34 @@ def plate(cells: Column) -> Column:
     return F.when(F.size(cells) > 0, F.array_join(F.transform(F.sequence(F.lit(1), tall), line), "\n"))
 
 
+#: Colours of the flags: values, formulas, errors, texts.
+COLOURS = {1: "#7fb3a6", 2: "#4a6fa5", 3: "#c0392b", 4: "#c9c4b5"}
+
+
+def plates(t: Tables, file_pk: str) -> DataFrame:
+    """The corners of a file's sheets as rectangles of one flag, in drawing order; a sheet without cells has one row without a rectangle."""
+    corner = t["occupancy"].where(F.col("file_pk") == file_pk).select("position", "truncated", F.explode("occupancy").alias("x")).select("position", "truncated", F.col("x.r").alias("row"), F.col("x.c").alias("col"), "x.flag")
+    boxes = regions.plates(corner, ["position", "truncated"])
+    names = t["sheet"].where(F.col("file_pk") == file_pk).select("position", "name")
+    return names.join(boxes, "position", "left").orderBy("position", "r1", "c1", "flag")
+
+
+def drawing(rows: Iterable, side: int = 6) -> Iterator[str]:
+    """Rows of ``plates`` as drawings, a piece a row: nothing but the row at hand is held."""
+    open_at = None
+    for r in rows:
+        if r["position"] != open_at:
+            if open_at is not None:
+                yield "</svg>"
+            open_at = r["position"]
+            more = ": upper left corner" if r["truncated"] else ""
+            yield f"<h3>{html.escape(r['name'])}{more}</h3><svg width='{60 * side}' height='{120 * side}' viewBox='0 0 60 120' role='img'>"
+        if r["r1"] is not None:
+            yield f"<rect x='{r['c1'] - 1}' y='{r['r1'] - 1}' width='{r['c2'] - r['c1'] + 1}' height='{r['r2'] - r['r1'] + 1}' fill='{COLOURS[r['flag']]}'/>"
+    if open_at is not None:
+        yield "</svg>"
+
+
 def file_tables(t: Tables, file_pk: str) -> Tables:
     """The sheets of a file's report, by title."""
     own = endpoints.file(t, file_pk)
@@ -79,8 +110,10 @@ def write_file_report(t: Tables, file_pk: str, path: str) -> None:
 
 
 def write_file_page(t: Tables, file_pk: str, path: str) -> None:
-    """The report as a page."""
-    write_page(path, f"Workbook {file_pk}", file_tables(t, file_pk))
+    """The report as a page, with the sheets' occupancy drawn."""
+    parts = file_tables(t, file_pk)
+    parts["Occupancy"] = parts["Occupancy"].drop("plate")
+    write_page(path, f"Workbook {file_pk}", parts, drawing(plates(t, file_pk).toLocalIterator()))
 
 
 def estate_tables(t: Tables) -> Tables:

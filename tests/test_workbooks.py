@@ -9,6 +9,7 @@ from books import HEADERS, STOCK, TRUTH, counted, depot_sheets, write_estate
 from gridloom.operators import detect
 from gridloom.plans import portfolio
 from gridloom.sinks import portfolio as sinks
+from gridloom.sinks import reports
 from gridloom.sources import triage, workbook
 from pyspark.sql import functions as F
 
@@ -100,6 +101,23 @@ def test_labels_under_bands_of_several_rows(spark):
     assert thin["label_row"] == 1 and thin["labels"] == ["2024", "", "", "", "Notes"]
 
 
+def test_plates_cover_a_whole_corner_cell_by_cell(spark):
+    flag = lambda r, c: 3 if (r * c) % 11 == 0 else 2 if c > 40 else 4 if r < 9 else 1 if r % 10 else None
+    cells = {(r, c): flag(r, c) for r in range(1, 121) for c in range(1, 61)}
+    cell = "array<struct<r:int,c:int,flag:int>>"
+    table = spark.createDataFrame([("f", 0, False, [(*at, x) for at, x in cells.items() if x]), ("f", 1, None, [])], f"file_pk string, position int, truncated boolean, occupancy {cell}")
+    names = spark.createDataFrame([("f", 0, "A & B"), ("f", 1, "Empty"), ("g", 0, "Other")], "file_pk string, position int, name string")
+    found = reports.plates({"occupancy": table, "sheet": names}, "f").collect()
+    drawn = {}
+    for p in found[:-1]:
+        for at in ((r, c) for r in range(p["r1"], p["r2"] + 1) for c in range(p["c1"], p["c2"] + 1)):
+            assert at not in drawn
+            drawn[at] = p["flag"]
+    assert drawn == {at: x for at, x in cells.items() if x} and len(found) < len(drawn) / 2
+    page = "".join(reports.drawing(found))
+    assert page.count("<rect") == len(found) - 1 and page.count("<svg") == page.count("</svg>") == 2 and "A &amp; B" in page and "Other" not in page
+
+
 def test_error_and_hidden_groups(result):
     group = of_depot(result, "error_group").collect()
     assert [(g["error"], g["region"], g["count"], g["sample_cells"], g["area_type"]) for g in group] == [("#DIV/0!", "K7:K10", 1, ["K9"], "final output")]
@@ -222,7 +240,6 @@ def test_command_line(spark, tmp_path, capsys):
 
 def test_endpoints_and_reports(spark, result, tmp_path):
     from gridloom.plans import endpoints
-    from gridloom.sinks import reports
 
     assert tuple(endpoints.overview(result).first()) == (4, 3, 2, 2)
     assert rows(endpoints.files(result, "DEPOT", "full", 1, 5), "file_name") == [("depot.xlsx",)]
@@ -234,7 +251,7 @@ def test_endpoints_and_reports(spark, result, tmp_path):
     reports.write_file_report(result, pk[1], str(tmp_path / "one.xlsx"))
     assert len(workbook.Package((tmp_path / "one.xlsx").read_bytes()).sheets) == 13
     reports.write_file_page(result, pk[1], str(tmp_path / "one.html"))
-    assert "stockList" not in (tmp_path / "one.html").read_text() and "SKU-0002" not in (tmp_path / "one.html").read_text()
+    assert "stockList" not in (tmp_path / "one.html").read_text() and "SKU-0002" not in (tmp_path / "one.html").read_text() and (tmp_path / "one.html").read_text().count("<svg") == 5
     assert [f.stat().st_size > 0 for f in reports.write_estate(result, str(tmp_path))] == [True] * 3
     endpoints.views(result, "gl_")
     assert spark.sql("select count(*) n from gl_sheet_fact where state <> 'visible'").first()["n"] == 2
