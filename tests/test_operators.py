@@ -237,6 +237,21 @@ def test_areas_and_blocks(spark):
     assert spark.createDataFrame(spans[:1], "a long, b long").select(F.size(intervals.blocks(F.col("a"), F.col("b")))).first()[0] == 1
 
 
+def test_areas_of_tables_taller_than_a_sheet(spark):
+    from gridloom.operators import intervals, precedents
+
+    n = 1 << 20
+    spans = [(n, n + 1), (n + 1, n + 7), (2 * n + 1, 3 * n), (5 * n - 3, 5 * n + 3), (1, 7 * n + 5)]
+    for r in spark.createDataFrame(spans, "a long, b long").select("a", "b", intervals.blocks(F.col("a"), F.col("b")).alias("x")).collect():
+        held = sorted(((q["block"] << q["level"]) + 1, (q["block"] + 1) << q["level"]) for q in r["x"])
+        assert (held[0][0], held[-1][1]) == (r["a"], r["b"]) and all(x[1] + 1 == y[0] for x, y in itertools.pairwise(held))
+    cells = spark.createDataFrame([("f", "S", 3 * n + i, 1, f"=SUM(A{3 * n + i + 1}:A{3 * n + i + 3})") for i in range(5)] + [("f", "S", 7, 1, "=SUM(A:A)")], "file string, sheet string, row long, col long, formula string")
+    got = precedents.sizes(precedents.nodes(precedents.edges(cells, formulas.ANY_ROW)), cells.select("file", "sheet", "row", "col"))
+    # a whole column is a workbook's
+    assert {r["top"]: r["cells"] for r in got.collect()} == {**{3 * n + i + 1: min(3, 4 - i) for i in range(5)}, 1: 1}
+    assert precedents.edges(cells).count() == 1
+
+
 def test_precedents_by_plain_search(spark):
     """Areas, what they hold and what depends on a cell, against loops; circular references end."""
     from gridloom.operators import precedents
