@@ -218,6 +218,27 @@ def test_equal_files_are_offered_in_linear_rows(spark):
     assert similarity.similar_pairs(spark.createDataFrame([(i, "skeleton", f"t{i}") for i in range(500)], "file long, signal string, token string")).count() == 0
 
 
+def test_estates_by_classes_equal_those_by_pairs(spark):
+    rnd = random.Random(4)
+    rows = [(f, s, f"{s}{f // 6}.{rnd.randrange(4)}") for f in range(60) for s in ("skeleton", "input", "output", "header") for _ in range(rnd.randrange(3))]
+    # copies, some of another topology
+    rows += [(100 * (i + 1) + f, s, t) for i in range(3) for f, s, t in rows if f < 40]
+    df = spark.createDataFrame(rows, "file long, signal string, token string")
+    files = df.select("file").distinct().union(spark.createDataFrame([(999,)], "file long")).cache()
+    topo = files.select("file", *(F.pmod(F.col("file") * (i + 2), F.lit(3)).alias(f"k{i}") for i in range(7)))
+    whole, (pairs, members) = similarity.estate_pairs(df, topo).cache(), similarity.estate_classes(df, topo)
+    by_pairs, by_classes = similarity.clusters(whole, files).cache(), similarity.clusters(pairs, files, members).cache()
+    assert sorted(map(tuple, by_classes.collect())) == sorted(map(tuple, by_pairs.collect())) and by_pairs.where("size > 4").select("cluster").distinct().count() > 1
+    plain, fast = similarity.families(whole, by_pairs, df), similarity.families(pairs, by_classes, df, members=members)
+    assert sorted(map(str, fast.collect())) == sorted(map(str, plain.collect())) and pairs.count() < whole.count()
+    # a family of very many equal files is one pair of classes
+    n = 200_000
+    equal = spark.range(n).select(F.col("id").alias("file"), F.lit("skeleton").alias("signal"), F.lit("t").alias("token"))
+    pairs, members = similarity.estate_classes(equal, equal.select("file", *(F.lit(1).alias(f"k{i}") for i in range(7))))
+    cluster = similarity.clusters(pairs, equal.select("file"), members)
+    assert similarity.families(pairs, cluster, equal, members=members).select("size", "pairs").collect() == [(n, n * (n - 1) // 2)]
+
+
 def test_areas_and_blocks(spark):
     from gridloom.operators import intervals, precedents
 
