@@ -273,6 +273,18 @@ def test_areas_of_tables_taller_than_a_sheet(spark):
     assert precedents.edges(cells).count() == 1
 
 
+def test_long_chains_of_dependants_leave_one_table(spark):
+    from gridloom import storage
+    from gridloom.operators import precedents
+
+    cells = [(f, "S", r, 1, f"=A{r - 1}") for f, n in (("x", 20), ("y", 3), ("z", 9)) for r in range(2, n + 1)]
+    edge = precedents.edges(spark.createDataFrame(cells, "file string, sheet string, row long, col long, formula string")).cache()
+    before = storage.mark()
+    got = precedents.affected(edge, spark.createDataFrame([(f, "S", 1, 1) for f in "xy"], "file string, sheet string, row long, col long"))
+    assert storage.mark() == before + 1
+    assert {(r["file"], r["row"]): r["steps"] for r in got.collect()} == {(f, r): r - 1 for f, n in (("x", 20), ("y", 3)) for r in range(2, n + 1)}
+
+
 def test_precedents_by_plain_search(spark):
     """Areas, what they hold and what depends on a cell, against loops; circular references end."""
     from gridloom.operators import precedents
