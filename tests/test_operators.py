@@ -273,6 +273,18 @@ def test_areas_of_tables_taller_than_a_sheet(spark):
     assert precedents.edges(cells).count() == 1
 
 
+def test_edges_of_one_nation_are_dealt(spark, tmp_path):
+    from gridloom.plans import sheets
+
+    spark.range(1, 601).select(F.col("id").alias("s_suppkey"), F.lit(3).alias("s_nationkey")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    edge = sheets._edges(spark, str(tmp_path))
+    want = {(a, b) for a in range(1, 601) for b in range(1, 601) if a % 5 and (a + b) % 3 == 0}
+    met = edge.where("n = 1").withColumn("task", F.spark_partition_id()).cache()
+    assert {(int(r["src"].split()[-1]), int(r["dst"].split()[-1])) for r in met.collect()} == want and met.count() == len(want)
+    # no task makes them all
+    assert met.groupBy("task").count().agg(F.max("count")).first()[0] < len(want) / 2
+
+
 def test_long_chains_of_dependants_leave_one_table(spark):
     from gridloom import storage
     from gridloom.operators import precedents
