@@ -22,3 +22,7 @@ def test_pairs_of_files_are_dealt_over_all_tasks(spark):
     assert pairs.count() == 90_000
     sizes = [n for n in pairs.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
     assert len(sizes) > 1 and max(sizes) < 45_000
+
+
+def test_tokens_read_line_items_once_for_each_sum(spark, plan):
+    assert plan(similar._tokens(spark, SMALL)).count("lineitem.parquet") == 2
