@@ -89,15 +89,17 @@ def reconciliations(answers: DataFrame, tabs: DataFrame) -> DataFrame:
     claims the first holds.  All texts are compared without case and outer white space.
     """
     fold = lambda c: F.lower(F.trim(c))
-    item = answers.select("file", F.from_json("answer", CLAIMS).alias("a"))
-    item = item.select("file", F.posexplode("a.reconciliations").alias("at", "c")).where("c is not null")
-    claim = item.select("file", "at", *(F.trim(F.coalesce(f"c.{k}", F.lit(""))).alias(k) for k in ("worksheet", "source_a", "source_b", "matching_criteria", "tolerance", "exception_logic")), F.coalesce("c.evidence", F.array().cast("array<struct<worksheet: string, text: string>>")).alias("cited"))
     said = F.flatten(F.transform("candidates", lambda x: F.concat(F.array(x["source_a"], x["source_b"]), x["cues"])))
     allowed = F.array_distinct(F.transform(_distinct(F.concat(F.array("name"), "headers", F.coalesce(said, F.array().cast("array<string>")))), fold))
+    # a file's sheets beside its answer: claims, cut out of the answer where they meet, need not move by themselves
+    sheets = tabs.where("name is not null").select("file", F.struct("name", fold(F.col("name")).alias("sheet"), allowed.alias("allowed")).alias("t")).groupBy("file").agg(F.collect_list("t").alias("sheets"))
     # of sheets with one folded name the last counts
-    place = F.row_number().over(Window.partitionBy("file", "sheet").orderBy(F.desc("name")))
-    known = tabs.select("file", fold(F.col("name")).alias("sheet"), "name", allowed.alias("allowed")).withColumn("gl_at", place).where("gl_at = 1").drop("gl_at")
-    met = claim.withColumn("sheet", fold(F.col("worksheet"))).join(known, ["file", "sheet"])
+    last = F.array_sort("sheets", lambda x, y: F.when(x["name"] > y["name"], -1).when(x["name"] < y["name"], 1).otherwise(0))
+    item = answers.join(sheets, "file").select("file", last.alias("sheets"), F.from_json("answer", CLAIMS).alias("a"))
+    item = item.select("file", "sheets", F.posexplode("a.reconciliations").alias("at", "c")).where("c is not null")
+    claim = item.select("file", "sheets", "at", *(F.trim(F.coalesce(f"c.{k}", F.lit(""))).alias(k) for k in ("worksheet", "source_a", "source_b", "matching_criteria", "tolerance", "exception_logic")), F.coalesce("c.evidence", F.array().cast("array<struct<worksheet: string, text: string>>")).alias("cited"))
+    claim = claim.withColumn("sheet", fold(F.col("worksheet")))
+    met = claim.withColumn("known", F.get(F.filter("sheets", lambda x: x["sheet"] == F.col("sheet")), F.lit(0))).drop("sheets").where("known is not null").select("*", "known.name", "known.allowed").drop("known")
     has = lambda c: F.array_contains("allowed", fold(c))
     kept = F.transform(F.filter("cited", lambda e: (fold(e["worksheet"]) == F.col("sheet")) & has(e["text"])), lambda e: F.trim(e["text"]))
     met = met.withColumn("evidence", F.coalesce(kept, F.array().cast("array<string>")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators import bundles as B
@@ -63,15 +63,19 @@ def reconciliation_gate(spark: SparkSession, d: str) -> DataFrame:
     name = F.when(k % 4 == 0, F.concat(F.lit("Recon "), k.cast("string"))).otherwise(F.concat(F.lit("Check "), k.cast("string")))
     heads = F.array_compact(F.array("o_orderpriority", F.concat(F.lit("Status "), F.col("o_orderstatus")), F.when(k % 3 == 0, "Variance"), F.lit(""), F.lit("Limit")))
     tabs = o.select(k.alias("file"), name.alias("name"), heads.alias("headers"), F.array(F.struct(F.lit("Ledger").alias("source_a"), F.lit("Bank").alias("source_b"), F.array(F.lit("agreed")).alias("cues"))).alias("candidates"))
-    n, p = F.col("l_linenumber"), F.col("l_partkey")
+    # an order's lines as numbers; its claims are made of them where they have met the order
+    lines = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("lines"))
+    joined = lines.join(o.withColumn("name", name).withColumn("o_clerk", F.lit("nowhere")), F.col("l_orderkey") == k)
     status = F.concat(F.lit(" STATUS "), F.col("o_orderstatus"), F.lit(" "))
-    source = F.when(n % 4 == 0, F.upper("o_orderpriority")).when(n % 4 == 3, "made up").otherwise(status)
     cite = lambda text, sheet="name": F.struct(F.upper(sheet).alias("worksheet"), text.alias("text"))
-    cites = F.array_compact(F.array(cite(F.lower("o_orderpriority")), F.when(p % 3 != 0, cite(status)), cite(F.lit("variance ")), F.when(p % 5 == 0, cite(F.lit("Agreed"))), cite(F.lit("Bank"), "o_clerk"), cite(F.lit("other"))))
-    joined = li.join(o.withColumn("name", name).withColumn("o_clerk", F.lit("nowhere")), F.col("l_orderkey") == k)
-    claim = F.struct(F.when(n % 5 == 0, "nowhere").otherwise(F.upper("name")).alias("worksheet"), F.lower("o_orderpriority").alias("source_a"), source.alias("source_b"), F.when(p % 2 == 0, "LIMIT").otherwise("none").alias("matching_criteria"), F.when(p % 7 == 0, "bank").alias("tolerance"), cites.alias("evidence"))
-    ordered = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", claim.alias("c"))))
-    answers = joined.groupBy(k.alias("file")).agg(F.to_json(F.struct(F.transform(ordered, lambda x: x["c"]).alias("reconciliations"))).alias("answer"))
+
+    def claim(line: Column) -> Column:
+        n, p = line["l_linenumber"], line["l_partkey"]
+        source = F.when(n % 4 == 0, F.upper("o_orderpriority")).when(n % 4 == 3, "made up").otherwise(status)
+        cites = F.array_compact(F.array(cite(F.lower("o_orderpriority")), F.when(p % 3 != 0, cite(status)), cite(F.lit("variance ")), F.when(p % 5 == 0, cite(F.lit("Agreed"))), cite(F.lit("Bank"), "o_clerk"), cite(F.lit("other"))))
+        return F.struct(F.when(n % 5 == 0, "nowhere").otherwise(F.upper("name")).alias("worksheet"), F.lower("o_orderpriority").alias("source_a"), source.alias("source_b"), F.when(p % 2 == 0, "LIMIT").otherwise("none").alias("matching_criteria"), F.when(p % 7 == 0, "bank").alias("tolerance"), cites.alias("evidence"))
+
+    answers = joined.select(k.alias("file"), F.to_json(F.struct(F.transform("lines", claim).alias("reconciliations"))).alias("answer"))
     # answers that are none
     answers = answers.withColumn("answer", F.when(F.col("file") % 11 == 0, F.concat(F.lit("Here it is: "), "answer")).when(F.col("file") % 13 == 0, '{"reconciliations": "none"}').otherwise(F.col("answer")))
     out = B.reconciliations(answers, tabs)

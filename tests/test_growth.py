@@ -26,3 +26,7 @@ def test_pairs_of_files_are_dealt_over_all_tasks(spark):
 
 def test_tokens_read_line_items_once_for_each_sum(spark, plan):
     assert plan(similar._tokens(spark, SMALL)).count("lineitem.parquet") == 2
+
+
+def test_reconciliations_move_answers_not_claims(spark, plan):
+    assert plan(bundles.reconciliation_gate(spark, SMALL)).count("Exchange ") == 3
