@@ -115,9 +115,10 @@ def overview(spark: SparkSession, d: str) -> DataFrame:
 OVERVIEW = f"WITH {_FILES} SELECT count(*) AS files, count(*) FILTER (status <> 'failed') AS scanned, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(hidden) AS BIGINT) AS hidden FROM files"
 
 
-def _cells(spark: SparkSession, d: str) -> DataFrame:
-    """Line items as long cells: sheets of orders, one column per field."""
-    li = table(spark, d, "lineitem").withColumn("sheet", F.floor(F.col("l_orderkey") / 50))
+def _cells(spark: SparkSession, d: str, by: str | None = None) -> DataFrame:
+    """Line items as long cells: sheets of orders, one column per field; ``by``: line items dealt by that column, before they are five cells each."""
+    li = table(spark, d, "lineitem")
+    li = (li if by is None else li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate").repartition(by)).withColumn("sheet", F.floor(F.col("l_orderkey") / 50))
     gap = F.pmod(F.col("l_orderkey") * 7 + F.col("l_linenumber") * 3, F.lit(5)) == 0
     cell = lambda c, text, number, date: F.struct(F.lit(c).alias("col"), text.cast("string").alias("text"), F.lit(number).alias("is_number"), F.lit(date).alias("is_date"))
     values = F.array(cell(1, F.col("l_returnflag"), False, False), cell(2, F.col("l_linenumber"), True, False), cell(3, F.date_format("l_shipdate", "yyyy-MM-dd"), False, True), cell(4, F.when(gap, F.lit(None)).otherwise(F.col("l_linestatus")), False, False), cell(5, F.when(gap, F.col("l_returnflag")).otherwise(F.col("l_suppkey").cast("string")), True, False))
@@ -151,7 +152,7 @@ FROM (SELECT sheet, unnest([1, 2, 3, 4, 5, 6]) AS col FROM n) LEFT JOIN p USING
 
 def row_profile(spark: SparkSession, d: str) -> DataFrame:
     """Shares of text, style and formulas of each row of the sheets."""
-    cells = _cells(spark, d).select("sheet", "l_orderkey", "text", (~F.col("is_number") & ~F.col("is_date")).alias("is_text"), (F.col("col") <= 2).alias("is_styled"), (F.col("col") == 2).alias("is_formula"), F.lit(40).alias("width"))
+    cells = _cells(spark, d, "l_orderkey").select("sheet", "l_orderkey", "text", (~F.col("is_number") & ~F.col("is_date")).alias("is_text"), (F.col("col") <= 2).alias("is_styled"), (F.col("col") == 2).alias("is_formula"), F.lit(40).alias("width"))
     out = profiles.row_profile(cells, ["sheet"], "l_orderkey")
     return out.select("sheet", "l_orderkey", "n", *(F.round(c, 6).alias(c) for c in ("text_ratio", "styled", "distinct", "density", "formula_ratio")))
 

@@ -30,3 +30,7 @@ def test_tokens_read_line_items_once_for_each_sum(spark, plan):
 
 def test_reconciliations_move_answers_not_claims(spark, plan):
     assert plan(bundles.reconciliation_gate(spark, SMALL)).count("Exchange ") == 3
+
+
+def test_row_profile_moves_line_items_once(spark, plan):
+    assert plan(aggregates.row_profile(spark, SMALL)).count("Exchange ") == 1
