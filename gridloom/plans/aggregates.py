@@ -360,11 +360,14 @@ def pair_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag").distinct()
-    a, b = li.alias("a"), li.alias("b")
-    met = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_suppkey") < F.col("b.l_suppkey")))
-    kind = F.when(F.col("a.l_returnflag") == F.col("b.l_returnflag"), "Duplicate").otherwise("Related")
-    return met.select(F.col("a.l_suppkey").alias("file_a"), F.col("b.l_suppkey").alias("file_b"), kind.alias("relationship")).distinct()
+    # line items move once, by order; then each pair of suppliers has one row with both kinds, whose key is two numbers
+    of = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.struct("l_suppkey", "l_returnflag")).alias("s"))
+    one = of.select("s", F.explode("s").alias("a"))
+    met = one.select("a", F.explode(F.filter("s", lambda x: x["l_suppkey"] > F.col("a.l_suppkey"))).alias("b"))
+    same = F.coalesce(F.col("a.l_returnflag") == F.col("b.l_returnflag"), F.lit(False))
+    pairs = met.groupBy(F.col("a.l_suppkey").alias("file_a"), F.col("b.l_suppkey").alias("file_b")).agg(F.bool_or(same).alias("same"), F.bool_or(~same).alias("other"))
+    kinds = F.array_compact(F.array(F.when(F.col("same"), "Duplicate"), F.when(F.col("other"), "Related")))
+    return pairs.select("file_a", "file_b", F.explode(kinds).alias("relationship"))
 
 
 _PAIRS = """li AS (SELECT DISTINCT l_orderkey, l_suppkey, l_returnflag FROM lineitem),

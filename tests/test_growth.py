@@ -34,3 +34,8 @@ def test_reconciliations_move_answers_not_claims(spark, plan):
 
 def test_row_profile_moves_line_items_once(spark, plan):
     assert plan(aggregates.row_profile(spark, SMALL)).count("Exchange ") == 1
+
+
+def test_pairs_of_suppliers_read_line_items_once(spark, plan):
+    text = plan(aggregates._pairs(spark, SMALL))
+    assert text.count("FileScan") == 1 and text.count("Exchange ") == 2
