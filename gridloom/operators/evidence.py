@@ -30,10 +30,11 @@ def evidence_rows(wide: DataFrame, entity: str, fields: list[str]) -> DataFrame:
 
 def valid_citations(claims: DataFrame, citations: DataFrame, evidence: DataFrame) -> DataFrame:
     """Citations of a claim's own files that match their evidence, letters in either case."""
-    about = claims.select("claim", F.explode(F.array_compact(F.array("entity", "peer"))).alias("entity"))
-    own = citations.join(about, ["claim", "entity"], "left_semi")
+    # both sides meet by the claim alone, by which what follows is grouped
+    about = claims.groupBy("claim").agg(F.flatten(F.collect_set(F.array_compact(F.array("entity", "peer")))).alias("gl_about"))
     fold = lambda df: df.withColumn("gl_field", F.lower("field")).withColumn("gl_text", F.lower("text"))
-    return fold(own).join(fold(evidence).select("entity", "gl_field", "gl_text"), ["entity", "gl_field", "gl_text"], "left_semi")
+    known = fold(citations).drop("field", "text").join(fold(evidence).select("entity", "gl_field", "gl_text"), ["entity", "gl_field", "gl_text"], "left_semi")
+    return known.join(about, "claim").where(F.array_contains("gl_about", F.col("entity"))).drop("gl_about")
 
 
 def accepted(claims: DataFrame, citations: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -38,10 +38,12 @@ def accepted_claims(spark: SparkSession, d: str) -> DataFrame:
     )
     at = claims.select("claim", F.explode(F.array_compact(F.array("entity", "peer"))).alias("c_custkey"))
     known = at.join(table(spark, d, "customer"), "c_custkey")
-    name = known.select("claim", F.col("c_custkey").alias("entity"), F.lit("KEY OUTPUTS").alias("field"), F.upper("c_name").alias("text"))
-    purpose = known.where("claim % 13 <> 0").select("claim", F.col("c_custkey").alias("entity"), F.lit("purpose of file").alias("field"), F.concat_ws(" ", F.col("c_mktsegment"), F.when(F.pmod("c_custkey", F.lit(4)) == 0, "manual").when(F.pmod("c_custkey", F.lit(4)) == 1, "obsolete")).alias("text"))
-    wrong = known.select("claim", F.col("c_custkey").alias("entity"), F.lit("Key Outputs").alias("field"), F.lit("made up").alias("text"))
-    return ev.accepted(claims, name.union(purpose).union(wrong), _evidence(spark, d))
+    said = F.concat_ws(" ", F.col("c_mktsegment"), F.when(F.pmod("c_custkey", F.lit(4)) == 0, "manual").when(F.pmod("c_custkey", F.lit(4)) == 1, "obsolete"))
+    cite = lambda field, text: F.struct(F.lit(field).alias("field"), text.alias("text"))
+    # three citations of a customer from one join
+    each = F.array_compact(F.array(cite("KEY OUTPUTS", F.upper("c_name")), F.when(F.col("claim") % 13 != 0, cite("purpose of file", said)), cite("Key Outputs", F.lit("made up"))))
+    citations = known.select("claim", F.col("c_custkey").alias("entity"), F.inline(each))
+    return ev.accepted(claims, citations, _evidence(spark, d))
 
 
 _TEXT = "c_mktsegment || CASE c_custkey % 4 WHEN 0 THEN ' manual' WHEN 1 THEN ' obsolete' ELSE '' END"

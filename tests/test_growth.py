@@ -39,3 +39,8 @@ def test_row_profile_moves_line_items_once(spark, plan):
 def test_pairs_of_suppliers_read_line_items_once(spark, plan):
     text = plan(aggregates._pairs(spark, SMALL))
     assert text.count("FileScan") == 1 and text.count("Exchange ") == 2
+
+
+def test_claims_join_customers_once(spark, plan):
+    text = plan(gates.accepted_claims(spark, SMALL))
+    assert text.count("customer.parquet") == 2 and text.count("orders.parquet") == 3
