@@ -118,7 +118,8 @@ OVERVIEW = f"WITH {_FILES} SELECT count(*) AS files, count(*) FILTER (status <>
 def _cells(spark: SparkSession, d: str, by: str | None = None) -> DataFrame:
     """Line items as long cells: sheets of orders, one column per field; ``by``: line items dealt by that column, before they are five cells each."""
     li = table(spark, d, "lineitem")
-    li = (li if by is None else li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate").repartition(by)).withColumn("sheet", F.floor(F.col("l_orderkey") / 50))
+    # with a number given, small parts are not joined up: five cells each take more memory than they move
+    li = (li if by is None else li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), by)).withColumn("sheet", F.floor(F.col("l_orderkey") / 50))
     gap = F.pmod(F.col("l_orderkey") * 7 + F.col("l_linenumber") * 3, F.lit(5)) == 0
     cell = lambda c, text, number, date: F.struct(F.lit(c).alias("col"), text.cast("string").alias("text"), F.lit(number).alias("is_number"), F.lit(date).alias("is_date"))
     values = F.array(cell(1, F.col("l_returnflag"), False, False), cell(2, F.col("l_linenumber"), True, False), cell(3, F.date_format("l_shipdate", "yyyy-MM-dd"), False, True), cell(4, F.when(gap, F.lit(None)).otherwise(F.col("l_linestatus")), False, False), cell(5, F.when(gap, F.col("l_returnflag")).otherwise(F.col("l_suppkey").cast("string")), True, False))
