@@ -71,3 +71,36 @@ def test_spool_can_be_cleared(spark):
     assert df.count() == 3 and os.path.isdir(folder)
     common.clear_spool(spark)
     assert not os.path.exists(folder)
+
+
+def test_only_texts_that_may_go_are_moved(spark, monkeypatch):
+    """Rows that are not among the ids looked for stay where they are, but for few that share their bits; none of the ids is lost."""
+    from gridloom.llm import neardup
+
+    docs = spark.range(20_000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    gone = spark.range(0, 20_000, 100).selectExpr("id as gl_gone")
+    may, rest = neardup.parted(docs, "doc_id", gone)
+    # the one shuffle is that of the bits
+    plan = rest._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and "SortMergeJoin" not in plan
+    assert may.columns == rest.columns == docs.columns
+    held = {r["doc_id"] for r in may.collect()}
+    assert set(range(0, 20_000, 100)) <= held and len(held) < 250 and rest.count() == 20_000 - len(held)
+    # with few bits most are looked up, and the result is the same
+    for bits in (64, 1 << 26):
+        monkeypatch.setattr(neardup, "BITS", bits)
+        assert {r["doc_id"] for r in neardup.without(docs, "doc_id", gone).collect()} == {i for i in range(20_000) if i % 100}
+    empty = neardup.without(docs, "doc_id", gone.where("gl_gone < 0"))
+    assert empty.count() == 20_000
+
+
+def test_near_duplicates_join_no_whole_table_of_texts(spark, docs):
+    """The stage's last step moves ids and texts that may go, not every text to meet the ids that stay."""
+    from gridloom.llm import neardup
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = neardup.deduplicated(docs[0])._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "LeftSemi" not in text and "Union" in text
