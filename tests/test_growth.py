@@ -44,3 +44,13 @@ def test_pairs_of_suppliers_read_line_items_once(spark, plan):
 def test_claims_join_customers_once(spark, plan):
     text = plan(gates.accepted_claims(spark, SMALL))
     assert text.count("customer.parquet") == 2 and text.count("orders.parquet") == 3
+
+
+def test_pairs_that_fail_are_not_moved(spark, monkeypatch):
+    """Orders share parts, shelves and suppliers with many others: pairs are decided where they meet."""
+    tried = []
+    paired = sim.paired
+    monkeypatch.setattr(sim, "paired", lambda sets, found: tried.append(found) or paired(sets, found))
+    n = sim.similar_pairs(similar._orders(spark, SMALL)).count()
+    found = tried[0].collect()
+    assert n and len(found) <= 2 * n and len(set(found)) == len(found)
