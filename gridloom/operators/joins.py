@@ -23,19 +23,21 @@ def _laid(boxes: DataFrame, size: int) -> DataFrame:
     return boxes.withColumn("gl_block", F.explode(F.sequence(_block(F.col("top"), size), _block(F.col("bottom"), size))))
 
 
-def _inside() -> Column:
-    return F.col("row").between(F.col("top"), F.col("bottom")) & F.col("col").between(F.col("left"), F.col("right"))
-
-
-def cell_regions(points: DataFrame, boxes: DataFrame, keys: list[str], order: list[str], size: int = BLOCK) -> DataFrame:
+def cell_regions(points: DataFrame, boxes: DataFrame, keys: list[str], order: list[str], size: int = BLOCK, once: int | None = None) -> DataFrame:
     """Every point (keys, row, col) with the first box by ``order`` that holds it, or nulls.
 
-    boxes: keys, top, left, bottom, right, and the columns of ``order``.
+    boxes: keys, top, left, bottom, right, and the columns of ``order``.  A point meets the boxes of its block as one row, so
+    points are neither multiplied nor joined again.  once: equal points are one, in so many tasks, without moving once more.
     """
-    place = F.struct(*order, "top", "left", "bottom", "right")
-    met = points.select(*keys, "row", "col").distinct().withColumn("gl_block", _block(F.col("row"), size)).join(_laid(boxes, size), [*keys, "gl_block"]).where(_inside())
-    first = met.groupBy(*keys, "row", "col").agg(F.min(place).alias("box"))
-    return points.join(first, [*keys, "row", "col"], "left")
+    dealt = lambda df: df if once is None else df.repartition(once, *keys, "gl_block")
+    place = F.struct(*dict.fromkeys([*order, "top", "left", "bottom", "right"]))
+    held = dealt(_laid(boxes, size)).groupBy(*keys, "gl_block").agg(F.collect_list(place).alias("gl_boxes"))
+    own = dealt(points.withColumn("gl_block", _block(F.col("row"), size)))
+    if once is not None:
+        own = own.distinct()
+    inside = lambda b: F.col("row").between(b["top"], b["bottom"]) & F.col("col").between(b["left"], b["right"])
+    # merged, since boxes are guessed to be as small as their files and would be sent to every task
+    return own.join(held.hint("merge"), [*keys, "gl_block"], "left").withColumn("box", F.array_min(F.filter("gl_boxes", inside))).drop("gl_block", "gl_boxes")
 
 
 def unclaimed(points: DataFrame, boxes: DataFrame, keys: list[str], size: int = BLOCK) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators import joins, profiles, rollups
-from gridloom.plans.base import case, table
+from gridloom.plans.base import case, table, tasks
 from gridloom.storage import shared_folder
 from gridloom.streaming import changes
 
@@ -226,8 +226,9 @@ SELECT file, cells, formulas, shapes AS distinct_skeletons, n_sheets, cells - fo
 
 def cell_regions(spark: SparkSession, d: str) -> DataFrame:
     """Line items as cells in rectangles of parts: the first by its top row."""
-    points = table(spark, d, "lineitem").select(F.pmod("l_suppkey", F.lit(4)).alias("sheet"), F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("col")).distinct()
-    return joins.cell_regions(points, _boxes(spark, d), ["sheet"], ["top", "id"]).select("sheet", "row", "col", F.col("box.id").alias("region"))
+    li = table(spark, d, "lineitem")
+    points = li.select(F.pmod("l_suppkey", F.lit(4)).alias("sheet"), F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("col"))
+    return joins.cell_regions(points, _boxes(spark, d), ["sheet"], ["top", "id"], once=tasks(li)).select("sheet", "row", "col", F.col("box.id").alias("region"))
 
 
 def _boxes(spark: SparkSession, d: str) -> DataFrame:

@@ -10,6 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks(df: DataFrame, rows: int = 1 << 19) -> int:
+    """Tasks for a table of which each is to have some ``rows`` rows, however large it is; at least one a core. Counted from the files' footers."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
 def case(value: str, pairs: list[tuple[str, tuple[str, ...]]] | tuple, default: str) -> str:
     """SQL: the label of the first entry one of whose words the text holds."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"

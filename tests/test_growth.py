@@ -2,8 +2,9 @@
 
 import pytest
 
+from gridloom.operators import joins
 from gridloom.operators import similarity as sim
-from gridloom.plans import aggregates, bundles, gates, similar
+from gridloom.plans import aggregates, base, bundles, gates, similar
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -54,3 +55,16 @@ def test_pairs_that_fail_are_not_moved(spark, monkeypatch):
     n = sim.similar_pairs(similar._orders(spark, SMALL)).count()
     found = tried[0].collect()
     assert n and len(found) <= 2 * n and len(set(found)) == len(found)
+
+
+def test_points_meet_boxes_in_tasks_of_bounded_rows(spark, plan):
+    """Points and boxes move once each, equal points are one, and tasks grow in number, not in rows."""
+    text = plan(aggregates.cell_regions(spark, SMALL))
+    assert text.count("Exchange ") == 2 and text.count("lineitem.parquet") == 1
+    rows = base.table(spark, SMALL, "lineitem")
+    assert base.tasks(rows, 100) == -(-rows.count() // 100) and base.tasks(rows) == 8
+    points = spark.createDataFrame([(1, 5, 2), (1, 5, 2), (1, 70, 2), (None, 5, 2)], "s int, row int, col int")
+    boxes = spark.createDataFrame([(1, 1, 1, 99, 3, 7), (1, 2, 2, 9, 2, 8)], "s int, top int, left int, bottom int, right int, id int")
+    found = lambda **more: sorted(((r["s"], r["row"], r["box"] and r["box"]["id"]) for r in joins.cell_regions(points, boxes, ["s"], ["top", "id"], **more).collect()), key=str)
+    assert found(once=3) == [(1, 5, 7), (1, 70, 7), (None, 5, None)]
+    assert found() == [(1, 5, 7), (1, 5, 7), (1, 70, 7), (None, 5, None)]
