@@ -76,7 +76,8 @@ WITH {_C} SELECT file_name, 'full' AS parse_status, r_name AS creator, k % 6 = 0
 def workbook_cells(spark: SparkSession, d: str) -> DataFrame:
     """All cells as the reader gives them."""
     found = _read(spark, d)
-    names = workbook.books(found).select("file_pk", "file_name")
+    # written down: among the cells Spark guesses names to be as large as these, and may send all cells to every task
+    names = portfolio.spool(workbook.books(found).select("file_pk", "file_name"))
     return workbook.cells(found).join(names, "file_pk").select("file_name", "sheet", "row", "col", "text", F.expr("try_cast(value AS DOUBLE)").alias("number"), "formula", "is_text", "is_number", "is_error", "bold", "filled")
 
 

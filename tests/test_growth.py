@@ -4,7 +4,7 @@ import pytest
 
 from gridloom.operators import joins
 from gridloom.operators import similarity as sim
-from gridloom.plans import aggregates, base, bundles, gates, similar
+from gridloom.plans import aggregates, base, books, bundles, gates, similar
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -68,3 +68,8 @@ def test_points_meet_boxes_in_tasks_of_bounded_rows(spark, plan):
     found = lambda **more: sorted(((r["s"], r["row"], r["box"] and r["box"]["id"]) for r in joins.cell_regions(points, boxes, ["s"], ["top", "id"], **more).collect()), key=str)
     assert found(once=3) == [(1, 5, 7), (1, 70, 7), (None, 5, None)]
     assert found() == [(1, 5, 7), (1, 5, 7), (1, 70, 7), (None, 5, None)]
+
+
+def test_cells_are_never_the_side_that_is_sent_to_every_task(spark):
+    text = books.workbook_cells(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in text and "BuildLeft" not in text
