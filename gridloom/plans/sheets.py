@@ -8,14 +8,18 @@ from pyspark.sql.window import Window
 
 from gridloom.functions.scalars import range_ref
 from gridloom.operators import detect, graph, regions, rules
-from gridloom.plans.base import any_of, table
+from gridloom.plans.base import any_of, table, tasks
 
 
-def _grid(spark: SparkSession, d: str) -> DataFrame:
-    """All line items as populated cells in sheets of 50 orders: a row an order, a column or the next a line, by its quantity."""
+def _grid(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """All line items as populated cells in sheets of 50 orders: a row an order, a column or the next a line, by its quantity.
+
+    whole: dealt by sheet, many small sheets a task and tasks of bounded rows, so that steps by sheet and more move nothing again.
+    """
     li = table(spark, d, "lineitem")
     column = 2 * F.col("l_linenumber") - (F.col("l_quantity") > 25).cast("int")
-    return li.select(F.floor(F.col("l_orderkey") / 50).alias("sheet"), F.col("l_orderkey").alias("row"), column.alias("col")).distinct()
+    cells = li.select(F.floor(F.col("l_orderkey") / 50).alias("sheet"), F.col("l_orderkey").alias("row"), column.alias("col"))
+    return (cells.repartition(tasks(li, 1 << 18), "sheet") if whole else cells).distinct()
 
 
 _GRID = "cells AS (SELECT DISTINCT l_orderkey // 50 AS sheet, l_orderkey AS r, 2 * l_linenumber - CAST(l_quantity > 25 AS INT) AS c FROM lineitem)"
@@ -32,7 +36,7 @@ ROW_RUNS = f"WITH {_GRID}, g AS (SELECT *, c - row_number() OVER (PARTITION BY s
 def occupancy_plates(spark: SparkSession, d: str) -> DataFrame:
     """Populated cells as rectangles of one flag; the flag changes by columns and now and then by rows."""
     flag = F.pmod(F.floor(F.col("row") / 7) + F.floor(F.col("col") / 3), F.lit(4)).cast("int") + 1
-    return regions.plates(_grid(spark, d).withColumn("flag", flag), ["sheet"])
+    return regions.plates(_grid(spark, d, whole=True).withColumn("flag", flag), ["sheet"])
 
 
 OCCUPANCY_PLATES = f"""

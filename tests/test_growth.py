@@ -4,7 +4,7 @@ import pytest
 
 from gridloom.operators import joins
 from gridloom.operators import similarity as sim
-from gridloom.plans import aggregates, base, books, bundles, gates, similar
+from gridloom.plans import aggregates, base, books, bundles, gates, sheets, similar
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -73,3 +73,7 @@ def test_points_meet_boxes_in_tasks_of_bounded_rows(spark, plan):
 def test_cells_are_never_the_side_that_is_sent_to_every_task(spark):
     text = books.workbook_cells(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "BuildRight" in text and "BuildLeft" not in text
+
+
+def test_plates_move_cells_once(spark, plan):
+    assert plan(sheets.occupancy_plates(spark, SMALL)).count("Exchange ") == 1
