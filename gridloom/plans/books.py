@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.plans import portfolio
-from gridloom.plans.base import table
+from gridloom.plans.base import table, tasks
 from gridloom.sinks.xlsx import HEADER, Cell, Sheet, write
 from gridloom.sources import workbook
 
@@ -43,8 +43,10 @@ def _book(rows: pd.DataFrame) -> pd.DataFrame:
 def _dealt(spark: SparkSession, d: str, make: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
     """A file of every nation and range of customer keys."""
     nation = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
-    customer = table(spark, d, "customer").select("c_nationkey", "c_custkey", "c_name", "c_acctbal", "c_mktsegment", F.expr(f"c_custkey div {RANGE}").alias("part"))
-    rows = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    every = table(spark, d, "customer")
+    customer = every.select("c_nationkey", "c_custkey", "c_name", "c_acctbal", "c_mktsegment", F.expr(f"c_custkey div {RANGE}").alias("part"))
+    # with a number given, small parts are not joined up: writing and reading a file takes far longer than its rows' bytes tell
+    rows = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).repartition(tasks(every, 1 << 14), "n_nationkey", "part")
     return workbook.hashed(rows.groupBy("n_nationkey", "part").applyInPandas(make, "path string, length long, content binary"))
 
 

@@ -77,3 +77,8 @@ def test_cells_are_never_the_side_that_is_sent_to_every_task(spark):
 
 def test_plates_move_cells_once(spark, plan):
     assert plan(sheets.occupancy_plates(spark, SMALL)).count("Exchange ") == 1
+
+
+def test_workbooks_are_made_by_all_tasks(spark):
+    made = books._files(spark, SMALL).select("path").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(made) == 25 and sum(n > 0 for n in made) > 4
