@@ -140,16 +140,20 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS)
     return in_groups(laid, None, radius, tile_rows)
 
 
-def in_groups(laid: DataFrame, about: DataFrame | None, radius: int, tile_rows: int = TILE_ROWS) -> DataFrame:
+def crowded(laid: DataFrame) -> DataFrame:
+    """part, key and n, their number, of groups of two and more."""
+    return laid.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def in_groups(laid: DataFrame, about: DataFrame | None, radius: int, tile_rows: int = TILE_ROWS, several: DataFrame | None = None) -> DataFrame:
     """Links u < v that connect all fingerprints of a group within the radius; see linked() for sizes.
 
     laid: id, part and key, one row for each group, told by part and key, that a fingerprint is in; about: id, fp and size,
-    or None where the id is the fingerprint.
+    or None where the id is the fingerprint; several: of ``crowded``, where it is known already.
     A group of more than ``tile_rows`` is split into blocks, and each pair of blocks is compared by a task.
     """
-    crowded = laid.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
     # only groups that several share are compared; large ones get more blocks
-    met = laid.join(crowded, ["part", "key"])
+    met = laid.join(crowded(laid) if several is None else several, ["part", "key"])
     n_blocks = F.ceil(F.col("n") / (tile_rows // 2))
     met = met.withColumn("own", F.pmod(F.xxhash64("id"), n_blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
     pair = F.struct("part", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))

@@ -467,3 +467,17 @@ def test_near_duplicates_by_shingles(spark, odd, docs, empty, monkeypatch, block
         got = [r["doc_id"] for r in out.collect()]
         assert sorted(x for x in got if x is not None) + [x for x in got if x is None] == brute_near(of)
     assert corpus_pipeline.keep_one_of_each(spark, empty, "").count() == 0
+
+
+def test_near_duplicates_move_texts_not_sets_and_only_shared_shingles(spark, monkeypatch):
+    """Sets of hashes are larger than their texts, and most shingles are of one document alone."""
+    seen, laid = [], []
+    in_blocks, in_groups = neardup.in_blocks, neardup.in_groups
+    monkeypatch.setattr(neardup, "in_blocks", lambda *a: seen.append(in_blocks(*a)) or seen[-1])
+    monkeypatch.setattr(neardup, "in_groups", lambda *a, **k: laid.append(a[0].count()) or in_groups(*a, **k))
+    base = " ".join(f"w{i}" for i in range(300))
+    docs = spark.createDataFrame([(0, base), (1, base + " end")] + [(k, " ".join(f"x{k}y{i}" for i in range(300))) for k in range(2, 30)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in neardup.deduplicated(docs).collect()) == [0, *range(2, 30)]
+    # no pass makes sets before rows are dealt
+    assert seen[0]._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert 2 <= laid[0] < 30 * 60 / 5
