@@ -1,10 +1,14 @@
 """What moves between tasks: counted in plans, where no side is small enough to be broadcast."""
 
+import random
+
+import numpy as np
 import pytest
 
-from gridloom.operators import joins
+from gridloom.operators import joins, tiles
 from gridloom.operators import similarity as sim
 from gridloom.plans import aggregates, base, books, bundles, gates, sheets, similar
+from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -82,3 +86,39 @@ def test_plates_move_cells_once(spark, plan):
 def test_workbooks_are_made_by_all_tasks(spark):
     made = books._files(spark, SMALL).select("path").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     assert sum(made) == 25 and sum(n > 0 for n in made) > 4
+
+
+def test_large_sets_are_compared_in_blocks(spark, monkeypatch):
+    """Files whose large sets mostly share tokens: the same pairs, best peers, clusters and families as by candidates, several blocks and copies included."""
+    rnd = random.Random(9)
+    sets = {f: {s: {f"{i}:{rnd.randrange(3 + (f % 4 == 0))}" for i in range(n)} for s, n in (("skeleton", 12 * (f % 9 > 0)), ("header", 14), ("function", 9), ("sheet", 1), ("input", 12), ("output", 12))} for f in range(150)}
+    sets |= {1000 + f: sets[f % 20] for f in range(70)}
+    tokens = spark.createDataFrame([(f, s, t) for f, x in sets.items() for s, ts in x.items() for t in ts], "file long, signal string, token string").cache()
+    files = tokens.select("file").distinct().union(spark.createDataFrame([(9999,)], "file long")).cache()
+    topo = files.select("file", *(F.pmod(F.col("file") * (i + 2), F.lit(3)).alias(f"k{i}") for i in range(7)))
+    called = []
+    compared = tiles.compared
+    monkeypatch.setattr(tiles, "compared", lambda *a: called.append(a) or compared(*a))
+    monkeypatch.setattr(tiles, "ROWS", 40)
+    monkeypatch.setattr(tiles, "MEMBERS", 2)
+    monkeypatch.setattr(tiles, "CELLS", 1 << 9)
+    monkeypatch.setattr(tiles, "ENTRIES", 1 << 9)
+    monkeypatch.setattr(tiles, "OUT", 7)
+    of = {
+        "pairs": lambda: sim.similar_pairs(tokens), "classes": lambda: sim.similar_classes(tokens)[0],
+        "best": lambda: sim.shortlist(*sim.similar_classes(tokens, best=5), 4), "offered": lambda: sim.offered(*sim.similar_classes(tokens, best=4), 3),
+        "estate": lambda: sim.estate_pairs(tokens, topo), "kinds": lambda: sim.estate_classes(tokens, topo)[0],
+        "clusters": lambda: sim.estate_clusters(tokens, topo, files), "families": lambda: sim.estate_families(tokens, topo, files),
+    }
+    rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    fast = {k: rows(f()) for k, f in of.items()}
+    assert len(called) == 9
+    monkeypatch.setattr(tiles, "dense", lambda *a: False)
+    for k, f in of.items():
+        assert rows(f()) == fast[k] and fast[k], k
+    assert len(called) == 9
+
+
+def test_three_places_as_sql_rounds_them():
+    x = np.array([0.0625, 0.3125, 0.0005, 0.3495, 0.34949999999999998, 1 / 3, 1.0, 0.0, 0.1235, 0.5 + 1e-9])
+    assert tiles.thousandths(x).tolist() == [63, 313, 1, 350, 350, 333, 1000, 0, 124, 500]
