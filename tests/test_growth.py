@@ -1,11 +1,12 @@
 """What moves between tasks: counted in plans, where no side is small enough to be broadcast."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 
-from gridloom.operators import joins, tiles
+from gridloom.operators import joins, precedents, tiles
 from gridloom.operators import similarity as sim
 from gridloom.plans import aggregates, base, books, bundles, gates, sheets, similar
 from pyspark.sql import functions as F
@@ -122,3 +123,10 @@ def test_large_sets_are_compared_in_blocks(spark, monkeypatch):
 def test_three_places_as_sql_rounds_them():
     x = np.array([0.0625, 0.3125, 0.0005, 0.3495, 0.34949999999999998, 1 / 3, 1.0, 0.0, 0.1235, 0.5 + 1e-9])
     assert tiles.thousandths(x).tolist() == [63, 313, 1, 350, 350, 333, 1000, 0, 124, 500]
+
+
+def test_rows_that_are_not_there_are_not_cast(spark):
+    """A cast of an empty text fails inside, at many times the cost of one that does not, even where it is only tried."""
+    df = spark.createDataFrame([(1, "S", 1, 1, "=A1+B:B")], "file long, sheet string, row long, col long, formula string")
+    before = re.findall(r"(\S+) try_cast\(", precedents.edges(df)._jdf.queryExecution().optimizedPlan().toString())
+    assert before and set(before) == {"THEN"}
