@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from gridloom.operators import joins, precedents, tiles
+from gridloom.operators import intervals, joins, precedents, tiles
 from gridloom.operators import similarity as sim
 from gridloom.plans import aggregates, base, books, bundles, gates, sheets, similar
 from pyspark.sql import functions as F
@@ -130,3 +130,14 @@ def test_rows_that_are_not_there_are_not_cast(spark):
     df = spark.createDataFrame([(1, "S", 1, 1, "=A1+B:B")], "file long, sheet string, row long, col long, formula string")
     before = re.findall(r"(\S+) try_cast\(", precedents.edges(df)._jdf.queryExecution().optimizedPlan().toString())
     assert before and set(before) == {"THEN"}
+
+
+def test_short_ranges_take_few_steps(spark):
+    """Levels that a range can't fill are not tried, and the blocks are those that all levels give."""
+    spans = [(a, a + n - 1) for a in (1, 2, 3, 7, 8, 1000, (1 << 20) - 3) for n in (0, 1, 2, 3, 4, 5, 31, 32, 33, 50, 1 << 20, (1 << 22) + 5)]
+    found = spark.createDataFrame(spans, "a long, b long").select("a", "b", intervals.blocks(F.col("a"), F.col("b")).alias("x"))
+    assert "bin(" in str(intervals.blocks(F.col("a"), F.col("b")))
+    for r in found.collect():
+        held = sorted(((q["block"] << q["level"]) + 1, (q["block"] + 1) << q["level"]) for q in r["x"])
+        assert sum(y - x + 1 for x, y in held) == r["b"] - r["a"] + 1 and (not held or (held[0][0], held[-1][1]) == (r["a"], r["b"]))
+        assert all(x[1] + 1 == y[0] for x, y in zip(held, held[1:], strict=False))
